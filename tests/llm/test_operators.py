@@ -1,0 +1,287 @@
+"""Each operator against a plain version of itself, on rows with nulls, ties and odd texts."""
+
+import collections
+import hashlib
+import io
+import random
+import re
+import zipfile
+
+import numpy as np
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from dipscan.llm import chat_events, embedding_lsh, language, passages, pieces, set_join, spaced_seeds, token_counts, url_cascade, warc_zip  # noqa: E402
+
+WORDS = [f"w{i}" for i in range(3000)]
+ODD = [
+    None, "", " ", "\t\n", "one", "one two", "a b c d", "  two  spaces  ", "don't we'll I'm", "<|endoftext|>", "x <|endoftext|> y", "▁a▁▁b", "tab\tnew\nline\r\n", "naïve café ÀÉ ﬁ", "漢字 かな 한국어", "emoji 🙂🙂 end ",
+    "a\u00a0b\u2003c\u3000d", "\u0000nul", "<s>a</s>", "1234 5,678.90", "x" * 30_000, "  \n\n  b", "a…b—c “q”",
+]
+
+
+def docs_of(spark, texts):
+    rows = [(i, t, 99, "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, id int, n string")
+
+
+def near_groups(seed=3):
+    rng = random.Random(seed)
+    texts = list(ODD)
+    for size in (1, 1, 2, 5, 30):
+        base = [rng.choice(WORDS) for _ in range(rng.randint(60, 140))]
+        texts.append(" ".join(base))
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+            texts.append(" ".join(w).upper())
+    texts += [" ".join(rng.choice("abc") for _ in range(12)) for _ in range(30)]
+    return texts
+
+
+def plain_components(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i: i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [(i, len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def test_jaccard_components(spark):
+    texts = near_groups()
+    got = set_join.jaccard_components(docs_of(spark, texts)).collect()
+    assert sorted(map(tuple, got)) == plain_components(texts)
+
+
+def test_jaccard_empty(spark):
+    assert set_join.jaccard_components(docs_of(spark, ["a"]).where("false")).collect() == []
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = near_groups()
+    got = token_counts.token_counts(docs_of(spark, texts), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    want = [(i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_pieces(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = near_groups()
+    got = {r.id: (r.ids, r.decoded) for r in pieces.encode_decode(docs_of(spark, texts), path).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "")
+        assert got[i] == (ids, lib.decode(ids)), repr(t)[:60]
+
+
+def test_url_rules(spark):
+    urls = [
+        None, "", "example.com/en/", "http://Example.COM/en/1", "http://www.example.com/en/x?y#z", "http://a.www.example.com/en/", "http://notexample.com/en/", "https://x.net/es/1", "https://x.net/es", "https://net/fr/",
+        "http://a.org/en/", "http://com", "http://com/", "ftp://a.com?x/", "http://h.com#/en/", "a://b://c.com/", "http://ÄÖ.com/é/", "http:///en/", "http://x.com/en/" + "a" * 5000,
+    ]
+    rows = [(i % 15, u, "x", "y") for i, u in enumerate(urls)] + [(None, "http://x.com/", None, None)]
+    got = url_cascade.judge(spark.createDataFrame(rows, "page_id bigint, url string, host string, path string")).collect()
+
+    def plain(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_cascade.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow"
+
+    assert collections.Counter(map(tuple, got)) == collections.Counter((i, *plain(u)) for i, u, _, _ in rows)
+
+
+def test_cascade_is_exact(spark):
+    listed = spark.range(200).selectExpr("concat('k', id) AS key")
+    universe = spark.range(20_000).selectExpr("concat('k', id) AS key")
+    old = url_cascade.BITS_PER_KEY, url_cascade.LATER_BITS_PER_KEY
+    url_cascade.BITS_PER_KEY, url_cascade.LATER_BITS_PER_KEY = 6, 6
+    try:
+        c = url_cascade.Cascade(listed, universe)
+    finally:
+        url_cascade.BITS_PER_KEY, url_cascade.LATER_BITS_PER_KEY = old
+    assert len(c.levels) > 2
+    from pyspark.sql import functions as F
+
+    assert universe.where(c.holds(F.col("key"))).count() == 200 == listed.where(c.holds(F.col("key"))).count()
+
+
+def test_warc_round_trip(spark):
+    rng = random.Random(5)
+    same = "<p>" + "s" * 200
+    html = [None, "", "short", "short", same, same, same, "é" * 60, "é" * 60, "\r\n\r\nWARC/1.1\r\n\r\n" * 9, *("".join(rng.choices("abc é\n", k=rng.randint(0, 900))) for _ in range(200))]
+    rows = [(len(html) - i, f"http://x/{i}\n y" if i % 3 else None, h, "z") for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string")
+    manifest = warc_zip.write_packages(pages, warc_zip.package_folder(spark))
+    got = {r.page_id: r for r in warc_zip.read_packages(manifest).collect()}
+    first = {}
+    for page, _, h, _ in sorted(rows):
+        first.setdefault(h or "", page)
+    assert len(got) == len(rows)
+    for page, _, h, _ in rows:
+        data = (h or "").encode()
+        to = first[h or ""] if len(data) >= 100 and first[h or ""] != page else None
+        r = got[page]
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if to else "response", to)
+        assert r.payload is None if to else r.payload == data
+
+
+def test_zip_directories():
+    small = io.BytesIO()
+    with zipfile.ZipFile(small, "w") as z:
+        z.writestr("a", b"hello")
+        z.writestr(zipfile.ZipInfo("ü/b"), b"world" * 10)
+        z.comment = b"a comment"
+    import struct
+
+    data = small.getvalue()
+    end = data.rindex(b"PK\x05\x06")
+    count, length, start = struct.unpack("<HLL", data[end + 10: end + 20])
+    end64 = struct.pack("<4sQHHLLQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, length, start)
+    wide = data[:end] + end64 + struct.pack("<4sLQL", b"PK\x06\x07", 0, end, 1) + struct.pack("<4sHHHHLLH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    for file in (data, wide):
+        read = lambda at, n, f=file: f[at: at + n]
+        members = {m.name: m for m in warc_zip.directory(read, len(file))}
+        at = warc_zip.first_byte(read, members["ü/b"])
+        assert read(at, members["ü/b"].size) == b"world" * 10
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a", b"x" * 100)
+    data = packed.getvalue()
+    read = lambda at, n: data[at: at + n]
+    with pytest.raises(ValueError, match="compressed"):
+        warc_zip.first_byte(read, warc_zip.directory(read, len(data))[0])
+
+
+def test_embedding_duplicates(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((900, 16))
+    x[100:400] = x[0] + rng.standard_normal((300, 16)) * 0.05
+    x[400:500] = x[1] + rng.standard_normal((100, 16)) * 0.25
+    x[500:520] = x[2]
+    rows = [(i, [float(v) for v in r], "c") for i, r in enumerate(x)]
+    rows += [(900, None, "c"), (901, [0.0] * 16, "c"), (902, [float("nan")] + [1.0] * 15, "c"), (903, [None] + [1.0] * 15, "c"), (904, [], "c"), (905, [1.0, 2.0], "c"), (906, [float("inf")] * 16, "c")]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rep string")
+    got = {r.id: r for r in embedding_lsh.near_duplicates(table, block=64).collect()}
+    assert sorted(got) == list(range(907))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    links = np.array([got[i].n_links for i in range(900)])
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum()
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 907))
+    assert all(got[i].component_id <= i and got[got[i].component_id].kept for i in got)
+
+
+def test_spaced_seeds(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(14, 40)))) for i in range(20)] + [(98, None), (99, ""), (None, "a b c"), (97, "too short")]
+    texts, want = list(ODD), set()
+    for i, item in items[:20]:
+        for changes in (0, 1, 2):
+            w = item.split()
+            for p in rng.sample(range(len(w)), changes):
+                w[p] = "changed"
+            want.add((len(texts), i))
+            texts.append(" ".join([rng.choice(WORDS) for _ in range(50)] + w + [rng.choice(WORDS) for _ in range(50)]))
+        texts.append(" ".join(rng.choice(WORDS) for _ in range(100)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for shard in (1 << 20, 1500):
+        got = spaced_seeds.overlaps(docs_of(spark, texts), bench, shard_bytes=shard).collect()
+        assert len(got) == len({(r.id, r.item_id) for r in got})
+        found = {(r.id, r.item_id) for r in got}
+        assert found <= want and len(found) >= 0.95 * len(want)
+        for r in got:
+            a, b = texts[r.id].split()[r.start_word: r.end_word], dict(items)[r.item_id].split()[r.item_start:]
+            assert sum(x == y for x, y in zip(a, b)) == r.equal_words
+    assert spaced_seeds.overlaps(docs_of(spark, texts), bench.where("false")).count() == 0
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(9)
+    text = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passage, other = text(70), text(60)
+    fuzzy = list(passage)
+    for p in (20, 41):
+        fuzzy[p] = "changed"
+    del fuzzy[55]
+    texts = [*ODD, " ".join(text(40) + passage + text(30)), " ".join(passage), " ".join(text(200)), " ".join(text(10) + fuzzy + text(50) + other), " ".join(text(5) + other + text(5) + other + text(5)), " ".join(text(30) + passage[:30] + text(30))]
+    n = len(ODD)
+    docs = docs_of(spark, texts)
+    found = passages.repeated_passages(docs).cache()
+    got = {(r.id, r.src_id): r for r in found.collect()}
+    assert {(n + 1, n), (n + 3, n), (n + 4, n + 3)} == set(got)
+    assert (got[n + 1, n].start_word, got[n + 1, n].end_word, got[n + 1, n].src_start, got[n + 1, n].similarity) == (0, 70, 40, 1.0)
+    assert abs(got[n + 3, n].start_word - 10) <= 1 and abs(got[n + 3, n].end_word - 79) <= 1 and got[n + 3, n].similarity > 0.9
+    assert found.where(f"id = {n + 4}").count() == 2
+    left = {r.doc_id: r for r in passages.without_passages(docs, found).collect()}
+    assert len(left) == len(texts)
+    assert left[n + 1].text == "" and len(left[n + 4].text.split()) == 15 and left[n + 2].text == texts[n + 2]
+    assert left[0].text is None and left[n].text == texts[n] and left[n].n == "clash"
+
+
+def test_chains_prefer_order():
+    at = np.array([0, 5, 10, 15, 20, 7])
+    to = np.array([100, 105, 110, 116, 121, 900])
+    (score, *span), = passages.chains(at, to)
+    assert span == [0, 20, 100, 121] and 20 < score < 30
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    lex = {"aa": ["zaza", "zabo", "zozu"], "bb": ["kiri", "kuri", "rika"]}
+    rows = [(i, " ".join(rng.choice(lex[lang]) for _ in range(30)), lang) for i in range(300) for lang in [("aa", "bb")[i % 2]]]
+    train = spark.createDataFrame(rows[:200], "doc_id bigint, text string, lang string")
+    model = language.fit(train)
+    assert model.languages == ["aa", "bb"]
+    test = [(i, t, None, None, ("h.x.org", "g.x.org")[i % 2], "z") for i, t, _ in rows[200:]] + [(900, None, "aa", None, None, "z"), (901, "", None, None, "h.x.org", "z"), (902, "12 34", "qq", "bb", "h.x.org", "z"), (None, "zaza", None, None, None, "z")]
+    found = language.identify(spark.createDataFrame(test, "doc_id bigint, text string, declared string, suffix string, host string, p string"), model, ["doc_id"]).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(test)
+    assert sum(got[i].language == lang for i, _, lang in rows[200:]) >= 99
+    assert not got[900].kept and not got[901].kept and got[None].language == "aa"
+    none = language.fit(train.where("false"))
+    assert {r.kept for r in language.identify(spark.createDataFrame(test, "doc_id bigint, text string, declared string, suffix string, host string, p string"), none, ["doc_id"]).collect()} == {False}
+
+
+def test_chat_fold(spark):
+    events = [
+        (1, 1, 1, "start", "user", "hel"), (1, 1, 2, "delta", None, "lo"), (1, 2, 3, "start", "assistant", "dra"), (1, 2, 4, "delta", None, "ft"), (1, 3, 5, "start", "user", "gone"),
+        (1, 2, 6, "regenerate", None, ""), (1, 2, 7, "delta", None, "fin"), (1, 2, 8, "delta", None, "al"), (1, 4, 9, "start", "user", "x"), (1, 4, 10, "edit", None, "thanks"), (1, 5, 11, "start", "user", "bye"), (1, 5, 12, "delete", None, None),
+        (2, 1, 1, "start", "a\n%0A<|b", "<|im_end|> <\\| <\\\\| \\"), (None, 1, 1, "start", "user", None),
+    ]
+    table = spark.createDataFrame(events, "conv_id bigint, message int, seq int, kind string, role string, text string")
+    messages = chat_events.fold(table)
+    got = sorted((r.conv_id or 0, r.message, r.role, r.text) for r in messages.collect())
+    assert got == [(0, 1, "user", ""), (1, 1, "user", "hello"), (1, 2, "assistant", "final"), (1, 4, "user", "thanks"), (2, 1, "a\n%0A<|b", "<|im_end|> <\\| <\\\\| \\")]
+    back = chat_events.with_loss_mask(chat_events.parse(chat_events.render(messages)))
+    rows = {r.conv_id: r for r in back.collect()}
+    assert [(t.role, t.text) for t in rows[1].turns] == [("user", "hello"), ("assistant", "final"), ("user", "thanks")]
+    assert [(t.role, t.text) for t in rows[2].turns] == [("a\n%0A<|b", "<|im_end|> <\\| <\\\\| \\")]
+    span, = rows[1].loss_spans
+    assert rows[1].formatted[span.at: span.at + span.length] == "final"
+    assert chat_events.fold(table.where("false")).count() == 0
