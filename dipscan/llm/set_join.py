@@ -11,6 +11,8 @@ Sets are built once per text in Arrow blocks and travel as packed byte strings
 3.  *Index-level skipping.*  A posting at position ``i`` of a set of size ``n``
     can only be the first match of a pair with ``m <= (4n - 7i) / 3``; lists are
     blocked by size, and blocks out of that range are skipped by position.
+    Parity bitmaps bound the number of differing shingles from below and skip
+    pairs before their sets are read.
 4.  *Answer-level skipping.*  Some rounds compare every set with one or two
     leaders of its lists.  Sets that reach one another need no further answers
     about each other, and a set's distance from others follows from the computed
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import connected_components, width, written
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 TOKEN_BYTES = 6  # of a shingle's hash beside its bucket number
 
 _PACKED = "kind int, bucket int, keys binary, sizes binary, counts binary, toks binary, dfs binary, ids binary"
@@ -141,7 +143,8 @@ def _shared_shingles(buckets: int):
     return run
 
 
-_INDEX = "sig bigint, n int, k int, need int, toks array<bigint>"
+_INDEX = "sig bigint, n int, k int, need int, toks array<bigint>, parity array<bigint>"
+PARITY_WORDS = 8
 
 
 def _indexed(num: int, den: int):
@@ -166,7 +169,15 @@ def _indexed(num: int, den: int):
         rows = np.repeat(keep, k)
         offsets = np.append(0, np.cumsum(k[keep])).astype(np.int32)
         toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok[rows].view(np.int64)))
-        out = pa.RecordBatch.from_arrays([pa.array(key[head][keep].view(np.int64)), pa.array(n[keep], pa.int32()), pa.array(k[keep], pa.int32()), pa.array(need[keep], pa.int32()), toks], names=["sig", "n", "k", "need", "toks"])
+        # each shared shingle flips one bit, so sets differ in at least as many shingles as these differ in bits
+        spot = tb.mix(tok)
+        flip = np.uint64(1) << (spot & np.uint64(63))
+        word = ((spot >> np.uint64(6)) % np.uint64(PARITY_WORDS)).astype(np.int64)
+        own = np.repeat(np.arange(len(n)), k)
+        parity = np.zeros((len(n), PARITY_WORDS), dtype=np.uint64)
+        np.bitwise_xor.at(parity, (own, word), flip)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1) * PARITY_WORDS, pa.int32()), pa.array(parity[keep].reshape(-1).view(np.int64)))
+        out = pa.RecordBatch.from_arrays([pa.array(key[head][keep].view(np.int64)), pa.array(n[keep], pa.int32()), pa.array(k[keep], pa.int32()), pa.array(need[keep], pa.int32()), toks, bits], names=["sig", "n", "k", "need", "toks", "parity"])
         for at in range(0, out.num_rows, 500):
             yield out.slice(at, 500)
 
@@ -207,17 +218,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     enough = f"{num + den} * both >= {num} * (na + nb)"
     fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)"
 
+    # |x ^ y| <= (den - num) / (num + den) * (n + m): shingles of one set only, and unequal bits, count at least
+    apart = " + ".join(f"bit_count(qa[{i}] ^ qb[{i}])" for i in range(PARITY_WORDS))
+    like = f"{num + den} * (na - ka + nb - kb + {apart}) <= {den - num} * (na + nb)"
+
     comps = None
     answers = None
     for turn in range(STAR_ROUNDS + 1):
         sets = index if comps is None else index.join(comps, index.sig == comps.id, "left")
         sets = sets.withColumn("comp", F.col("sig") if comps is None else F.coalesce("comp", "sig"))
-        posts = sets.select("sig", "n", "comp", F.posexplode(F.slice("toks", F.lit(1), F.col("need"))).alias("i", "tok"), "k")
-        posts = posts.select("tok", "sig", "n", "comp", (F.col("n") - F.col("k") + F.col("i")).alias("pos"))
+        posts = sets.select("sig", "n", "k", "parity", "comp", F.posexplode(F.slice("toks", F.lit(1), F.col("need"))).alias("i", "tok"))
+        posts = posts.withColumn("pos", F.col("n") - F.col("k") + F.col("i")).drop("i")
         if turn < STAR_ROUNDS:
-            pairs = _stars(posts, fits, turn)
+            pairs = _stars(posts.drop("parity", "k"), index, fits, like, turn)
         else:
-            pairs = _open_pairs(posts, fits, num, den, answers)
+            pairs = _open_pairs(posts, f"{fits} AND {like}", num, den, answers)
         if answers is not None:
             pairs = pairs.join(answers, ["a", "b"], "left_anti")
         found = written(_verified(pairs, index), "answers")
@@ -234,28 +249,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return whole.unionByName(empty)
 
 
-def _stars(posts: DataFrame, fits: str, turn: int) -> DataFrame:
-    """Up to two pairs per set: with leaders of its lists that are in another component."""
-    me = F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), F.xxhash64("sig", "tok").alias("g"), "sig", "n", "pos", "comp")
-    leaders = posts.groupBy("tok").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).where("lo.comp != hi.comp")
-    near = posts.join(leaders, "tok").withColumn("to", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")))
-    near = near.select(F.col("sig").alias("x"), F.col("to.sig").alias("y"), F.col("n").alias("na"), F.col("to.n").alias("nb"), F.col("pos").alias("pa"), F.col("to.pos").alias("pb")).where(fits)
-    order = F.struct(F.xxhash64("x", "y", F.lit(turn)).alias("h"), "y")
-    best = near.groupBy("x").agg(F.min(order).alias("p"), F.max(order).alias("q")).select("x", F.explode(F.array("p.y", "q.y")).alias("y"))
+def _lists(posts: DataFrame, turn: int) -> DataFrame:
+    """Lists that hold several components: the largest one, and one of its members as leader."""
+    member = F.struct(F.xxhash64("sig", "tok", F.lit(turn)).alias("h"), "sig", "n", "pos")
+    parts = posts.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.min(member).alias("lead"))
+    main = F.max(F.struct("c", F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "lead"))
+    return parts.groupBy("tok").agg(main.alias("main"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("main.comp").alias("main"), F.col("main.lead").alias("lead"))
+
+
+def _stars(posts: DataFrame, index: DataFrame, fits: str, like: str, turn: int) -> DataFrame:
+    """Up to two pairs for each set outside its lists' largest components: with their leaders.
+
+    The first turn takes any two; later ones the two with the most equal bitmaps.
+    """
+    near = posts.join(_lists(posts, turn), "tok").where("comp != main")
+    near = near.select(F.col("sig").alias("x"), F.col("lead.sig").alias("y"), F.col("n").alias("na"), F.col("lead.n").alias("nb"), F.col("pos").alias("pa"), F.col("lead.pos").alias("pb")).where(fits)
+    if turn:
+        bits = index.select("sig", "k", "parity")
+        near = near.select("x", "y", "na", "nb").distinct()
+        near = near.join(bits.toDF("x", "ka", "qa"), "x").join(bits.toDF("y", "kb", "qb"), "y").where(like)
+        apart = F.expr(" + ".join(f"bit_count(qa[{i}] ^ qb[{i}])" for i in range(PARITY_WORDS)) + " + nb - kb")
+        order = F.struct(apart.alias("d"), F.xxhash64("x", "y").alias("h"), "y")
+        best = near.groupBy("x").agg(F.min(order).alias("p"), F.min(F.struct(F.xxhash64("x", "y").alias("h"), "y")).alias("q"))
+    else:
+        order = F.struct(F.xxhash64("x", "y").alias("h"), "y")
+        best = near.groupBy("x").agg(F.min(order).alias("p"), F.max(order).alias("q"))
+    best = best.select("x", F.explode(F.array("p.y", "q.y")).alias("y"))
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _open_pairs(posts: DataFrame, fits: str, num: int, den: int, answers: DataFrame) -> DataFrame:
     """Every pair of different components that shares a prefix shingle and that no bound rules out."""
-    parts = posts.groupBy("tok", "comp").agg(F.count("*").alias("c"))
-    lists = parts.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("top.comp").alias("main"))
-    live = written(posts.join(lists, "tok"), "lists")
+    live = written(posts.join(_lists(posts, STAR_ROUNDS).drop("lead"), "tok"), "lists")
     band = lambda size: F.floor(F.log(F.greatest(size.cast("double"), F.lit(1.0))) / float(np.log(den / num)))
     n, pos = F.col("n"), F.col("pos")
     reach = F.least(n * den / num, (n * den - pos * (num + den)) / num)
     probe = live.where("comp != main").withColumn("lo", band(n * num / den)).withColumn("hi", band(reach)).where("hi >= lo")
-    probe = probe.select("tok", F.col("sig").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence("lo", "hi")).alias("band"))
-    block = live.select("tok", F.col("sig").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), band(n).alias("band"))
+    probe = probe.select("tok", F.col("sig").alias("x"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("parity").alias("qa"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence("lo", "hi")).alias("band"))
+    block = live.select("tok", F.col("sig").alias("y"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("parity").alias("qb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), band(n).alias("band"))
     pairs = probe.join(block, ["tok", "band"]).where("ca != cb").where(fits)
     pairs = pairs.select("x", "y", "na", "nb").distinct()
     # |x'&y| <= |x&y| + |x'| - |x'&x|, with x the set most like x' among its links

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,7 +52,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _room(n: int) -> int:
-    return max(BLOCK_BYTES + 1, 1 << n.bit_length())
+    """Room for n bytes in steps that keep the table of powers small."""
+    return -(-max(n, BLOCK_BYTES) // (1 << 19)) * (1 << 19)
 
 
 @dataclass
