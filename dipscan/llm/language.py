@@ -3,7 +3,7 @@
 Evidence for a row, all as log-probabilities of each language:
 
 * text: a naive Bayes model of hashed byte trigrams, fitted on a bounded sample
-  of labelled rows (``SAMPLE_ROWS`` of ``SAMPLE_CHARS`` characters), tempered
+  of labelled rows (about ``SAMPLE_ROWS`` of ``SAMPLE_CHARS`` characters), tempered
   because neighbouring trigrams overlap;
 * declared markup language and address suffix: agreement rates with the text's
   own language, counted over all rows;
@@ -62,16 +62,20 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(base[1:], at, side="right"), code[at].astype(np.int64)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TextModel:
-    """Fit on at most ``rows`` labelled rows, chosen by hash; no labels give a model of no language."""
-    text = F.substring(F.col(text_col), 1, chars)
-    pick = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0)).select(F.col(lang_col).alias("lang"), text.alias("text"))
-    sample = pick.orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(rows).collect()
+def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TextModel:
+    """Fit on about ``rows`` labelled rows, at most twice as many, chosen by a hash of their key.
+
+    Rows without a key, label or text are not chosen; no rows give a model of no language.
+    """
+    pick = labelled.where(F.col(lang_col).isNotNull() & F.col(key_col).isNotNull() & (F.length(F.col(text_col)) > 0))
+    pick = pick.select(F.xxhash64(key_col).alias("h"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, chars).alias("text"))
+    share = min(1.0, rows / max(1, labelled.where(F.col(lang_col).isNotNull()).count()))
+    sample = pick.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text").limit(2 * rows).collect()
     languages = sorted({r.lang for r in sample})
     counts = np.full((len(languages), 1 << BITS), 0.1)
     for i, lang in enumerate(languages):
-        _, code = _trigrams(pa.array([r.text for r in sample if r.lang == lang], pa.large_string()))
-        counts[i] += np.bincount(code, minlength=1 << BITS)
+        for _, block in tb.blocks(pa.array([r.text for r in sample if r.lang == lang], pa.large_string()), 1 << 18):
+            counts[i] += np.bincount(_trigrams(block)[1], minlength=1 << BITS)
     weights = np.log(counts / counts.sum(axis=1, keepdims=True)).T
     return TextModel(languages, np.ascontiguousarray(weights, dtype=np.float32))
 

@@ -237,8 +237,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(answers, ["a", "b"], "left_anti")
         found = written(_verified(pairs, index), "answers")
         answers = found if answers is None else answers.unionByName(found)
-        links = answers.where(enough)
-        comps = written(connected_components(links), "comps")
+        comps = written(_joined(comps, found.where(enough)), "comps")
 
     empty = named.where("n = 0").select(F.col("id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     full = named.where("n > 0")
@@ -249,6 +248,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return whole.unionByName(empty)
 
 
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, comp) after new links (a, b); only components that links join are walked."""
+    if comps is None:
+        return connected_components(links)
+    of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    merged = written(connected_components(ends), "merged")
+    known = comps.join(merged.toDF("comp", "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return known.unionByName(merged.join(comps, "id", "left_anti"))
+
+
 def _lists(posts: DataFrame, turn: int) -> DataFrame:
     """Lists that hold several components: the largest one, and one of its members as leader."""
     member = F.struct(F.xxhash64("sig", "tok", F.lit(turn)).alias("h"), "sig", "n", "pos")

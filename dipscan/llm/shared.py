@@ -58,7 +58,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "v").select("v", "m", F.explode(F.array("v", "u")).alias("w")).where("w != m")
         edges = written(small.select(F.col("w").alias("v"), F.col("m").alias("u")).distinct(), "cc")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     return nodes.join(edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
