@@ -114,4 +114,7 @@ ORACLES: dict[str, str] = {
     "brier_A24": f"WITH {_SCORES} SELECT round(avg((score - y) * (score - y)), 6) AS brier FROM p",
     "group_split_M2": "WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS grp, c_mktsegment AS label, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR) || '42'), CAST(c_custkey AS VARCHAR)) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT grp, label, CASE WHEN rn <= greatest(1, round_even(n * 0.25::DOUBLE, 0)) THEN 'test' ELSE 'train' END AS part FROM r",
     "learning_fraction_W14": "WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS grp, c_mktsegment AS label, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR) || '42'), CAST(c_custkey AS VARCHAR)) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT grp, label FROM r WHERE rn <= greatest(4, floor(n * 0.4::DOUBLE))",
+    "tumbling_bins": "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "session_segments": """WITH c AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS cut FROM events), s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS seg FROM c)
+      SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, seg""",
 }

@@ -7,11 +7,12 @@ whole tables.  Results are rounded to six digits, as sums depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as X
-from .operators import catalog, features, metrics, search, series, vetting
+from . import plans, streaming
+from .operators import catalog, features, fitting, metrics, search, series, vetting
 from .sources import light_curves, table, toi_catalogue
 
 QUERIES: dict = {}
@@ -431,3 +432,40 @@ def group_split_M2(spark, sf_dir):
 @query
 def learning_fraction_W14(spark, sf_dir):
     return metrics.learning_groups(groups(spark, sf_dir))
+
+
+# -- streams, grouped tasks, learning ----------------------------------------
+
+
+@query
+def tumbling_bins(spark, sf_dir):
+    return rounded(streaming.run_available(streaming.tumbling_bins(streaming.event_stream(spark, sf_dir)), "bins"), 4)
+
+
+@query
+def session_segments(spark, sf_dir):
+    return streaming.run_available(streaming.session_segments(streaming.event_stream(spark, sf_dir)), "sessions")
+
+
+@query
+def biweight_W7(spark, sf_dir):
+    return rounded(fitting.detrended(light_curves(spark, sf_dir), width=3.0))
+
+
+@query
+def inject_T19(spark, sf_dir):
+    return rounded(fitting.injected(series.normalised(light_curves(spark, sf_dir))))
+
+
+@query
+def fit_T25(spark, sf_dir):
+    lc = unit_curves(spark, sf_dir).withColumn("ln_a", F.lit(2.0))
+    return rounded(fitting.fitted(lc, min_points=10))
+
+
+@query
+def gbt_M4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "[.]")).cast("double").alias("stops"))
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumn("grp", F.concat("source", F.lit("/"), F.col("doc_id") % 5))
+    train, test = plans.split_by_group(rows)
+    return rounded(plans.scored(plans.fit_classifier(train, ["chars", "words", "stops"]), test).select("doc_id", "label", "score"))
