@@ -118,3 +118,28 @@ def diagnostics(lc: DataFrame) -> DataFrame:
     s = x.groupBy("tic_id").agg(F.avg(F.when(out, F.col("flux"))).alias("base"), F.stddev_pop(F.when(out, F.col("flux"))).alias("sd"), *[F.avg(F.when(c, F.col("flux"))).alias(n) for n, c in cells], *[F.count(F.when(c, F.col("flux"))).alias(f"n_{n}") for n, c in cells])
     error = F.col("sd") * F.sqrt(ratio(F.lit(1.0), F.col("n_odd").cast("double")) + ratio(F.lit(1.0), F.col("n_even").cast("double")))
     return s.select("tic_id", (F.col("base") - F.col("odd")).alias("odd_depth"), (F.col("base") - F.col("even")).alias("even_depth"), ratio(F.abs(F.col("odd") - F.col("even")), error).alias("odd_even_sigma"))
+
+
+# Solar radius in Earth radii and in au, solar temperature of fits.
+SUN_IN_EARTHS, SUN_IN_AU, SUN_TEFF = 109.076, 0.00465047, 5772.0
+
+
+def derived_parameters(samples: DataFrame) -> DataFrame:
+    """Inclination, depth, full duration, S/N, radius, orbit, temperature and zone of each sample.
+
+    Reads period, rp_rs, b, a_rs, sigma, n_in, rad and teff.  Without a radius there is
+    no radius, orbit or zone; without a temperature no equilibrium temperature or zone.
+    """
+    c = F.col
+    one = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    known = lambda x: F.when((x > 0) & ~F.isnan(x), x)
+    rad, teff = known(c("rad")), known(c("teff"))
+    out = samples.withColumn("__inc", F.acos(one(c("b") / c("a_rs"))))
+    chord = F.sqrt(F.greatest((1 + c("rp_rs")) ** 2 - c("b") ** 2, F.lit(0.0))) / F.nullif(c("a_rs") * F.sin("__inc"), F.lit(0.0))
+    light = rad**2 * (teff / SUN_TEFF) ** 4
+    inner, outer = F.sqrt(light / 1.1), F.sqrt(light / 0.36)
+    out = out.withColumn("inc_deg", F.degrees("__inc")).withColumn("depth_ppm", c("rp_rs") ** 2 * 1e6).withColumn("t14_hr", c("period") / F.pi() * F.asin(one(chord)) * 24)
+    out = out.withColumn("fit_snr", c("rp_rs") ** 2 / F.nullif(c("sigma"), F.lit(0.0)) * F.sqrt(F.greatest(c("n_in"), F.lit(1)).cast("double")))
+    out = out.withColumn("rp_rearth", c("rp_rs") * rad * SUN_IN_EARTHS).withColumn("a_au", c("a_rs") * rad * SUN_IN_AU).withColumn("teq_k", F.when(rad.isNotNull(), teff * F.sqrt(0.5 / c("a_rs"))))
+    out = out.withColumn("hz_score", F.abs(c("a_au") - (inner + outer) / 2) / ((outer - inner) / 2))
+    return out.withColumn("in_hz", c("hz_score") <= 1).drop("__inc")

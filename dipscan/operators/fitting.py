@@ -151,3 +151,90 @@ def fitted(lc: DataFrame, min_points: int = 20) -> DataFrame:
             return pd.DataFrame([blank | {"status": f"failed: {e}"[:80]}])
 
     return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, FIT_SCHEMA)
+
+
+def stretch_walk(log_post, start: np.ndarray, steps: int, rng: np.random.Generator, scale: float = 2.0) -> tuple[np.ndarray, float]:
+    """Affine-invariant ensemble sampling (Goodman and Weare 2010): (steps x walkers x dims, acceptance).
+
+    Each half of the walkers moves along lines to walkers of the other half.
+    """
+    x = start.copy()
+    n, dims = x.shape
+    at = np.array([log_post(p) for p in x])
+    chain, moved = np.empty((steps, n, dims)), 0
+    halves = (np.arange(n // 2), np.arange(n // 2, n))
+    for step in range(steps):
+        for mine, others in (halves, halves[::-1]):
+            z = ((scale - 1) * rng.random(len(mine)) + 1) ** 2 / scale
+            new = x[rng.choice(others, len(mine))]
+            new = new + z[:, None] * (x[mine] - new)
+            there = np.array([log_post(p) for p in new])
+            take = np.log(rng.random(len(mine))) < (dims - 1) * np.log(z) + there - at[mine]
+            x[mine[take]], at[mine[take]] = new[take], there[take]
+            moved += int(take.sum())
+        chain[step] = x
+    return chain, moved / (steps * n)
+
+
+def autocorrelation_time(chain: np.ndarray, window: float = 5.0) -> float:
+    """The longest integrated autocorrelation time over the dimensions, with Sokal's window."""
+    longest = 1.0
+    for d in range(chain.shape[2]):
+        x = chain[:, :, d] - chain[:, :, d].mean(axis=0)
+        f = np.fft.rfft(x, 2 * len(x), axis=0)
+        acf = np.fft.irfft((f * f.conj()).real, axis=0)[: len(x)].mean(axis=1)
+        if acf[0] > 0:
+            tau = 2 * np.cumsum(acf / acf[0]) - 1
+            stop = np.arange(len(tau)) >= window * tau
+            longest = max(longest, float(tau[np.argmax(stop) if stop.any() else -1]))
+    return longest
+
+
+SAMPLE_SCHEMA = "tic_id string, sample_id int, tc double, rp_rs double, b double, ln_a double, ln_sigma double, converged boolean, acceptance double, tau double"
+
+
+def sampled(lc: DataFrame, walkers: int = 32, steps: int = 400, longest: int = 1600, keep: int = 4000, min_points: int = 20, ln_a_sd: float = 0.1, seed: int = 42) -> DataFrame:
+    """Posterior samples of mid-time, radius ratio, impact parameter, ln a/R and ln noise.
+
+    Needs period, t0, dur and ln_a columns and starts at the best of ``fitted``'s kind
+    of fit.  The chain grows until it is 20 autocorrelation times long or ``longest``;
+    its first 30 % is dropped and ``keep`` rows at most remain, evenly spaced.  A star
+    with too few points near the dip gives no rows.  The generator depends on seed
+    and star, so results do not depend on partitions.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        star, period, t0, dur, ln_a = str(pdf["tic_id"].iloc[0]), *(float(pdf[c].iloc[0]) for c in ("period", "t0", "dur", "ln_a"))
+        t, f = pdf["t"].to_numpy(float), pdf["flux"].to_numpy(float)
+        near = (np.abs((t - t0 + period / 2) % period - period / 2) < max(3 * dur, 0.05)) & np.isfinite(f)
+        names = [c.split()[0] for c in SAMPLE_SCHEMA.split(", ")]
+        if near.sum() < min_points:
+            return pd.DataFrame(columns=names)
+        t, f = t[near], f[near]
+        rng = np.random.default_rng([seed, *star.encode()])
+        noise = max(1.4826 * float(np.median(np.abs(f - np.median(f)))), 1e-9)
+        flux = lambda p: transit_model(separation(t, p[0], period, np.exp(p[3]), p[2]), p[1], rings=100)
+        lo, hi = np.array([t0 - dur, 0.005, 0.0, ln_a - 1, np.log(noise) - 5]), np.array([t0 + dur, 0.3, 1.0, ln_a + 1, np.log(noise) + 5])
+
+        def log_post(p: np.ndarray) -> float:
+            if (p < lo).any() or (p > hi).any() or p[2] >= np.exp(p[3]):
+                return -np.inf
+            r = (f - flux(p)) / np.exp(p[4])
+            return -0.5 * float(r @ r) - len(f) * p[4] - 0.5 * ((p[3] - ln_a) / ln_a_sd) ** 2
+
+        fits = [_least_squares(lambda x: (f - flux(np.append(x, [ln_a, 0.0]))) / noise, np.array([t0, 0.05, b]), lo[:3], hi[:3])[:2] for b in (0.1, 0.5, 0.8)]
+        best = np.append(min(fits, key=lambda s: s[1])[0], [ln_a, np.log(noise)])
+        spread = np.array([dur * 0.02, 0.002, 0.05, 0.02, 0.05])
+        start = np.clip(best + spread * rng.standard_normal((walkers, len(best))), lo + 1e-9, hi - 1e-9)
+        chain, accepted = stretch_walk(log_post, start, steps, rng)
+        tau = autocorrelation_time(chain)
+        while len(chain) <= 20 * tau and len(chain) < longest:
+            more, accepted = stretch_walk(log_post, chain[-1], steps, rng)
+            chain = np.concatenate([chain, more])
+            tau = autocorrelation_time(chain)
+        flat = chain[int(0.3 * len(chain)):].reshape(-1, chain.shape[2])
+        flat = flat[np.unique(np.linspace(0, len(flat) - 1, min(keep, len(flat))).astype(int))]
+        out = pd.DataFrame(flat, columns=names[2:7])
+        return out.assign(tic_id=star, sample_id=np.arange(len(out)), converged=bool(len(chain) > 20 * tau and 0.1 < accepted < 0.9), acceptance=accepted, tau=tau)[names]
+
+    return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, SAMPLE_SCHEMA)

@@ -47,3 +47,15 @@ def ranked_dips(lc: DataFrame, min_days: float = 13.5, min_sde: float = 2.0, top
     found = found.withColumn("sde", F.round("sde", 6)).where(is_candidate(F.col("sde"), min_sde=min_sde))
     best = found.orderBy(F.desc("sde"), "tic_id").limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sde"), "tic_id")))
+
+
+def selected(scores: DataFrame, min_prob: float = 0.5, top: int | None = None) -> DataFrame:
+    """Rows to fit, best first: done, with a period, not synthetic, probable enough.
+
+    Where a row has no probability, the detection cuts decide and sde orders it behind.
+    """
+    c = F.col
+    rows = scores.where((c("status") == "done") & c("period").isNotNull() & ~c("tic_id").startswith("SYN_"))
+    rows = rows.where(F.coalesce(c("p_transit") >= min_prob, is_candidate(c("sde"), c("fap"))))
+    rows = rows.orderBy(F.desc_nulls_last("p_transit"), F.desc_nulls_last("sde"), "tic_id")
+    return rows.limit(top) if top else rows

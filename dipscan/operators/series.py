@@ -132,3 +132,29 @@ def thinned(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
     slot = F.floor(F.col("__i") * (n - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
     before = F.floor((F.col("__i") - 1) * (n - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
     return rows.where((F.col("__n") <= n) | (F.col("__i") == 0) | (slot > before)).drop("__i", "__n")
+
+
+def adaptive_bins(lc: DataFrame, most: int = 6000, size: float = 6 / 1440) -> DataFrame:
+    """(tic_id, t, flux, n): time bins for stars with more than ``most`` rows, single rows for others."""
+    rows = lc.withColumn("__n", F.count("*").over(star())).withColumn("__k", F.floor((F.col("t") - F.min("t").over(star())) / size))
+    key = F.when(F.col("__n") > most, F.struct(F.col("__k").alias("k"), F.lit(None).cast("bigint").alias("e"))).otherwise(F.struct(F.lit(None).cast("bigint").alias("k"), F.col("event_id").alias("e")))
+    return rows.groupBy("tic_id", key.alias("__key")).agg(F.avg("t").alias("t"), F.avg("flux").alias("flux"), F.count("*").alias("n")).drop("__key")
+
+
+def epochs(lc: DataFrame) -> DataFrame:
+    """(tic_id, epoch, mid): every predicted mid-time within each star's range."""
+    span = lc.groupBy("tic_id").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.first("period").alias("period"), F.first("t0").alias("t0"))
+    first, last = F.ceil((F.col("a") - F.col("t0")) / F.col("period")), F.floor((F.col("b") - F.col("t0")) / F.col("period"))
+    rows = span.where(last >= first).select("tic_id", "period", "t0", F.explode(F.sequence(first, last)).alias("epoch"))
+    return rows.select("tic_id", "epoch", (F.col("t0") + F.col("epoch") * F.col("period")).alias("mid"))
+
+
+def epoch_windows(lc: DataFrame) -> DataFrame:
+    """(tic_id, epoch, n, flux): rows within half a dip of each predicted mid-time.
+
+    The nearest epoch of a row is arithmetic, so the interval join is one on (star, epoch).
+    """
+    near = F.rint((F.col("t") - F.col("t0")) / F.col("period")).cast("bigint")
+    rows = lc.withColumn("epoch", near).where(F.abs(F.col("t") - F.col("t0") - F.col("epoch") * F.col("period")) < F.col("dur") / 2)
+    seen = rows.groupBy("tic_id", "epoch").agg(F.count("flux").alias("n"), F.avg("flux").alias("flux"))
+    return epochs(lc).join(seen, ["tic_id", "epoch"], "left").select("tic_id", "epoch", "mid", F.coalesce("n", F.lit(0)).alias("n"), "flux")

@@ -117,4 +117,27 @@ ORACLES: dict[str, str] = {
     "tumbling_bins": "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "session_segments": """WITH c AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS cut FROM events), s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS seg FROM c)
       SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, seg""",
+    "fold_T1": f"WITH {_PHI} SELECT event_id, round(phi, 6) AS phi FROM f",
+    "hours_T3": f"WITH {_UNIT}, x AS (SELECT *, t - t0 + period / 2 AS x FROM u) SELECT event_id, round((x - floor(x / period) * period - period / 2) * 24, 5) AS hours FROM x",
+    "gap_fill_T5": f"""WITH {_LC}, g AS (SELECT tic_id, event_id, t, CASE WHEN event_id % 4 <> 0 THEN flux END AS flux FROM lc), known AS (SELECT * FROM g WHERE flux IS NOT NULL),
+      a AS (SELECT g.tic_id, g.event_id, g.t, g.flux, p.t AS ta, p.flux AS fa FROM g ASOF LEFT JOIN known p ON g.tic_id = p.tic_id AND g.t >= p.t), b AS (SELECT a.*, q.t AS tb, q.flux AS fb FROM a ASOF LEFT JOIN known q ON a.tic_id = q.tic_id AND a.t <= q.t)
+      SELECT event_id, round(coalesce(flux, fa + (fb - fa) / nullif(tb - ta, 0) * (t - ta)), 4) AS flux FROM b""",
+    "adaptive_bin_T22": f"""WITH {_LC}, k AS (SELECT *, count(*) OVER (PARTITION BY tic_id) AS c, CAST(floor((t - min(t) OVER (PARTITION BY tic_id)) / 2.0::DOUBLE) AS BIGINT) AS k FROM lc)
+      SELECT tic_id, round(avg(t), 4) AS t, round(avg(flux), 4) AS flux, count(*) AS n FROM k GROUP BY tic_id, CASE WHEN c > 60 THEN k END, CASE WHEN c <= 60 THEN event_id END""",
+    "epoch_join_J8": f"""WITH {_UNIT}, s AS (SELECT tic_id, min(t) AS a, max(t) AS b, min(period) AS period, min(t0) AS t0 FROM u GROUP BY tic_id),
+      e AS (SELECT tic_id, CAST(unnest(range(CAST(ceil((a - t0) / period) AS BIGINT), CAST(floor((b - t0) / period) AS BIGINT) + 1)) AS BIGINT) AS epoch, t0, period FROM s)
+      SELECT e.tic_id, epoch, round(e.t0 + epoch * e.period, 5) AS mid, count(u.flux) AS n, round(avg(u.flux), 5) AS flux FROM e LEFT JOIN u ON e.tic_id = u.tic_id AND abs(u.t - e.t0 - epoch * e.period) < u.dur / 2 GROUP BY e.tic_id, epoch, e.t0, e.period""",
+    "epochs_X10": f"""WITH {_UNIT}, s AS (SELECT tic_id, min(t) AS a, max(t) AS b, min(period) AS period, min(t0) AS t0 FROM u GROUP BY tic_id)
+      SELECT tic_id, epoch, round(t0 + epoch * period, 5) AS mid FROM (SELECT tic_id, t0, period, CAST(unnest(range(CAST(ceil((a - t0) / period) AS BIGINT), CAST(floor((b - t0) / period) AS BIGINT) + 1)) AS BIGINT) AS epoch FROM s)""",
+    "derived_T26": """WITH x AS (SELECT l_orderkey, l_linenumber, 1.0::DOUBLE + l_orderkey % 40 AS p, 0.01::DOUBLE + l_discount AS rp, l_tax * 12 AS b, 3.0::DOUBLE + l_quantity AS a, l_linenumber AS n_in,
+        CASE WHEN l_orderkey % 5 <> 0 THEN (l_orderkey % 5) * 0.4::DOUBLE END AS r, CASE WHEN l_orderkey % 7 <> 0 THEN 4000.0::DOUBLE + l_orderkey % 3000 END AS teff FROM lineitem),
+      y AS (SELECT *, acos(least(greatest(b / a, 0), 1)) AS inc, r * r * pow(teff / 5772.0::DOUBLE, 4) AS l, a * r * 0.00465047::DOUBLE AS au FROM x),
+      z AS (SELECT *, sqrt(greatest(pow(1 + rp, 2) - b * b, 0)) / nullif(a * sin(inc), 0) AS chord, sqrt(l / 1.1::DOUBLE) AS i, sqrt(l / 0.36::DOUBLE) AS o FROM y),
+      h AS (SELECT *, abs(au - (i + o) / 2) / ((o - i) / 2) AS hz FROM z)
+      SELECT l_orderkey, l_linenumber, round(degrees(inc), 4) AS inc_deg, round(rp * rp * 1e6::DOUBLE, 4) AS depth_ppm, round(p / pi() * asin(CASE WHEN chord IS NULL THEN 0 ELSE least(greatest(chord, 0), 1) END) * 24, 4) AS t14_hr, round(rp * rp / 0.002::DOUBLE * sqrt(greatest(n_in, 1)), 4) AS fit_snr,
+        round(rp * r * 109.076::DOUBLE, 4) AS rp_rearth, round(au, 4) AS a_au, round(CASE WHEN r IS NOT NULL THEN teff * sqrt(0.5::DOUBLE / a) END, 4) AS teq_k, round(hz, 4) AS hz_score, hz <= 1 AS in_hz FROM h""",
+    "select_M12": """WITH k AS (SELECT o_orderkey AS k FROM orders), x AS (SELECT k, CASE WHEN k % 9 = 0 THEN 'SYN_' ELSE '' END || k AS tic_id, CASE WHEN k % 4 <> 0 THEN (k % 10) * 0.1::DOUBLE END AS p, (k % 23) * 0.5::DOUBLE AS sde, CASE k % 3 WHEN 0 THEN 0.001::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS fap FROM k WHERE k % 8 <> 0 AND k % 6 <> 0 AND k % 9 <> 0)
+      SELECT tic_id, round(p, 6) AS p_transit, round(sde, 6) AS sde FROM x WHERE CASE WHEN p IS NOT NULL THEN p >= 0.5::DOUBLE ELSE sde >= 7 AND coalesce(fap < 0.01::DOUBLE, true) END""",
+    "group_folds_M3": "SELECT CAST(c_custkey AS VARCHAR) AS grp, c_mktsegment AS label, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR) || '42'), CAST(c_custkey AS VARCHAR)) - 1) % 5 AS INTEGER) AS fold FROM customer",
+    "plot_fold_R7": f"WITH {_PHI}, b AS (SELECT tic_id, CAST({_BIN.format(n=40)} AS INTEGER) AS bin, avg(flux) AS flux, count(*) AS n FROM f WHERE phi < 0.5 GROUP BY 1, 2) SELECT tic_id, bin, round(flux, 6) AS flux, n, round(min(flux) OVER (PARTITION BY tic_id), 6) AS lowest, CAST(sum(n) OVER (PARTITION BY tic_id) AS BIGINT) AS points FROM b",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import plans, streaming
+from .plans import stacking
 from .operators import catalog, features, fitting, metrics, search, series, vetting
 from .sources import light_curves, table, toi_catalogue
 
@@ -469,3 +470,101 @@ def gbt_M4(spark, sf_dir):
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumn("grp", F.concat("source", F.lit("/"), F.col("doc_id") % 5))
     train, test = plans.split_by_group(rows)
     return rounded(plans.scored(plans.fit_classifier(train, ["chars", "words", "stops"]), test).select("doc_id", "label", "score"))
+
+
+# -- windows, epochs, derived parameters, selection --------------------------
+
+
+@query
+def fold_T1(spark, sf_dir):
+    return rounded(series.folded(curves(spark, sf_dir)).select("event_id", "phi"))
+
+
+@query
+def hours_T3(spark, sf_dir):
+    return rounded(curves(spark, sf_dir).select("event_id", X.hours_from_mid(F.col("t"), F.col("period"), F.col("t0")).alias("hours")), 5)
+
+
+@query
+def gap_fill_T5(spark, sf_dir):
+    lc = light_curves(spark, sf_dir).withColumn("flux", F.when(F.col("event_id") % 4 != 0, F.col("flux")))
+    return rounded(series.gap_filled(lc).select("event_id", "flux"), 4)
+
+
+@query
+def adaptive_bin_T22(spark, sf_dir):
+    return rounded(series.adaptive_bins(light_curves(spark, sf_dir), most=60, size=2.0), 4)
+
+
+@query
+def epoch_join_J8(spark, sf_dir):
+    return rounded(series.epoch_windows(unit_curves(spark, sf_dir)), 5)
+
+
+@query
+def epochs_X10(spark, sf_dir):
+    return rounded(series.epochs(curves(spark, sf_dir)), 5)
+
+
+@query
+def derived_T26(spark, sf_dir):
+    k = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (1.0 + k % 40).alias("period"), (0.01 + F.col("l_discount")).alias("rp_rs"), (F.col("l_tax") * 12).alias("b"), (3.0 + F.col("l_quantity")).alias("a_rs"),
+        F.lit(0.002).alias("sigma"), F.col("l_linenumber").alias("n_in"), F.when(k % 5 != 0, (k % 5) * 0.4).alias("rad"), F.when(k % 7 != 0, 4000.0 + k % 3000).alias("teff"),
+    )
+    out = features.derived_parameters(rows).select("l_orderkey", "l_linenumber", "inc_deg", "depth_ppm", "t14_hr", "fit_snr", "rp_rearth", "a_au", "teq_k", "hz_score", "in_hz")
+    return rounded(out, 4)
+
+
+@query
+def select_M12(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.when(k % 9 == 0, "SYN_").otherwise(""), k.cast("string")).alias("tic_id"), F.when(k % 8 == 0, "failed").otherwise("done").alias("status"), F.when(k % 6 != 0, 1.0).alias("period"),
+        F.when(k % 4 != 0, (k % 10) * 0.1).alias("p_transit"), ((k % 23) * 0.5).alias("sde"), F.when(k % 3 == 0, 0.001).when(k % 3 == 1, 0.5).alias("fap"),
+    )
+    return rounded(search.selected(rows).select("tic_id", "p_transit", "sde"))
+
+
+@query
+def group_folds_M3(spark, sf_dir):
+    return stacking.group_folds(groups(spark, sf_dir))
+
+
+@query
+def plot_fold_R7(spark, sf_dir):
+    """The folded, binned curve behind a plot, with the star's deepest bin beside it."""
+    bins = series.fold_bins(unit_curves(spark, sf_dir), 40)
+    low = bins.groupBy("tic_id").agg(F.min("flux").alias("lowest"), F.sum("n").alias("points"))
+    return rounded(bins.join(low, "tic_id").select("tic_id", "bin", "flux", "n", "lowest", "points"))
+
+
+def _text_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(train, test, features) of documents and their quality labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "[.]")).cast("double").alias("stops"))
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumn("grp", F.concat("source", F.lit("/"), F.col("doc_id") % 5))
+    return (*plans.split_by_group(rows), ["chars", "words", "stops"])
+
+
+@query
+def stacked_M6(spark, sf_dir):
+    train, test, columns = _text_features(spark, sf_dir)
+    return rounded(stacking.stacked(train, test, columns).select("doc_id", "label", "score"))
+
+
+@query
+def learning_curve_M9(spark, sf_dir):
+    return rounded(stacking.learning_curve(*_text_features(spark, sf_dir)))
+
+
+@query
+def importance_M10(spark, sf_dir):
+    train, test, columns = _text_features(spark, sf_dir)
+    return rounded(stacking.permutation_importance(plans.fit_classifier(train, columns), test, columns, "doc_id", repeats=2))
+
+
+@query
+def posterior_T25(spark, sf_dir):
+    lc = unit_curves(spark, sf_dir).withColumn("ln_a", F.lit(2.0))
+    return rounded(fitting.sampled(lc, walkers=16, steps=30, longest=60, keep=50, min_points=30))
