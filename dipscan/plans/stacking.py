@@ -66,13 +66,15 @@ def stacked(train: DataFrame, test: DataFrame, features: list[str], k: int = 3,
     blends that are out of fold as well, so neither sees a row twice.
     """
     base = list(learners(label))
-    inner = out_of_fold(with_folds(train, k, group, label), features, k, label, trees).cache()
+    rows_in = with_folds(train, k, group, label).cache()
+    inner = out_of_fold(rows_in, features, k, label, trees).cache()
     try:
         held = reduce(DataFrame.unionByName, [_logistic(inner.where(F.col("fold") != i), inner.where(F.col("fold") == i), base, "__blend", label) for i in range(k)])
-        rows = _logistic(inner, _scores(train, test, features, label, trees), base, "__blend", label)
+        rows = _logistic(inner, _scores(rows_in, test, features, label, trees), base, "__blend", label)
         return _logistic(held, rows, ["__blend"], "score", label).drop("__blend")
     finally:
         inner.unpersist()
+        rows_in.unpersist()
 
 
 def learning_curve(train: DataFrame, test: DataFrame, features: list[str], shares=(0.2, 0.4, 0.6, 0.8, 1.0), group: str = "grp", label: str = "label", trees: int = 20) -> DataFrame:
