@@ -123,7 +123,7 @@ ORACLES: dict[str, str] = {
       a AS (SELECT g.tic_id, g.event_id, g.t, g.flux, p.t AS ta, p.flux AS fa FROM g ASOF LEFT JOIN known p ON g.tic_id = p.tic_id AND g.t >= p.t), b AS (SELECT a.*, q.t AS tb, q.flux AS fb FROM a ASOF LEFT JOIN known q ON a.tic_id = q.tic_id AND a.t <= q.t)
       SELECT event_id, round(coalesce(flux, fa + (fb - fa) / nullif(tb - ta, 0) * (t - ta)), 4) AS flux FROM b""",
     "adaptive_bin_T22": f"""WITH {_LC}, k AS (SELECT *, count(*) OVER (PARTITION BY tic_id) AS c, CAST(floor((t - min(t) OVER (PARTITION BY tic_id)) / 2.0::DOUBLE) AS BIGINT) AS k FROM lc)
-      SELECT tic_id, round(avg(t), 4) AS t, round(avg(flux), 4) AS flux, count(*) AS n FROM k GROUP BY tic_id, CASE WHEN c > 60 THEN k END, CASE WHEN c <= 60 THEN event_id END""",
+      SELECT tic_id, round(avg(t), 6) AS t, round(avg(flux), 6) AS flux, count(*) AS n FROM k GROUP BY tic_id, CASE WHEN c > 60 THEN k END, CASE WHEN c <= 60 THEN event_id END""",
     "epoch_join_J8": f"""WITH {_UNIT}, s AS (SELECT tic_id, min(t) AS a, max(t) AS b, min(period) AS period, min(t0) AS t0 FROM u GROUP BY tic_id),
       e AS (SELECT tic_id, CAST(unnest(range(CAST(ceil((a - t0) / period) AS BIGINT), CAST(floor((b - t0) / period) AS BIGINT) + 1)) AS BIGINT) AS epoch, t0, period FROM s)
       SELECT e.tic_id, epoch, round(e.t0 + epoch * e.period, 5) AS mid, count(u.flux) AS n, round(avg(u.flux), 5) AS flux FROM e LEFT JOIN u ON e.tic_id = u.tic_id AND abs(u.t - e.t0 - epoch * e.period) < u.dur / 2 GROUP BY e.tic_id, epoch, e.t0, e.period""",

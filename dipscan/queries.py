@@ -493,7 +493,7 @@ def gap_fill_T5(spark, sf_dir):
 
 @query
 def adaptive_bin_T22(spark, sf_dir):
-    return rounded(series.adaptive_bins(light_curves(spark, sf_dir), most=60, size=2.0), 4)
+    return rounded(series.adaptive_bins(light_curves(spark, sf_dir), most=60, size=2.0))
 
 
 @query
