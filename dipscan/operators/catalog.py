@@ -75,3 +75,23 @@ def hosts_of(stars: DataFrame, injections: DataFrame) -> DataFrame:
     """``host`` of every star: a synthetic one's from its path, else itself."""
     hosts = injections.select("tic_id", F.regexp_extract("host_path", r"TIC_(\d+)\.npz$", 1).alias("__host"))
     return stars.join(hosts, "tic_id", "left").withColumn("host", F.coalesce("__host", "tic_id")).drop("__host")
+
+
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def feature_columns(df: DataFrame, exclude: set[str] = frozenset()) -> list[str]:
+    """Numeric columns that hold a value, in order of name; one pass over all rows."""
+    names = sorted(c for c, t in df.dtypes if c not in exclude and (t in NUMERIC or t.startswith("decimal")))
+    found = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in names]).first() if names else {}
+    return [c for c in names if found[c]]
+
+
+def class_codes(df: DataFrame, column: str, code: str) -> DataFrame:
+    """``code`` 0..K-1 of each row's class, in order of the classes; null stays null.
+
+    Only the distinct classes are ranked, and classes are few.
+    """
+    classes = df.select(column).where(F.col(column).isNotNull()).distinct()
+    ranked = classes.withColumn(code, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    return df.join(ranked, column, "left")

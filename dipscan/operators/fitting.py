@@ -238,3 +238,26 @@ def sampled(lc: DataFrame, walkers: int = 32, steps: int = 400, longest: int = 1
         return out.assign(tic_id=star, sample_id=np.arange(len(out)), converged=bool(len(chain) > 20 * tau and 0.1 < accepted < 0.9), acceptance=accepted, tau=tau)[names]
 
     return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, SAMPLE_SCHEMA)
+
+
+def residuals(lc: DataFrame, rings: int = 300) -> DataFrame:
+    """Rows with model flux, residual in units of ``sigma`` and Gaussian log-likelihood term.
+
+    Needs period, t0, rp_rs, a_rs, b and sigma columns, constant for each star.  Rows
+    need no grouping: batches are cut by their parameters.  A null flux gives nulls.
+    """
+    schema = "tic_id string, event_id bigint, t double, flux double, model double, residual double, log_like double"
+    given = ["period", "t0", "rp_rs", "a_rs", "b", "sigma"]
+
+    def run(batches):
+        for pdf in batches:
+            model = np.full(len(pdf), np.nan)
+            for values, at in pdf.groupby(given).indices.items():
+                period, t0, rp, ar, b, _ = values
+                model[at] = transit_model(separation(pdf["t"].to_numpy(float)[at], t0, period, ar, b), rp, rings=rings)
+            r = (pdf["flux"].to_numpy(float) - model) / pdf["sigma"].to_numpy(float)
+            like = -0.5 * r * r - np.log(pdf["sigma"].to_numpy(float))
+            some = lambda x: pd.Series(x, dtype=object).where(~np.isnan(x), None)
+            yield pd.DataFrame({"tic_id": pdf["tic_id"], "event_id": pdf["event_id"], "t": pdf["t"], "flux": pdf["flux"], "model": some(model), "residual": some(r), "log_like": some(like)})
+
+    return lc.select("tic_id", "event_id", "t", "flux", *given).mapInPandas(run, schema)

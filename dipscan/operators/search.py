@@ -59,3 +59,28 @@ def selected(scores: DataFrame, min_prob: float = 0.5, top: int | None = None) -
     rows = rows.where(F.coalesce(c("p_transit") >= min_prob, is_candidate(c("sde"), c("fap"))))
     rows = rows.orderBy(F.desc_nulls_last("p_transit"), F.desc_nulls_last("sde"), "tic_id")
     return rows.limit(top) if top else rows
+
+
+def geometry(lc: DataFrame, bins: int = 20, **grid) -> DataFrame:
+    """Geometry features of each star's best period; all null where none was found.
+
+    The dip is one bin wide.  ``rp_rs`` is null where the best bin is no dip.
+    """
+    c = F.col
+    whole = lc.groupBy("tic_id").agg(F.min("t").alias("start"), (F.max("t") - F.min("t")).alias("baseline"), F.stddev_pop("flux").alias("sd"))
+    found = box_search(lc, bins=bins, **grid).join(whole, "tic_id")
+    return found.select(
+        "tic_id", "period", "depth", (c("depth") * 1e6).alias("depth_ppm"), (c("period") / bins * 24).alias("duration_hr"), F.floor(c("baseline") / c("period")).alias("transit_count"), "sde",
+        (ratio(c("depth"), c("sd")) * F.sqrt("n_in")).alias("snr"), (c("start") + (c("bin") + 0.5) / bins * c("period")).alias("t0"), F.when(c("depth") >= 0, F.sqrt("depth")).alias("rp_rs"), F.lit(1.0 / bins).alias("phase_coverage"),
+    )
+
+
+def routed(df: DataFrame, probs: str, cut: float = 0.65) -> DataFrame:
+    """``predicted`` class, its ``confidence``, and whether a person should look: confidence below ``cut``.
+
+    Ties go to the lower class; a null or empty array gives nulls.
+    """
+    best = F.array_max(F.transform(probs, lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
+    out = df.withColumn("__best", best)
+    out = out.withColumn("predicted", (-F.col("__best.i")).cast("int")).withColumn("confidence", F.col("__best.p"))
+    return out.withColumn("to_review", F.col("confidence") < cut).drop("__best")

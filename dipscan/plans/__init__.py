@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import no_nan
+from ..operators.catalog import feature_columns
 from ..operators.metrics import group_split
 
 
@@ -43,3 +45,11 @@ def split_by_group(df: DataFrame, group: str = "grp", label: str = "label") -> t
     parts = group_split(df.groupBy(group).agg(F.max(label).alias(label)), by=label, group=group).select(group, "part")
     both = df.join(parts, group)
     return both.where("part = 'train'").drop("part"), both.where("part = 'test'").drop("part")
+
+
+def assembled(df: DataFrame, keys: tuple[str, ...] = ("tic_id", "label", "status", "sector", "t0", "n_cadences")) -> tuple[DataFrame, list[str]]:
+    """(training rows, feature names): done and labelled rows; infinities and NaN as null."""
+    rows = df.where((F.col("status") == "done") & (F.col("label") >= 0))
+    kinds = dict(df.dtypes)
+    rows = rows.select([no_nan(F.col(c)).alias(c) if kinds[c] in ("float", "double") else F.col(c) for c in df.columns])
+    return rows, feature_columns(rows, set(keys))

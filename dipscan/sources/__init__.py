@@ -39,11 +39,11 @@ def toi_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", comment: str | None = None) -> DataFrame:
-    """Typed CSV: padding and header blanks stripped, quoted line ends allowed.
+    """Typed CSV: padding and header blanks stripped, quoted line ends and doubled quotes allowed.
 
     PERMISSIVE keeps malformed rows as nulls, DROPMALFORMED leaves them out.
     """
-    reader = spark.read.schema(schema).options(header=True, mode=mode, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+    reader = spark.read.schema(schema).options(header=True, mode=mode, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
     if comment:
         reader = reader.option("comment", comment)
     frame = reader.csv(path)
@@ -114,3 +114,34 @@ def scan_npz(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([str(z["tic_id"])] * n), get("time", np.float64), get(flux, np.float64), get("quality", np.int32), get("mom_centr1", np.float64), get("mom_centr2", np.float64)], names=[x.split()[0] for x in SERIES_SCHEMA.split(", ")])
 
     return files.mapInArrow(rows, SERIES_SCHEMA)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines by a schema; names that a line lacks are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def listed(spark: SparkSession, folder: str, glob: str = "*.npz") -> DataFrame:
+    """(path, size) of the files below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return files.select("path", F.col("length").alias("size"))
+
+
+def scan_fits_table(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """Rows of the binary tables below a folder: doubles (NaN: null) and text (empty: null)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.fits").load(folder).select("content")
+    names = schema.names
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                card = fits_headers(content)[1]
+                kinds = [(card[f"TTYPE{i}"], ">f8" if card[f"TFORM{i}"] == "1D" else f"S{card[f'TFORM{i}'][:-1]}") for i in range(1, int(card["TFIELDS"]) + 1)]
+                size, n = int(card["NAXIS1"]), int(card["NAXIS2"])
+                # the data follow the second header and fill the file's last blocks
+                table_at = len(content) - -(-size * n // 2880) * 2880
+                found = np.frombuffer(content, dtype=kinds, count=n, offset=table_at)
+                columns = [pa.array(found[c].astype(float), from_pandas=True) if found.dtype[c].kind == "f" else pa.array([v.decode("ascii") or None for v in found[c].tolist()], pa.string()) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return files.mapInArrow(rows, schema)

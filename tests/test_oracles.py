@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
-from dipscan.oracles import ORACLES
-from dipscan.queries import QUERIES
+from dipscan import oracles, queries, table_queries
+
+ORACLES = oracles.ORACLES | table_queries.ORACLES
+QUERIES = queries.QUERIES | table_queries.QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
