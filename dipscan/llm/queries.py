@@ -111,6 +111,25 @@ WITH r(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example
            FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1""",
+    "op8_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     u AS (SELECT doc_id, len(ws) AS k, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) >= 5),
+     v AS (SELECT doc_id, k, i, concat_ws(' ', a, lead(a, 1) OVER d, lead(a, 2) OVER d, lead(a, 3) OVER d, lead(a, 4) OVER d) AS g FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+     h AS (SELECT DISTINCT doc_id, hash(g) AS g FROM v WHERE i <= k - 4 UNION ALL SELECT doc_id, hash(array_to_string(ws, ' ')) FROM w WHERE len(ws) BETWEEN 1 AND 4),
+     n AS (SELECT doc_id, count(*) AS n, sum(g::HUGEINT) AS total, bit_xor(hash(g)) AS mixed FROM h GROUP BY doc_id),
+     sets AS (SELECT *, min(doc_id) OVER (PARTITION BY n, total, mixed) AS rep FROM n),
+     r AS (SELECT h.doc_id, g, n FROM h JOIN sets ON h.doc_id = sets.doc_id AND sets.doc_id = rep),
+     f AS (SELECT g, count(*) AS k FROM r GROUP BY g),
+     o AS (SELECT r.doc_id, r.g, n, row_number() OVER (PARTITION BY r.doc_id ORDER BY k, r.g) AS place FROM r JOIN f ON r.g = f.g),
+     first AS (SELECT * FROM o WHERE place <= n - ceil(0.75 * n) + 1),
+     near AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM first a JOIN first b ON a.g = b.g AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+     p AS (SELECT x, y, nx, ny, count(*) AS common FROM near JOIN r a ON a.doc_id = x JOIN r b ON b.doc_id = y AND b.g = a.g GROUP BY ALL),
+     l AS (SELECT x, y FROM p WHERE 100 * common >= 75 * (nx + ny - common)),
+     e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+     c AS (SELECT x AS id, x AS comp FROM e UNION SELECT e.y, c.comp FROM c JOIN e ON e.x = c.id AND c.comp < e.y),
+     m AS (SELECT id, min(comp) AS comp FROM c GROUP BY id)
+SELECT d.doc_id, coalesce(sets.n, 0)::BIGINT AS n_shingles, coalesce(m.comp, sets.rep, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN m ON m.id = sets.rep""",
     "op10_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
