@@ -70,5 +70,5 @@ def learning_groups(groups: DataFrame, by: str = "label", group: str = "grp", sh
 def mean_abs_attribution(df: DataFrame, columns: list[str], top: int = 15) -> DataFrame:
     """(feature, mean_abs) of the ``top`` features by mean absolute contribution; ties by name."""
     means = df.agg(*[F.avg(F.abs(c)).alias(c) for c in columns])
-    rows = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 6).alias("mean_abs")) for c in columns])).alias("r"))
+    rows = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs")) for c in columns])).alias("r"))
     return rows.select("r.*").orderBy(F.desc("mean_abs"), "feature").limit(top)
