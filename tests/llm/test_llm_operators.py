@@ -244,6 +244,25 @@ def test_repeated_passages(spark):
     assert left[0].text is None and left[n].text == texts[n] and left[n].n == "clash"
 
 
+def test_two_passages_of_a_pair(spark):
+    rng = random.Random(31)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts, gaps = [], [(0, 0), (20, 20), (41, 41), (50, 50), (59, 59), (70, 70), (90, 90), (110, 110), (150, 150), (300, 300), (30, 38), (30, 80), (80, 95), (0, 40), (250, 20)]
+    for g, h in gaps:
+        one, two = text(60), text(60)
+        texts += [" ".join(text(30) + one + text(g) + two + text(30)), " ".join(text(20) + one + text(h) + two + text(40))]
+    one, two, three = text(60), text(60), text(60)
+    texts += [" ".join(one + two + text(40) + three), " ".join(one + three + text(40) + two)]
+    rows = passages.repeated_passages(docs_of(spark, texts)).collect()
+    for i, (_, h) in enumerate(gaps):
+        covered = {w for r in rows if (r.id, r.src_id) == (2 * i + 1, 2 * i) for w in range(r.start_word, r.end_word)}
+        assert covered >= {*range(20, 80), *range(80 + h, 140 + h)}, (i, h)
+        assert h <= 38 or not covered & set(range(85, 75 + h)), (i, h)
+    covered = {w for r in rows if r.id == 2 * len(gaps) + 1 for w in range(r.start_word, r.end_word)}
+    assert covered >= {*range(120), *range(160, 220)}
+    assert all(r.similarity >= 0.75 and max(r.end_word - r.start_word, r.src_end - r.src_start) >= 45 for r in rows)
+
+
 def test_chains_prefer_order():
     at = np.array([0, 5, 10, 15, 20, 7])
     to = np.array([100, 105, 110, 116, 121, 900])
