@@ -263,6 +263,19 @@ def test_two_passages_of_a_pair(spark):
     assert all(r.similarity >= 0.75 and max(r.end_word - r.start_word, r.src_end - r.src_start) >= 45 for r in rows)
 
 
+def test_passage_made_of_stock_phrases(spark):
+    rng = random.Random(32)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    texts = [" ".join(text(40) + passage[5 * min(i, 8) + 4 * (i == 9): 5 * min(i, 8) + 4 * (i == 9) + 16] + text(40)) for i in range(10)]
+    texts += [" ".join(text(60)) for _ in range(20)]
+    texts += [" ".join(text(30) + passage + text(20)), " ".join(text(10) + passage + text(50)), " ".join(text(25) + passage + text(25))]
+    rows = passages.repeated_passages(docs_of(spark, texts)).collect()
+    assert {r.id for r in rows} == {31, 32}
+    for i, start in ((31, 10), (32, 25)):
+        assert any(r.id == i and r.start_word <= start and r.end_word >= start + 60 and r.similarity > 0.9 for r in rows)
+
+
 def test_chains_prefer_order():
     at = np.array([0, 5, 10, 15, 20, 7])
     to = np.array([100, 105, 110, 116, 121, 900])
