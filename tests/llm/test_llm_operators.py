@@ -276,6 +276,18 @@ def test_passage_made_of_stock_phrases(spark):
         assert any(r.id == i and r.start_word <= start and r.end_word >= start + 60 and r.similarity > 0.9 for r in rows)
 
 
+def test_recall_of_changed_passages(spark):
+    rng = random.Random(33)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for step in (12, 10, 8, 6):
+        for _ in range(20):
+            p, at = text(60), rng.randrange(step)
+            texts += [" ".join(text(40) + p + text(40)), " ".join(text(20) + ["new" if i % step == at else w for i, w in enumerate(p)] + text(50))]
+    found = {(r.id, r.src_id) for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert found == {(i + 1, i) for i in range(0, len(texts), 2)}
+
+
 def test_chains_prefer_order():
     at = np.array([0, 5, 10, 15, 20, 7])
     to = np.array([100, 105, 110, 116, 121, 900])
