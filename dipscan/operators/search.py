@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,84 @@ def period_grid(df: DataFrame, low: float, high: float, n: int) -> DataFrame:
     return df.sparkSession.range(n).select((F.lit(low) + F.col("id") * ((high - low) / n)).alias("period"))
 
 
-def box_search(lc: DataFrame, low: float = 1.0, high: float = 10.0, n_periods: int = 60, bins: int = 20) -> DataFrame:
-    """The strongest single-bin dip of each star over the trial periods.
+def trial_periods(baseline: float, low: float = 0.5, longest: float = 27.0, dip: float = 1 / 60, oversampling: int = 3) -> np.ndarray:
+    """Periods from ``low`` to min(longest, baseline / 2), even in frequency; empty for a short curve.
+
+    One step moves a dip by a part ``1 / oversampling`` of its length ``dip`` (in periods) over the baseline.
+    """
+    high = min(longest, baseline / 2)
+    if not high >= low:
+        return np.array([])
+    n = int(np.ceil((1 / low - 1 / high) * baseline * oversampling / dip)) + 1
+    return 1 / np.linspace(1 / low, 1 / high, n)
+
+
+def strongest_box(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: int, widths: tuple[int, ...]) -> tuple | None:
+    """(period, bin, width, sr, sde, depth, n_in) of the best box of some bins; None without a trial."""
+    n = len(t)
+    if not len(periods) or not n:
+        return None
+    t, dev = t - t.min(), flux - flux.mean()
+    top = np.zeros(len(periods))
+    where = np.zeros((len(periods), 4))
+    block = max(1, 1_000_000 // n)
+    for at in range(0, len(periods), block):
+        part = periods[at: at + block]
+        x = t[None, :] / part[:, None]
+        cell = np.minimum(((x - np.floor(x)) * bins).astype(np.int64), bins - 1) + np.arange(len(part))[:, None] * bins
+        sums = np.bincount(cell.ravel(), np.broadcast_to(dev, cell.shape).ravel(), len(part) * bins).reshape(-1, bins)
+        counts = np.bincount(cell.ravel(), minlength=len(part) * bins).reshape(-1, bins)
+        s_to, r_to = (np.concatenate([np.zeros((len(part), 1)), np.cumsum(np.concatenate([v, v], axis=1), axis=1)], axis=1) for v in (sums, counts))
+        who = np.arange(len(part))
+        for w in widths:
+            s, r = (v[:, w: w + bins] - v[:, :bins] for v in (s_to, r_to))
+            fits = (s < 0) & (r > 0) & (r < n)
+            power = np.where(fits, np.round(s ** 2 / np.where(fits, r * (n - r), 1), 12), 0.0)
+            b = power.argmax(axis=1)
+            better = power[who, b] > top[at: at + block]
+            top[at: at + block][better] = power[who, b][better]
+            where[at: at + block][better] = np.stack([b, np.full(len(b), w), s[who, b], r[who, b]], axis=1)[better]
+    k = len(top) - 1 - int(top[::-1].argmax()) if periods[0] > periods[-1] else int(top.argmax())  # ties: the shorter period
+    if top[k] <= 0:
+        return None
+    b, w, s, r = where[k]
+    sd = top.std()
+    return float(periods[k]), int(b), int(w), float(top[k]), float((top[k] - top.mean()) / sd) if sd else None, float(-s / r - s / (n - r)), int(r)
+
+
+def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins: int = 60, widths: tuple[int, ...] = (1, 2, 3, 4, 6)) -> DataFrame:
+    """The strongest dip of each star over the periods that its own baseline allows.
+
+    Boxes are ``widths`` bins wide and may wrap.  A star with no usable period has nulls.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        star_id = rows["tic_id"].iloc[0]
+        rows = rows.dropna(subset=["t", "flux"])
+        t, flux = rows["t"].to_numpy(float), rows["flux"].to_numpy(float)
+        periods = trial_periods(float(np.ptp(t)), low, longest, 1 / bins) if len(t) else np.array([])
+        found = strongest_box(t, flux, periods, bins, widths) or (None,) * 7
+        return pd.DataFrame([(star_id, *found)], columns=["tic_id", "period", "bin", "width", "sr", "sde", "depth", "n_in"], dtype=object)
+
+    schema = f"tic_id {lc.schema['tic_id'].dataType.simpleString()}, period double, bin bigint, width bigint, sr double, sde double, depth double, n_in bigint"
+    return lc.select("tic_id", F.col("t").cast("double").alias("t"), F.col("flux").cast("double").alias("flux")).groupBy("tic_id").applyInPandas(one, schema)
+
+
+#: The fixed grid that the SQL of the registered queries holds.
+SQL_GRID = {"low": 1.0, "high": 10.0, "n_periods": 60}
+
+
+def box_search(lc: DataFrame, low: float = 0.5, high: float = 27.0, n_periods: int | None = None, bins: int | None = None) -> DataFrame:
+    """``period_search``, or on a fixed grid of ``n_periods`` the strongest single-bin dip of each star.
 
     Rows meet the broadcast grid and are summed per (star, period, bin) before any
     wider shuffle.  ``sr = s^2 / (r (n - r))`` with s the summed deviation in the
     bin; ``sde`` compares the best period with all others.  Ties go to the shorter
     period, then the lower bin.
     """
+    if n_periods is None:
+        return period_search(lc, low, high, bins or 60)
+    bins = bins or 20
     dev = lc.withColumn("dev", F.col("flux") - F.avg("flux").over(star())).withColumn("n", F.count("flux").over(star())).withColumn("start", F.min("t").over(star()))
     trial = dev.select("tic_id", "t", "start", "dev", "n").crossJoin(F.broadcast(period_grid(lc, low, high, n_periods)))
     x = (F.col("t") - F.col("start")) / F.col("period")
@@ -61,17 +133,20 @@ def selected(scores: DataFrame, min_prob: float = 0.5, top: int | None = None) -
     return rows.limit(top) if top else rows
 
 
-def geometry(lc: DataFrame, bins: int = 20, **grid) -> DataFrame:
+def geometry(lc: DataFrame, bins: int | None = None, **grid) -> DataFrame:
     """Geometry features of each star's best period; all null where none was found.
 
-    The dip is one bin wide.  ``rp_rs`` is null where the best bin is no dip.
+    The dip is as wide as the box; on a fixed grid, one bin.  ``rp_rs`` is null where the best bin is no dip.
     """
     c = F.col
     whole = lc.groupBy("tic_id").agg(F.min("t").alias("start"), (F.max("t") - F.min("t")).alias("baseline"), F.stddev_pop("flux").alias("sd"))
-    found = box_search(lc, bins=bins, **grid).join(whole, "tic_id")
+    found = box_search(lc, bins=bins, **grid)
+    bins = bins or (20 if "n_periods" in grid else 60)
+    wide = c("width") if "width" in found.columns else F.lit(1)
+    found = found.join(whole, "tic_id")
     return found.select(
-        "tic_id", "period", "depth", (c("depth") * 1e6).alias("depth_ppm"), (c("period") / bins * 24).alias("duration_hr"), F.floor(c("baseline") / c("period")).alias("transit_count"), "sde",
-        (ratio(c("depth"), c("sd")) * F.sqrt("n_in")).alias("snr"), (c("start") + (c("bin") + 0.5) / bins * c("period")).alias("t0"), F.when(c("depth") >= 0, F.sqrt("depth")).alias("rp_rs"), F.lit(1.0 / bins).alias("phase_coverage"),
+        "tic_id", "period", "depth", (c("depth") * 1e6).alias("depth_ppm"), (c("period") / bins * wide * 24).alias("duration_hr"), F.floor(c("baseline") / c("period")).alias("transit_count"), "sde",
+        (ratio(c("depth"), c("sd")) * F.sqrt("n_in")).alias("snr"), (c("start") + (c("bin") + wide * 0.5) / bins * c("period")).alias("t0"), F.when(c("depth") >= 0, F.sqrt("depth")).alias("rp_rs"), F.when(c("period").isNotNull(), wide / F.lit(float(bins))).alias("phase_coverage"),
     )
 
 

@@ -347,18 +347,18 @@ def diagnostics_T29(spark, sf_dir):
 
 @query
 def bls_T9(spark, sf_dir):
-    return rounded(search.box_search(series.normalised(light_curves(spark, sf_dir))))
+    return rounded(search.box_search(series.normalised(light_curves(spark, sf_dir)), **search.SQL_GRID))
 
 
 @query
 def candidates_T11(spark, sf_dir):
-    found = rounded(search.box_search(series.normalised(light_curves(spark, sf_dir))).select("tic_id", "sde"))
+    found = rounded(search.box_search(series.normalised(light_curves(spark, sf_dir)), **search.SQL_GRID).select("tic_id", "sde"))
     return found.withColumn("is_candidate", search.is_candidate(F.col("sde"), min_sde=3.0))
 
 
 @query
 def ranked_dips(spark, sf_dir):
-    return rounded(search.ranked_dips(light_curves(spark, sf_dir)))
+    return rounded(search.ranked_dips(light_curves(spark, sf_dir), **search.SQL_GRID))
 
 
 def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -375,7 +375,7 @@ def stamps_codes_X15_X16_X17(spark, sf_dir):
 SELECT tic_id, round(period, 6) AS period, round(depth, 6) AS depth, round(depth * 1e6, 1) AS depth_ppm, round(period / 20 * 24, 6) AS duration_hr, CAST(floor(baseline / period) AS BIGINT) AS transit_count, round(sde, 6) AS sde,
 round(depth / nullif(sd, 0) * sqrt(n_in), 6) AS snr, round(start + (bin + 0.5::DOUBLE) / 20 * period, 6) AS t0, CASE WHEN depth >= 0 THEN round(sqrt(depth), 6) END AS rp_rs, 0.05::DOUBLE AS phase_coverage FROM box JOIN s USING (tic_id)""")
 def geometry_T10(spark, sf_dir):
-    g = search.geometry(series.normalised(light_curves(spark, sf_dir)))
+    g = search.geometry(series.normalised(light_curves(spark, sf_dir)), **search.SQL_GRID)
     return rounded(g.withColumn("depth_ppm", F.round("depth_ppm", 1)))
 
 

@@ -82,6 +82,19 @@ def test_injection_and_recovery(spark):
     assert found.period == pytest.approx(3.7, rel=0.01) and found.depth == pytest.approx(1e-3, rel=0.2)
 
 
+@pytest.mark.parametrize("period", [0.7, 1.23, 3.03, 12.3])
+def test_default_search_finds_planted_dips(spark, period):
+    rng = np.random.default_rng(7)
+    t = np.arange(0, 30, 30 / 1440)
+    width = 0.04 * period
+    f = 1 + rng.normal(0, 1e-4, len(t)) - np.where((t - 0.3) % period < width, 1e-3, 0)
+    found = search.box_search(curve(spark, t, f)).first()
+    assert found.period == pytest.approx(period, rel=0.005) and found.depth == pytest.approx(1e-3, rel=0.25)
+    g = search.geometry(curve(spark, t, f)).first()
+    assert g.period == found.period and g.duration_hr == pytest.approx(width * 24, rel=0.7)
+    assert search.box_search(curve(spark, t[:30], f[:30])).first().period is None
+
+
 def test_transit_model():
     z = np.array([0.0, 0.5, 1.2, np.inf])
     flat = fitting.transit_model(z, 0.1, limb=(0, 0), rings=4000)
