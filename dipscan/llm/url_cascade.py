@@ -122,9 +122,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     keyed = source.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
     if len(wins) > MAX_LISTED:
         listed = spark.createDataFrame(list(wins.items()), "key string, verdict string")
-        best = keyed.select("id", "host", "path", F.explode("keys").alias("key")).join(listed, "key")
-        best = best.groupBy("id", "host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("b"))
-        return source.join(best, ["id", "host", "path"], "left").select("id", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
+        # host and path are never null, ids may be: verdicts belong to the pair
+        best = keyed.select("host", "path", "keys").dropDuplicates(["host", "path"]).select("host", "path", F.explode("keys").alias("key")).join(listed, "key")
+        best = best.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("b"))
+        return source.join(best, ["host", "path"], "left").select("id", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
     universe = keyed.select(F.explode("keys").alias("key"))
     found = {}
     for verdict in ("allow", "block"):

@@ -114,6 +114,16 @@ def test_url_rules(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter((i, *plain(u)) for i, u, _, _ in rows)
 
 
+def test_url_rules_by_join(spark, monkeypatch):
+    urls = [(None, "http://x.com/en/1"), (None, None), (None, "http://x.net/es/"), (1, "http://example.com/en/"), (1, "http://example.com/en/"), (2, "http://net/fr/")]
+    rows = [(i, u) for i, u in urls + [(None, f"http://{h}{p}z") for _, h, p in url_cascade.RULES]]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    want = collections.Counter(map(tuple, url_cascade.judge(pages).collect()))
+    monkeypatch.setattr(url_cascade, "MAX_LISTED", 0)
+    got = collections.Counter(map(tuple, url_cascade.judge(pages).collect()))
+    assert got == want and any(r[0] is None and r[3] for r in got)
+
+
 def test_cascade_is_exact(spark):
     listed = spark.range(200).selectExpr("concat('k', id) AS key")
     universe = spark.range(20_000).selectExpr("concat('k', id) AS key")
