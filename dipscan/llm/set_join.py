@@ -3,9 +3,12 @@
 Sets are built once per text in Arrow blocks and travel as packed byte strings
 (a few rows per block and bucket, not a row per shingle).  The steps:
 
-1.  *Frequencies.*  Shingles are dealt by hash; each bucket keeps the shingles
-    that at least two different sets have.  Equal sets share one 64-bit
-    signature, so any number of copies counts as one set.
+1.  *Frequencies.*  Shingles are dealt by hash, and one bucket after the other keeps
+    the shingles that at least two different sets have.  Equal sets share one
+    64-bit signature, so any number of copies counts as one set.  Shingles and sets
+    that a sample shows to be frequent do not meet: a frequent shingle is shared
+    anyway, and of a frequent set one row sends its shingles.  The sample steers
+    where rows meet and the order of shingles, never the result.
 2.  *Index.*  Shared shingles return to their set, rarest first.  A set whose
     prefix (``n - ceil(0.75 n) + 1`` shingles) has no shared one has no partner.
 3.  *Index-level skipping.*  A posting at position ``i`` of a set of size ``n``
@@ -20,15 +23,18 @@ Sets are built once per text in Arrow blocks and travel as packed byte strings
     checks every pair of different components that these bounds leave open.
 
 Result: one row per document with its component; no pair list inside a group of
-copies is ever made, and no link between different texts is lost.
+copies is ever made, and no link between different texts is lost.  Shingles count
+as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +42,9 @@ from . import textblocks as tb
 from .shared import connected_components, width, written
 
 STAR_ROUNDS = 3
-TOKEN_BYTES = 6  # of a shingle's hash beside its bucket number
+BUCKET_BYTES = 16 << 20  # of text for one bucket of shingles
+SAMPLE_ROWS, SAMPLE_SEED, CROWD = 8_192, 11, 16
+FREQUENT = 1 << 15  # frequencies from here on are those of the sample's frequent shingles
 
 _PACKED = "kind int, bucket int, keys binary, sizes binary, counts binary, toks binary, dfs binary, ids binary"
 _FIELDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "counts", "toks", "dfs", "ids"))])
@@ -46,29 +54,61 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FIELDS)], schema=_FIELDS)
 
 
-def _narrow(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts in sorted columns."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _counts(start: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(start, n))
+
+
+@dataclass
+class Crowd:
+    """What a sample shows to be frequent; it steers where rows meet, never what is found."""
 
+    sets: dict[int, int]  # signature of a frequent set: id of the one row that sends its shingles
+    toks: np.ndarray  # frequent shingles, sorted
+    dfs: np.ndarray
 
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // TOKEN_BYTES, 8), dtype=np.uint8)
-    out[:, :TOKEN_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, TOKEN_BYTES)
-    return out.view("<u8").reshape(-1).copy()
 
+_NOBODY = Crowd({}, np.zeros(0, np.uint64), np.zeros(0, np.uint16))
 
-def _shingled(k: int, buckets: int):
-    """Blocks of (id, text) to packed rows: kind 0 names sets, kind 1 holds shingles of a bucket."""
+
+def _set_rows(kind: int, tok: np.ndarray, key: np.ndarray, size: np.ndarray, df: np.ndarray, buckets: int) -> list[tuple]:
+    """Shingles with their frequencies as packed rows, dealt by set."""
+    order = np.lexsort((tok, key, key % np.uint64(buckets)))
+    tok, key, size, df = (x[order] for x in (tok, key, size, df))
+    at = (key % np.uint64(buckets)).astype(np.int64)
+    cut = np.append(_starts(at), len(at)) if len(at) else np.zeros(1, np.int64)
+    rows = []
+    for lo, hi in zip(cut.tolist(), cut[1:].tolist()):
+        part = slice(lo, hi)
+        head = _starts(key[part])
+        rows.append((kind, int(at[lo]), key[part][head].tobytes(), size[part][head].astype("<u4").tobytes(), _counts(head, hi - lo).astype("<u4").tobytes(), tok[part].tobytes(), df[part].astype("<u2").tobytes(), None))
+    return rows
+
+
+def _shingled(k: int, buckets: int, crowd: Broadcast | None = None):
+    """Blocks of (id, text) to packed rows.
+
+    Kind 0 names sets, kind 1 holds shingles of a bucket, kind 2 frequent shingles
+    of the sets of a bucket, which need not meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = crowd.value if crowd else _NOBODY
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             for row0, texts in tb.blocks(batch.column(1)):
                 sigs, sizes, held, seen = [], [], [], set()
-                for _, s in tb.shingle_sets(texts, k):
+                for row, s in tb.shingle_sets(texts, k):
                     sig = (int(tb.mix(s).sum(dtype=np.uint64)) + len(s) * 0x9E3779B97F4A7C15) & (1 << 64) - 1 if len(s) else 0
                     sigs.append(sig)
                     sizes.append(len(s))
-                    if len(s) and sig not in seen:
+                    if len(s) and sig not in seen and known.sets.get(sig, ids[row0 + row]) == ids[row0 + row]:
                         seen.add(sig)
                         held.append((sig, s))
                 own = ids[row0: row0 + len(texts)]
@@ -77,89 +117,124 @@ def _shingled(k: int, buckets: int):
                     h = np.concatenate([s for _, s in held])
                     size = np.array([len(s) for _, s in held], dtype=np.int64)
                     doc = np.repeat(np.arange(len(held)), size)
-                    at = (h >> np.uint64(48)).astype(np.int64) % buckets
-                    order = np.argsort(at, kind="stable")
-                    cut = np.searchsorted(at[order], np.arange(buckets + 1))
                     key = np.array([g for g, _ in held], "<u8")
-                    for b in np.flatnonzero(np.diff(cut)):
-                        pick = order[cut[b]: cut[b + 1]]
-                        who, count = np.unique(doc[pick], return_counts=True)
-                        rows.append((1, int(b), key[who].tobytes(), size[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), _narrow(h[pick]), None, None))
+                    if len(known.toks):
+                        spot = np.minimum(np.searchsorted(known.toks, h), len(known.toks) - 1)
+                        often = known.toks[spot] == h
+                        rows += _set_rows(2, h[often], key[doc[often]], size[doc[often]], known.dfs[spot[often]], buckets)
+                        h, doc = h[~often], doc[~often]
+                    at = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
+                    cut = np.append(_starts(at[order]), len(at)).tolist() if len(at) else [0]
+                    for lo, hi in zip(cut, cut[1:]):
+                        pick = order[lo:hi]
+                        head = _starts(doc[pick])
+                        who = doc[pick][head]
+                        rows.append((1, int(at[pick[0]]), key[who].tobytes(), size[who].astype("<u4").tobytes(), _counts(head, len(pick)).astype("<u4").tobytes(), h[pick].tobytes(), None, None))
                 yield _batch(rows)
 
     return run
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Where a run of equal rows starts in sorted columns."""
-    new = np.ones(len(columns[0]), dtype=bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return np.flatnonzero(new)
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one bucket after the other; batches come sorted by bucket."""
+    now, rows = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in batch.columns)
+            if row[1] != now:
+                if rows:
+                    yield rows
+                now, rows = row[1], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _postings(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, signature, size of the set) of packed rows."""
+    count = [np.frombuffer(r[4], "<u4") for r in rows]
+    tok = np.concatenate([np.frombuffer(r[5], "<u8") for r in rows])
+    key = np.concatenate([np.repeat(np.frombuffer(r[2], "<u8"), c) for r, c in zip(rows, count)])
+    return tok, key, np.concatenate([np.repeat(np.frombuffer(r[3], "<u4"), c) for r, c in zip(rows, count)])
+
+
+def _several(tok: np.ndarray, key: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(shingle, signature, size, number of sets), each once, of shingles that ``least`` different sets have."""
+    order = np.argsort(tok)
+    n = _counts(_starts(tok[order]), len(tok)) if len(tok) else np.zeros(0, np.int64)
+    order = order[np.repeat(n >= least, n)]
+    order = order[np.lexsort((key[order], tok[order]))]
+    tok, key, size = tok[order], key[order], size[order]
+    if not len(tok):
+        return tok, key, size, np.zeros(0, np.int64)
+    one = _starts(tok, key)
+    tok, key, size = tok[one], key[one], size[one]
+    n = _counts(_starts(tok), len(tok))
+    df = np.repeat(n, n)
+    return tuple(x[df >= least] for x in (tok, key, size, df))
 
 
 def _shared_shingles(buckets: int):
-    """All rows of some buckets to the shingles that two different sets have, dealt by set."""
+    """Bucket after bucket to the shingles that two different sets have, dealt by set; other kinds pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks, keys, sizes = [], [], []
-        for batch in batches:
-            for kind, b, k, n, c, t, _, ids in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if kind == 0:
-                    yield _batch([(0, b, k, n, None, None, None, ids)])
-                    continue
-                count = np.frombuffer(c, "<u4")
-                toks.append(_wide(t) | np.uint64((b & 0xFFFF) << 48))
-                keys.append(np.repeat(np.frombuffer(k, "<u8"), count))
-                sizes.append(np.repeat(np.frombuffer(n, "<u4"), count))
-        if not toks:
-            return
-        tok, key, size = np.concatenate(toks), np.concatenate(keys), np.concatenate(sizes)
-        toks, keys, sizes = [], [], []
-        order = np.argsort(tok)
-        run_at = _starts(tok[order])
-        again = np.repeat(np.diff(np.append(run_at, len(tok))) > 1, np.diff(np.append(run_at, len(tok))))
-        pick = order[again]
-        tok, key, size = tok[pick], key[pick], size[pick]
-        order = np.lexsort((key, tok))
-        tok, key, size = tok[order], key[order], size[order]
-        one = _starts(tok, key) if len(tok) else np.zeros(0, np.int64)
-        tok, key, size = tok[one], key[one], size[one]
-        if not len(tok):
-            return
-        run_at = _starts(tok)
-        n = np.diff(np.append(run_at, len(tok)))
-        df = np.repeat(n, n)
-        tok, key, size, df = (x[df > 1] for x in (tok, key, size, df))
-        order = np.lexsort((tok, key, key % np.uint64(buckets)))
-        tok, key, size, df = (x[order] for x in (tok, key, size, df))
-        at = (key % np.uint64(buckets)).astype(np.int64)
-        cut = np.searchsorted(at, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            part = slice(cut[b], cut[b + 1])
-            head = _starts(key[part])
-            count = np.diff(np.append(head, cut[b + 1] - cut[b]))
-            yield _batch([(1, int(b), key[part][head].tobytes(), size[part][head].astype("<u4").tobytes(), count.astype("<u4").tobytes(), tok[part].tobytes(), np.minimum(df[part], 65535).astype("<u2").tobytes(), None)])
+        for rows in _buckets(batches):
+            for r in rows:
+                if r[0] != 1:
+                    yield _batch([r])
+            rows = [r for r in rows if r[0] == 1]
+            if not rows:
+                continue
+            tok, key, size, df = _several(*_postings(rows), 2)
+            rows = []
+            for r in _set_rows(1, tok, key, size, np.minimum(df, FREQUENT - 1), buckets):
+                yield _batch([r])
+
+    return run
+
+
+def _crowded(least: int):
+    """Buckets of a sample to (shingle, number of sets) where ``least`` sets have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches):
+            tok, _, _, df = _several(*_postings(rows), least)
+            if len(tok):
+                head = _starts(tok)
+                yield pa.RecordBatch.from_arrays([pa.array(tok[head].view(np.int64)), pa.array(df[head].astype(np.int64))], names=["tok", "df"])
 
     return run
 
 
+def _crowd_of(source: DataFrame, k: int, total: int, parts: int) -> Crowd:
+    """Sets and shingles that ``CROWD`` of about ``SAMPLE_ROWS`` rows have: at most SAMPLE_ROWS / CROWD sets, and a shingle for CROWD words of the sample."""
+    sample = source.where(F.rand(SAMPLE_SEED) < SAMPLE_ROWS / max(1, total)) if total > SAMPLE_ROWS else source
+    packed = written(sample.mapInArrow(_shingled(k, parts), _PACKED), "sample")
+    sets = packed.where("kind = 0").mapInArrow(_named, "id bigint, n bigint, sig bigint").where("n > 0")
+    sets = sets.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("id")).where(F.col("c") >= CROWD).collect()
+    toks = packed.where("kind = 1").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_crowded(CROWD), "tok bigint, df bigint").toArrow()
+    tok, df = toks["tok"].to_numpy().view(np.uint64), toks["df"].to_numpy()
+    order = np.argsort(tok)
+    return Crowd({r.sig & (1 << 64) - 1: r.id for r in sets}, tok[order], (FREQUENT + np.minimum(df[order], FREQUENT - 1)).astype(np.uint16))
+
+
 _INDEX = "sig bigint, n int, k int, need int, toks array<bigint>, parity array<bigint>"
 PARITY_WORDS = 8
 
 
 def _indexed(num: int, den: int):
-    """All shared shingles of some sets to one index row per set that may have a partner."""
+    """All shared shingles of the sets of a bucket to one index row per set that may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for k, n, c, t, d in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
-                count = np.frombuffer(c, "<u4")
-                parts.append((np.repeat(np.frombuffer(k, "<u8"), count), np.repeat(np.frombuffer(n, "<u4"), count), np.frombuffer(t, "<u8"), np.frombuffer(d, "<u2")))
-        if not parts:
-            return
-        key, size, tok, df = (np.concatenate(x) for x in zip(*parts))
+        for rows in _buckets(batches):
+            yield from index(rows)
+
+    def index(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        tok, key, size = _postings(rows)
+        df = np.concatenate([np.frombuffer(r[6], "<u2") for r in rows])
         order = np.lexsort((tok, df, key))
+        order = order[_starts(key[order], tok[order])]
         key, size, tok = key[order], size[order].astype(np.int64), tok[order]
         head = _starts(key)
         k = np.diff(np.append(head, len(key)))
@@ -206,13 +281,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that repeat an id are sets of that id each.  Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = width(spark)
-    buckets = 2 * parts
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    packed = source.mapInArrow(_shingled(k, buckets), _PACKED).repartition("bucket")
+    size, total = source.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts = width(spark)
+    buckets = max(parts, (size or 0) // BUCKET_BYTES + 1)
+    crowd = spark.sparkContext.broadcast(_crowd_of(source, k, total, parts))
+    packed = source.mapInArrow(_shingled(k, buckets, crowd), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
     shared = written(packed.mapInArrow(_shared_shingles(buckets), _PACKED), "shingles")
     named = shared.where("kind = 0").mapInArrow(_named, "id bigint, n bigint, sig bigint")
-    index = written(shared.where("kind = 1").repartition("bucket").mapInArrow(_indexed(num, den), _INDEX), "index")
+    index = written(shared.where("kind > 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_indexed(num, den), _INDEX), "index")
 
     # |x & y| >= num (n + m) / (num + den) is the same as Jaccard >= num / den
     enough = f"{num + den} * both >= {num} * (na + nb)"
