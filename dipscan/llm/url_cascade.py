@@ -7,10 +7,10 @@ its keys in the list.
 
 Level 1 encodes the listed keys.  Level 2 encodes the keys of the corpus that
 pass level 1 without being listed, level 3 the listed keys that pass level 2, and
-so on until nothing is wrong.  Over the key universe that it was built on the
-cascade is exact, and judging takes no join: the filters are literals.  Their
-size follows the number of listed keys and the logarithm of the universe; lists
-above ``MAX_LISTED`` keys go through a join on the key instead.
+so on until nothing is wrong, however many levels that takes.  Over the key
+universe that it was built on the cascade is exact, and judging takes no join:
+each level is one binary literal.  Its size follows the number of listed keys,
+which the caller holds as a list, and the logarithm of the universe.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from .shared import written
 HASHES = 7
 BITS_PER_KEY = 32  # of level 1; later levels hold few keys and take half of it
 LATER_BITS_PER_KEY = 16
-MAX_LISTED = 100_000
-LEVELS = 40
 
 # The rules of the registered query, as (verdict, host, path).
 RULES = (
@@ -59,12 +57,12 @@ def url_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
 
 def _positions(key: Column, bits: int, level: int) -> Column:
     """Bit positions of a key by double hashing."""
-    a, b = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
-    return F.array(*[F.pmod(a + F.lit(i) * F.shiftrightunsigned(b, 16), F.lit(bits)) for i in range(HASHES)])
+    a, b = (F.pmod(F.xxhash64(F.lit(2 * level + i), key), F.lit(bits)) for i in (0, 1))  # small, so sums do not overflow
+    return F.array(*[F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(HASHES)])
 
 
 class Level:
-    """One Bloom filter: its 64-bit words as a literal array."""
+    """One Bloom filter: its bits as a binary literal."""
 
     def __init__(self, keys: DataFrame, level: int, per_key: int) -> None:
         self.level = level
@@ -72,12 +70,17 @@ class Level:
         self.bits = 64 * max(16, math.ceil(self.n * per_key / 64))
         at = keys.select(F.explode(_positions(F.col("key"), self.bits, level)).alias("at"))
         one = F.expr("shiftleft(1L, CAST(pmod(at, 64) AS INT))")
-        words = {r.word: r.value for r in at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(one).alias("value")).collect()}
-        self.words = [words.get(i, 0) for i in range(self.bits // 64)]
+        self.words = bytearray(self.bits // 8)
+        for r in at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(one).alias("value")).collect():
+            self.words[8 * r.word: 8 * r.word + 8] = r.value.to_bytes(8, "little", signed=True)
 
     def holds(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("bigint") for w in self.words])
-        hit = lambda p: F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
+        words = F.lit(bytes(self.words))
+
+        def hit(p: Column) -> Column:
+            byte = words.substr((F.floor(p / 8) + 1).cast("int"), F.lit(1))
+            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(p, F.lit(8)).cast("int")) == 1
+
         return F.forall(_positions(key, self.bits, self.level), hit)
 
 
@@ -88,14 +91,18 @@ class Cascade:
         listed = listed.select("key").distinct()
         self.levels: list[Level] = []
         wanted, others = listed, universe.select("key")
-        while len(self.levels) < LEVELS:
-            level = Level(wanted, len(self.levels), LATER_BITS_PER_KEY if self.levels else BITS_PER_KEY)
+        per_key = BITS_PER_KEY
+        while True:
+            level = Level(wanted, len(self.levels), per_key)
             if not level.n:
                 break
             self.levels.append(level)
             passing = others.where(level.holds(F.col("key"))).distinct()
             if len(self.levels) == 1:
                 passing = passing.join(listed, "key", "left_anti")
+                per_key = min(per_key, LATER_BITS_PER_KEY)
+            elif len(self.levels) > 2 and level.n >= self.levels[-3].n:
+                per_key *= 2  # as many wrong keys as a round before
             wanted, others = written(passing, "cascade"), wanted
 
     def holds(self, key: Column) -> Column:
@@ -120,19 +127,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     host, path = host_path(F.col(url_col))
     source = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     keyed = source.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
-    if len(wins) > MAX_LISTED:
-        listed = spark.createDataFrame(list(wins.items()), "key string, verdict string")
-        # host and path are never null, ids may be: verdicts belong to the pair
-        best = keyed.select("host", "path", "keys").dropDuplicates(["host", "path"]).select("host", "path", F.explode("keys").alias("key")).join(listed, "key")
-        best = best.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("b"))
-        return source.join(best, ["host", "path"], "left").select("id", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
     universe = keyed.select(F.explode("keys").alias("key"))
     found = {}
     for verdict in ("allow", "block"):
         own = [k for k, v in wins.items() if v == verdict]
         if own:
-            values = F.explode(F.array(*[F.lit(k) for k in own]))
-            found[verdict] = Cascade(spark.range(1).select(values.alias("key")), universe)
+            mark = next(c for c in map(chr, range(0xE000, 0xF900)) if not any(c in k for k in own))
+            values = F.split(F.lit(mark.join(own)), mark)
+            found[verdict] = Cascade(spark.range(1).select(F.explode(values).alias("key")), universe)
 
     def matches(verdict: str, cascade: Cascade) -> Column:
         return F.transform(F.filter("keys", cascade.holds), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict")))
