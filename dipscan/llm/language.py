@@ -3,12 +3,13 @@
 Evidence for a row, all as log-probabilities of each language:
 
 * text: a naive Bayes model of hashed byte trigrams, fitted on a bounded sample
-  of labelled rows (about ``SAMPLE_ROWS`` of ``SAMPLE_CHARS`` characters), tempered
-  because neighbouring trigrams overlap;
+  of labelled rows (about ``SAMPLE_ROWS``, whole texts), tempered because
+  neighbouring trigrams overlap;
 * declared markup language and address suffix: agreement rates with the text's
   own language, counted over all rows;
 * host prior: language counts of the host, smoothed towards its domain, that
   towards its top level, and that towards all rows; each by grouped aggregation.
+  A row's own text is taken out of all four counts, so it is no evidence twice.
 
 A row is kept if its text has letters and its best language has a posterior of
 at least ``MIN_POSTERIOR``.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import written
 
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 2_000
+SAMPLE_ROWS = 4_000
 BITS = 15
 TEMPER = 0.3
 SMOOTHING = 20.0  # rows that a parent counts for
@@ -62,20 +63,37 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(base[1:], at, side="right"), code[at].astype(np.int64)
 
 
-def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TextModel:
-    """Fit on about ``rows`` labelled rows, at most twice as many, chosen by a hash of their key.
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to the trigram counts of each language in this task."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        lang = batch.column(0).to_numpy(zero_copy_only=False)
+        for row, block in tb.blocks(batch.column(1), 1 << 18):
+            doc, code = _trigrams(block)
+            of = lang[row: row + len(block)]
+            for x in set(of):
+                counts.setdefault(x, np.zeros(1 << BITS, np.int64))
+                counts[x] += np.bincount(code[of[doc] == x], minlength=1 << BITS)
+    for x, n in counts.items():
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, 0)), pa.array(np.append(n[at], 0))], names=["lang", "code", "n"])
 
-    Rows without a key, label or text are not chosen; no rows give a model of no language.
+
+def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> TextModel:
+    """Fit on the whole texts of about ``rows`` labelled rows, chosen by a hash of their key.
+
+    Rows without a key, label or text are not chosen; no rows give a model of no
+    language.  Trigrams are counted in the tasks, so only counts reach the driver.
     """
-    pick = labelled.where(F.col(lang_col).isNotNull() & F.col(key_col).isNotNull() & (F.length(F.col(text_col)) > 0))
-    pick = pick.select(F.xxhash64(key_col).alias("h"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, chars).alias("text"))
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(key_col).isNotNull() & (F.length(F.col(text_col)) > 0))
     share = min(1.0, rows / max(1, labelled.where(F.col(lang_col).isNotNull()).count()))
-    sample = pick.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text").limit(2 * rows).collect()
-    languages = sorted({r.lang for r in sample})
+    sample = known.where(F.pmod(F.xxhash64(key_col), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    found = sample.mapInArrow(_gram_counts, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    lang = found["lang"].to_pylist()
+    languages = sorted(set(lang))
     counts = np.full((len(languages), 1 << BITS), 0.1)
-    for i, lang in enumerate(languages):
-        for _, block in tb.blocks(pa.array([r.text for r in sample if r.lang == lang], pa.large_string()), 1 << 18):
-            counts[i] += np.bincount(_trigrams(block)[1], minlength=1 << BITS)
+    place = {x: i for i, x in enumerate(languages)}
+    counts[[place[x] for x in lang], found["code"].to_numpy()] += found["n"].to_numpy()
     weights = np.log(counts / counts.sum(axis=1, keepdims=True)).T
     return TextModel(languages, np.ascontiguousarray(weights, dtype=np.float32))
 
@@ -89,7 +107,7 @@ def _scored(model: Broadcast):
             for row, block in tb.blocks(batch.column(text)):
                 doc, code = _trigrams(block)
                 grams = np.bincount(doc, minlength=len(block))
-                sums = [np.bincount(doc, weights=weights[code, j], minlength=len(block)) for j in range(weights.shape[1])]
+                sums = [np.bincount(doc, weights=weights[code, j], minlength=len(block)).astype(np.float64) for j in range(weights.shape[1])]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * len(sums), pa.int32()), pa.array(np.stack(sums, axis=1).reshape(-1) if sums else np.zeros(0)))
                 own = [batch.column(i).slice(row, len(block)) for i in keep]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(grams, pa.int64()), lists], names=[*(batch.schema.names[i] for i in keep), "grams", "ll"])
@@ -127,6 +145,7 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     for each input row.  Null or empty texts and texts without letters get the
     language that the other evidence gives and are not kept.  Null hosts share
     the prior of all rows; null or unknown declarations count as no evidence.
+    Agreement rates count the row itself, one of all rows.
     A model without languages gives null languages and keeps nothing.
     """
     spark = rows.sparkSession
@@ -151,18 +170,15 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     n = [f"n{i}" for i in range(len(langs))]
     hosts = scored.where("host is not null").groupBy("host").agg(*tally)
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("top", F.substring_index("host", ".", -1))
-    whole = sum(total[c] for c in n) + len(langs)
-    prior = F.array(*[F.lit((total[c] + 1) / whole) for c in n])
-
-    def smoothed(counts: str, parent: Column) -> Column:
-        size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, parent, lambda c, p: (c + SMOOTHING * p) / (size + SMOOTHING))
-
     def level(key: str, name: str) -> DataFrame:
         return hosts.groupBy(key).agg(F.array(*[F.sum(c) for c in n]).alias(name))
 
-    priors = hosts.select("host", "domain", "top", F.array(*n).alias("host_n")).join(level("domain", "domain_n"), "domain").join(level("top", "top_n"), "top")
-    priors = priors.withColumn("p", smoothed("top_n", prior)).withColumn("p", smoothed("domain_n", F.col("p"))).withColumn("p", smoothed("host_n", F.col("p")))
+    levels = hosts.select("host", "domain", "top", F.array(*n).alias("host_n")).join(level("domain", "domain_n"), "domain").join(level("top", "top_n"), "top")
+    levels = levels.select("host", "host_n", "domain_n", "top_n")
+    self = F.array(*[F.when(F.col("text_language") == x, 1.0).otherwise(0.0) for x in langs])
+    others = F.coalesce(F.col("text_language").isNotNull().cast("double"), F.lit(0.0))
+    whole = sum(total[c] for c in n) + len(langs)
+    prior = F.transform(F.zip_with(F.array(*[F.lit(total[c] + 1) for c in n]), self, lambda c, o: c - o), lambda c: c / (F.lit(whole) - others))
 
     def declared(c: str) -> Column:
         right = (total[f"{c}_same"] + 1) / (total[f"{c}_all"] + 2)
@@ -171,8 +187,12 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
         return F.when(F.col(c).isin(langs), told).otherwise(F.array(*[F.lit(0.0)] * len(langs)))
 
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    joined = scored.join(priors.select("host", "p"), "host", "left")
-    post = F.transform(F.coalesce("p", prior), lambda x: F.log(x))
+    joined = scored.join(levels, "host", "left").withColumn("p", prior)
+    for counts in ("top_n", "domain_n", "host_n"):
+        rest = F.coalesce(F.zip_with(counts, self, lambda c, o: c - o), F.array(*[F.lit(0.0)] * len(langs)))
+        joined = joined.withColumn("rest", rest).withColumn("size", F.aggregate("rest", F.lit(0.0), lambda a, x: a + x))
+        joined = joined.withColumn("p", F.zip_with("rest", "p", lambda c, p: (c + SMOOTHING * p) / (F.col("size") + SMOOTHING)))
+    post = F.transform("p", lambda x: F.log(x))
     post = add(add(add(F.transform("ll", lambda x: x * TEMPER), post), declared("declared")), declared("suffix"))
     joined = joined.withColumn("post", post).withColumn("top", F.array_max("post"))
     mass = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
