@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import median
+
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Headers stripped, then renamed; names that are absent are ignored."""
@@ -29,9 +31,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both by key; ``new`` wins.  Columns may differ."""
+    """Rows of both by key; ``new`` wins.  Columns may differ.
+
+    Of rows of one side with the same key the greatest stays, by the other columns in order, nulls last.
+    """
     rows = base.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return first_per_key(rows, keys, [F.desc("__new")]).drop("__new")
+    rest = [F.col(c).desc_nulls_last() for c in rows.columns if c != "__new" and c not in keys]
+    return first_per_key(rows, keys, [F.desc("__new"), *rest]).drop("__new")
 
 
 def priority_labels(*sources: tuple[DataFrame, str, int]) -> DataFrame:
@@ -53,9 +59,12 @@ def lookup(left: DataFrame, table: DataFrame, key: str, defaults: dict[str, obje
 
 
 def interleave(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """n rows, taken from the groups in turn; adds ``rn``, the row's turn."""
+    """n rows, taken from the groups in turn; adds ``rn``, the row's turn.
+
+    No group gives more than n, which is asked before the shuffle already.
+    """
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).orderBy("rn", *group).limit(n)
+    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).orderBy("rn", *group).limit(n)
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -64,11 +73,9 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls to the column's median, with ``<column>_imputed`` telling where."""
-    middle = df.agg(*[F.median(c).alias(f"__{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(middle))  # one row
     for c in columns:
-        out = out.withColumn(f"{c}_imputed", F.col(c).isNull()).withColumn(c, F.coalesce(c, f"__{c}"))
-    return out.drop(*[f"__{c}" for c in columns])
+        df = df.withColumn(f"{c}_imputed", F.col(c).isNull()).withColumn(c, F.coalesce(c, F.lit(median(df, c)).cast("double")))
+    return df
 
 
 def hosts_of(stars: DataFrame, injections: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 # Quadratic limb darkening of the model.
@@ -50,6 +51,22 @@ def detrended(lc: DataFrame, width: float = 0.75, gap: float | None = None) -> D
     return lc.select("tic_id", "event_id", "t", "flux").groupBy("tic_id").applyInPandas(one, "tic_id string, event_id bigint, t double, trend double, flat_flux double")
 
 
+def fit_pending(lc: DataFrame, folder: str, **options) -> DataFrame:
+    """Fits of all stars of ``lc``; those that the table in ``folder`` holds already are not fitted again.
+
+    New fits are appended, so a run that breaks off goes on where it stopped.
+    A star with a failed fit keeps its row and is not tried again.
+    """
+    spark = lc.sparkSession
+    try:
+        done = spark.read.schema(FIT_SCHEMA).parquet(folder).select("tic_id")
+        lc = lc.join(done, "tic_id", "left_anti")
+    except AnalysisException:  # nothing there yet
+        pass
+    fitted(lc, **options).write.mode("append").parquet(folder)
+    return spark.read.schema(FIT_SCHEMA).parquet(folder)
+
+
 def separation(t: np.ndarray, tc: float, period: float, ar: float, b: float) -> np.ndarray:
     """Projected distance of the centres in stellar radii; infinite behind the star."""
     angle = 2 * np.pi * (t - tc) / period

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .ordered import ranked_within, running
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -30,16 +31,15 @@ def _by_score(df: DataFrame) -> DataFrame:
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """Area under the ROC curve from rank sums with mid-ranks for ties."""
-    s = _by_score(df).withColumn("below", F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)))
-    mid = F.coalesce("below", F.lit(0.0)) + (F.col("n") + 1) / 2
+    s = running(_by_score(df), ["score"], {"upto": F.col("n")})
+    mid = F.col("upto") - (F.col("n") - 1) / 2
     t = s.agg(F.sum(mid * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return t.select(ratio(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
     """Sum of precision times the step in recall, over distinct scores."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(df).withColumn("tp", F.sum("pos").over(w)).withColumn("all", F.sum("n").over(w))
+    s = running(_by_score(df), [F.desc("score")], {"tp": F.col("pos"), "all": F.col("n")})
     return s.agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos")).alias("ap"))
 
 
@@ -49,9 +49,7 @@ def brier(df: DataFrame) -> DataFrame:
 
 def shuffled_rank(df: DataFrame, by: str, group: str, seed: str) -> DataFrame:
     """``rn`` and ``n``: place of each group within its class in a seeded order."""
-    w = Window.partitionBy(by)
-    order = F.md5(F.concat(F.col(group), F.lit(seed)))
-    return df.withColumn("rn", F.row_number().over(w.orderBy(order, group))).withColumn("n", F.count("*").over(w))
+    return ranked_within(df, by, [F.md5(F.concat(F.col(group), F.lit(seed))), group])
 
 
 def group_split(groups: DataFrame, by: str = "label", group: str = "grp", share: float = 0.25, seed: str = "42") -> DataFrame:

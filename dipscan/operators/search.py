@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from .series import good, normalised, star
+from .series import good, normalised, star, time_bins
 
 
 def period_grid(df: DataFrame, low: float, high: float, n: int) -> DataFrame:
@@ -25,7 +27,7 @@ def trial_periods(baseline: float, low: float = 0.5, longest: float = 27.0, dip:
     if not high >= low:
         return np.array([])
     n = int(np.ceil((1 / low - 1 / high) * baseline * oversampling / dip)) + 1
-    return 1 / np.linspace(1 / low, 1 / high, n)
+    return 1 / (1 / low - np.arange(n) * ((1 / low - 1 / high) / max(1, n - 1)))
 
 
 def strongest_box(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: int, widths: tuple[int, ...]) -> tuple | None:
@@ -48,7 +50,7 @@ def strongest_box(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: in
         for w in widths:
             s, r = (v[:, w: w + bins] - v[:, :bins] for v in (s_to, r_to))
             fits = (s < 0) & (r > 0) & (r < n)
-            power = np.where(fits, np.round(s ** 2 / np.where(fits, r * (n - r), 1), 12), 0.0)
+            power = np.where(fits, np.round(s ** 2 / np.where(fits, r * (n - r), 1), 9), 0.0)
             b = power.argmax(axis=1)
             better = power[who, b] > top[at: at + block]
             top[at: at + block][better] = power[who, b][better]
@@ -61,17 +63,29 @@ def strongest_box(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: in
     return float(periods[k]), int(b), int(w), float(top[k]), float((top[k] - top.mean()) / sd) if sd else None, float(-s / r - s / (n - r)), int(r)
 
 
-def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins: int = 60, widths: tuple[int, ...] = (1, 2, 3, 4, 6)) -> DataFrame:
+MIN_RAW, MIN_BINNED, TEN_MINUTES = 200, 100, 10 / 1440
+
+
+def searchable(lc: DataFrame, min_raw: int = MIN_RAW, min_binned: int = MIN_BINNED, bin_days: float = TEN_MINUTES) -> DataFrame:
+    """(tic_id, t, flux) in time bins, of stars with ``min_raw`` rows and ``min_binned`` bins at least."""
+    rows = lc.where(F.col("t").isNotNull() & F.col("flux").isNotNull()).withColumn("__n", F.count("*").over(star()))
+    binned = time_bins(rows.where(F.col("__n") >= min_raw), bin_days).withColumn("__n", F.count("*").over(star()))
+    return binned.where(F.col("__n") >= min_binned).select("tic_id", "t", "flux")
+
+
+def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins: int = 60, widths: tuple[int, ...] = (1, 2, 3, 4, 6), oversampling: int = 3) -> DataFrame:
     """The strongest dip of each star over the periods that its own baseline allows.
 
-    Boxes are ``widths`` bins wide and may wrap.  A star with no usable period has nulls.
+    Boxes are ``widths`` bins wide and may wrap.  A star with no usable period has
+    nulls.  Of boxes with the same power (to 9 digits) the shorter period counts, then
+    the narrower box, then the earlier bin.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         star_id = rows["tic_id"].iloc[0]
         rows = rows.dropna(subset=["t", "flux"])
         t, flux = rows["t"].to_numpy(float), rows["flux"].to_numpy(float)
-        periods = trial_periods(float(np.ptp(t)), low, longest, 1 / bins) if len(t) else np.array([])
+        periods = trial_periods(float(np.ptp(t)), low, longest, 1 / bins, oversampling) if len(t) else np.array([])
         found = strongest_box(t, flux, periods, bins, widths) or (None,) * 7
         return pd.DataFrame([(star_id, *found)], columns=["tic_id", "period", "bin", "width", "sr", "sde", "depth", "n_in"], dtype=object)
 
@@ -83,6 +97,22 @@ def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins:
 SQL_GRID = {"low": 1.0, "high": 10.0, "n_periods": 60}
 
 
+def powers(lc: DataFrame, low: float, high: float, n_periods: int, bins: int = 20) -> DataFrame:
+    """(tic_id, period, sr): the strongest single-bin dip at every trial period of a fixed grid."""
+    cells = _cells(lc, low, high, n_periods, bins)
+    return cells.groupBy("tic_id", "period").agg(F.max("sr").alias("sr"))
+
+
+def _cells(lc: DataFrame, low: float, high: float, n_periods: int, bins: int) -> DataFrame:
+    """Sums of every star, trial period and phase bin with their power."""
+    dev = lc.withColumn("dev", F.col("flux") - F.avg("flux").over(star())).withColumn("n", F.count("flux").over(star())).withColumn("start", F.min("t").over(star()))
+    trial = dev.select("tic_id", "t", "start", "dev", "n").crossJoin(F.broadcast(period_grid(lc, low, high, n_periods)))
+    x = (F.col("t") - F.col("start")) / F.col("period")
+    cells = trial.groupBy("tic_id", "period", "n", F.floor((x - F.floor(x)) * bins).alias("bin")).agg(F.sum("dev").alias("s"), F.count("*").alias("r"))
+    power = F.when((F.col("s") < 0) & (F.col("r") < F.col("n")), F.round(F.col("s") ** 2 / (F.col("r") * (F.col("n") - F.col("r"))), 9)).otherwise(0.0)
+    return cells.withColumn("sr", power)
+
+
 def box_search(lc: DataFrame, low: float = 0.5, high: float = 27.0, n_periods: int | None = None, bins: int | None = None) -> DataFrame:
     """``period_search``, or on a fixed grid of ``n_periods`` the strongest single-bin dip of each star.
 
@@ -94,12 +124,7 @@ def box_search(lc: DataFrame, low: float = 0.5, high: float = 27.0, n_periods: i
     if n_periods is None:
         return period_search(lc, low, high, bins or 60)
     bins = bins or 20
-    dev = lc.withColumn("dev", F.col("flux") - F.avg("flux").over(star())).withColumn("n", F.count("flux").over(star())).withColumn("start", F.min("t").over(star()))
-    trial = dev.select("tic_id", "t", "start", "dev", "n").crossJoin(F.broadcast(period_grid(lc, low, high, n_periods)))
-    x = (F.col("t") - F.col("start")) / F.col("period")
-    cells = trial.groupBy("tic_id", "period", "n", F.floor((x - F.floor(x)) * bins).alias("bin")).agg(F.sum("dev").alias("s"), F.count("*").alias("r"))
-    power = F.when((F.col("s") < 0) & (F.col("r") < F.col("n")), F.round(F.col("s") ** 2 / (F.col("r") * (F.col("n") - F.col("r"))), 9)).otherwise(0.0)
-    cells = cells.withColumn("sr", power)
+    cells = _cells(lc, low, high, n_periods, bins)
     best = cells.groupBy("tic_id", "period", "n").agg(F.max(F.struct("sr", (-F.col("bin")).alias("b"), "s", "r")).alias("m"))
     per = best.groupBy("tic_id", "n").agg(F.max(F.struct(F.col("m.sr").alias("sr"), (-F.col("period")).alias("p"), (-F.col("m.b")).alias("bin"), F.col("m.s").alias("s"), F.col("m.r").alias("r"))).alias("m"), F.avg("m.sr").alias("mean"), F.stddev_pop("m.sr").alias("sd"))
     depth = -F.col("m.s") / F.col("m.r") - F.col("m.s") / F.nullif(F.col("n") - F.col("m.r"), F.lit(0))
@@ -133,6 +158,41 @@ def selected(scores: DataFrame, min_prob: float = 0.5, top: int | None = None) -
     return rows.limit(top) if top else rows
 
 
+def false_alarm(sr, n, variance, trials):
+    """Chance that noise of this variance gives a box as strong in so many independent trials.
+
+    The summed deviation s of r of n rows has the variance var * r * (n - r) / n, so
+    z^2 = sr * n / variance is that of a normal variable, of which only dips count; its tail is Abramowitz and Stegun's 26.2.17 with five terms.
+    """
+    z = F.sqrt(sr * n / F.nullif(variance, F.lit(0.0)))
+    # The coefficients of the approximation.
+    k = 1 / (1 + 0.2316419 * z)
+    poly = k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+    return 1 - F.exp(trials * F.log1p(-tail))
+
+
+def candidates(lc: DataFrame, min_sde: float = 7.0, max_fap: float = 0.01, bins: int = 60, oversampling: int = 3, widths: tuple[int, ...] = (1, 2, 3, 4, 6), **gates) -> DataFrame:
+    """Search over each star's own periods, geometry of the best dip, and the decision.
+
+    One row for each star that passes the gates of ``searchable``.  ``fap`` is ``false_alarm``
+    with a trial for each period; a star without a usable period is no candidate.
+    """
+    c = F.col
+    rows = searchable(lc, **gates)
+    whole = rows.groupBy("tic_id").agg(F.min("t").alias("start"), (F.max("t") - F.min("t")).alias("baseline"), F.count("*").alias("n"), F.var_pop("flux").alias("var"))
+    found = period_search(rows, bins=bins, widths=widths, oversampling=oversampling).join(whole, "tic_id")
+    high = F.least(F.lit(27.0), c("baseline") / 2)
+    trials = F.ceil((1 / F.lit(0.5) - 1 / high) * c("baseline") * oversampling * bins) + 1
+    found = found.withColumn("fap", false_alarm(c("sr"), c("n"), c("var"), trials.cast("double")))
+    out = found.select(
+        "tic_id", "period", "depth", (c("depth") * 1e6).alias("depth_ppm"), (c("period") / bins * c("width") * 24).alias("duration_hr"), F.floor(c("baseline") / c("period")).alias("transit_count"), "sde", "fap",
+        (ratio(c("depth"), F.sqrt("var")) * F.sqrt("n_in")).alias("snr"), (c("start") + (c("bin") + c("width") * 0.5) / bins * c("period")).alias("t0"),
+        F.when(c("depth") >= 0, F.sqrt("depth")).alias("rp_rs"), (c("width") / F.lit(float(bins))).alias("phase_coverage"),
+    )
+    return out.withColumn("is_candidate", is_candidate(c("sde"), c("fap"), min_sde, max_fap))
+
+
 def geometry(lc: DataFrame, bins: int | None = None, **grid) -> DataFrame:
     """Geometry features of each star's best period; all null where none was found.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 # Weight of each verdict in the rank score.
 VERDICT_WEIGHT = {"PASS": 1.0, "CAUTION": 0.5, "FALSE-POSITIVE LIKELY": 0.1}
 
@@ -35,8 +37,8 @@ def rank_score(df: DataFrame) -> DataFrame:
 
 
 def catalogue(df: DataFrame) -> DataFrame:
-    """Rows ranked from 1 by rank score; the candidates of a catalogue are few."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("rank_score").desc_nulls_last(), "tic_id")))
+    """Rows ranked from 1 by rank score, ties by star."""
+    return ranked(df, [F.col("rank_score").desc_nulls_last(), "tic_id"])
 
 
 def posterior_summary(samples: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -63,7 +63,7 @@ ORACLES: dict[str, str] = {
     "p2p_sigma_A8": f"WITH {_LC}, d AS (SELECT tic_id, flux - lag(flux) OVER (PARTITION BY tic_id ORDER BY t, event_id) AS d FROM lc), e AS (SELECT tic_id, abs(d - median(d) OVER (PARTITION BY tic_id)) AS dev FROM d WHERE d IS NOT NULL) SELECT tic_id, round(median(dev) * 1.4826::DOUBLE / sqrt(2.0::DOUBLE), 6) AS sigma FROM e GROUP BY tic_id",
     "moments_A10": f"""WITH {_LC}, m AS (SELECT *, avg(flux) OVER (PARTITION BY tic_id) AS mu FROM lc) SELECT tic_id, round(stddev_pop(flux), 6) AS std, round(avg((flux - mu) ** 3) / nullif(avg((flux - mu) ** 2) ** 1.5, 0), 6) AS skewness, round(avg((flux - mu) ** 4) / nullif(avg((flux - mu) ** 2) ** 2, 0) - 3, 6) AS kurtosis, round(avg(flux), 6) AS mean FROM m GROUP BY tic_id""",
     "percentiles_A11": f"WITH {_LC} SELECT tic_id, round(quantile_cont(flux, 0.05), 6) AS p05, round(median(flux), 6) AS p50, round(quantile_cont(flux, 0.95), 6) AS p95 FROM lc GROUP BY tic_id",
-    "mean_abs_change_A13": f"WITH {_LC}, d AS (SELECT tic_id, flux, abs(flux - lag(flux) OVER (PARTITION BY tic_id ORDER BY t, event_id)) AS d FROM lc) SELECT tic_id, round(avg(d), 4) AS mean_abs_change, round(sum(flux * flux), 4) AS abs_energy FROM d GROUP BY tic_id",
+    "mean_abs_change_A13": f"WITH {_LC}, d AS (SELECT tic_id, flux, abs(flux - lag(flux) OVER (PARTITION BY tic_id ORDER BY t, event_id)) AS d FROM lc) SELECT tic_id, round(avg(d) + 1e-9::DOUBLE, 4) AS mean_abs_change, round(sum(flux * flux) + 1e-9::DOUBLE, 4) AS abs_energy FROM d GROUP BY tic_id",
     "lag_gap_W4": f"WITH {_LC}, d AS (SELECT event_id, t - lag(t) OVER (PARTITION BY tic_id ORDER BY t, event_id) AS dt FROM lc) SELECT event_id, round(dt, 6) AS dt, coalesce(dt > 0.3::DOUBLE * 4.5::DOUBLE, false) AS after_gap FROM d",
     "longest_segment_T6": f"""WITH {_LC}, c AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > 2, false) THEN 1 ELSE 0 END AS cut FROM lc WINDOW w AS (PARTITION BY tic_id ORDER BY t, event_id)), s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY tic_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM c),
       n AS (SELECT tic_id, seg, count(*) AS n FROM s GROUP BY tic_id, seg QUALIFY row_number() OVER (PARTITION BY tic_id ORDER BY count(*) DESC, seg) = 1) SELECT event_id, s.tic_id, s.seg FROM s JOIN n ON s.tic_id = n.tic_id AND s.seg = n.seg""",

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions import no_nan
+from ..operators import metrics
 from ..operators.catalog import feature_columns
 from ..operators.metrics import group_split
 
@@ -47,6 +52,40 @@ def split_by_group(df: DataFrame, group: str = "grp", label: str = "label") -> t
     return both.where("part = 'train'").drop("part"), both.where("part = 'test'").drop("part")
 
 
+def cached(spark: SparkSession, folder: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The table in ``folder``; computed and written there first if it is not."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        compute().write.parquet(folder)
+        return spark.read.parquet(folder)
+
+
+def train_run(rows: DataFrame, features: list[str], folder: str, label: str = "label", group: str = "grp", min_classes: int = 2, **options) -> DataFrame:
+    """Split by group, train, evaluate on the held-out groups, write model and metrics; the metrics as one row.
+
+    The folder then holds ``model`` and ``metrics`` (JSON lines).  Synthetic rows (ids that begin
+    with SYN) train but are never held out.  Fewer than ``min_classes`` classes
+    among real rows end the run before anything is written.
+    """
+    real = ~F.col(group).startswith("SYN")
+    classes = rows.where(real).select(label).distinct().count()
+    if classes < min_classes:
+        raise ValueError(f"{classes} classes among real rows, {min_classes} are needed")
+    train, test = split_by_group(rows.where(real), group, label)
+    train = train.unionByName(rows.where(~real).select(train.columns))
+    model = fit_classifier(train, features, label, **options)
+    sinks.save_model(model, f"{folder}/model")
+    found = scored(model, test).select(F.col(label).cast("int").alias("y"), "score").withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    per = metrics.precision_recall_f1(found).agg(F.avg("f1").alias("macro_f1"))
+    counts = train.agg(F.count("*").alias("n_train"), F.count_distinct(group).alias("train_groups"))
+    tests = found.agg(F.count("*").alias("n_test"), F.sum("y").alias("n_positive"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
+    row = counts.crossJoin(tests).crossJoin(per).crossJoin(metrics.roc_auc(found)).crossJoin(metrics.average_precision(found)).crossJoin(metrics.brier(found))  # one row each
+    row = row.withColumn("features", F.lit(len(features))).withColumn("classes", F.lit(classes))
+    sinks.write_json(row, f"{folder}/metrics")
+    return rows.sparkSession.read.schema(row.schema).json(f"{folder}/metrics")
+
+
 def assembled(df: DataFrame, keys: tuple[str, ...] = ("tic_id", "label", "status", "sector", "t0", "n_cadences")) -> tuple[DataFrame, list[str]]:
     """(training rows, feature names): done and labelled rows; infinities and NaN as null."""
     rows = df.where((F.col("status") == "done") & (F.col("label") >= 0))

@@ -115,8 +115,34 @@ def fits_table(pdf: pd.DataFrame, name: str = "CATALOG") -> bytes:
     return first + _cards(head + described) + data
 
 
+def fits_signals(star: str, signals: Sequence[dict[str, float | None]]) -> bytes:
+    """A FITS file of one star whose extensions TCE_1, TCE_2, ... hold signals in their headers only."""
+    out = _cards([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("TICID", star)])
+    for i, signal in enumerate(signals, 1):
+        out += _cards([("XTENSION", "IMAGE"), ("BITPIX", 8), ("NAXIS", 0), ("EXTNAME", f"TCE_{i}"), *((k, v) for k, v in signal.items() if v is not None)])
+    return out
+
+
+def write_signals(signals: DataFrame, folder: str) -> DataFrame:
+    """One file of headers for each star, from (tic_id, tce, period, epoch, depth, duration); (tic_id, path) when evaluated."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tce")
+        star = str(pdf["tic_id"].iloc[0])
+        names = {"period": "TPERIOD", "epoch": "TEPOCH", "depth": "TDEPTH", "duration": "TDUR"}
+        rows = [{k: None if pd.isna(r[c]) else float(r[c]) for c, k in names.items()} for _, r in pdf.iterrows()]
+        path = f"{folder}/{star[-1]}/TIC_{star}_dvt.fits"
+        _put(path, fits_signals(star, rows))
+        return pd.DataFrame([(star, path)], columns=["tic_id", "path"])
+
+    return signals.groupBy("tic_id").applyInPandas(one, "tic_id string, path string")
+
+
 def write_fits(df: DataFrame, folder: str) -> DataFrame:
-    """A FITS table for each batch of rows of each task; (path, n_rows) when evaluated."""
+    """A FITS table for each batch of rows of each task, as wide as its longest texts; (path, n_rows) when evaluated.
+
+    One file for all needs ``df.coalesce(1)`` and a batch that holds the catalogue.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import series
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,12 +40,13 @@ def toi_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("tic_id"), F.col("o_orderkey").alias("toi"), F.try_element_at(codes, F.col("o_orderpriority")).alias("disposition"), F.col("o_totalprice").alias("depth"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", comment: str | None = None) -> DataFrame:
-    """Typed CSV: padding and header blanks stripped, quoted line ends and doubled quotes allowed.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE", comment: str | None = None, line_ends: bool = False) -> DataFrame:
+    """Typed CSV: padding and header blanks stripped, doubled quotes allowed.
 
-    PERMISSIVE keeps malformed rows as nulls, DROPMALFORMED leaves them out.
+    PERMISSIVE keeps malformed rows as nulls, DROPMALFORMED leaves them out.  With
+    ``line_ends`` quoted values may hold line ends; a file is then read by one task.
     """
-    reader = spark.read.schema(schema).options(header=True, mode=mode, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+    reader = spark.read.schema(schema).options(header=True, mode=mode, multiLine=line_ends, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
     if comment:
         reader = reader.option("comment", comment)
     frame = reader.csv(path)
@@ -116,6 +119,12 @@ def scan_npz(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(rows, SERIES_SCHEMA)
 
 
+def scan_segments(spark: SparkSession, folder: str, gap: float = 30.0) -> DataFrame:
+    """Array files to the longest run of each star without a gap, rows without flux or time left out."""
+    rows = scan_npz(spark, folder).where("t is not null and flux is not null").withColumn("event_id", F.monotonically_increasing_id())
+    return series.longest_segment(rows, gap).drop("event_id", "seg")
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines by a schema; names that a line lacks are null."""
     return spark.read.schema(schema).json(path)

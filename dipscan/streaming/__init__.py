@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; temporary only where no checkpoint folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..shared import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
@@ -43,20 +34,22 @@ def first_of_each(events: DataFrame, key: str = "event_id", late: str = "2 days"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(result: DataFrame, name: str, mode: str = "complete", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_available(result: DataFrame, name: str, mode: str = "complete", each: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now; returns the table it wrote.
 
     In complete mode the table is what the last batch held; in append mode all
-    batches.  Offsets and state live in the shared folder, so a restart goes on.
+    batches.  Offsets and state live below ``folder`` (a new one in the shared folder
+    by default): a later run with the same folder reads only what is new.
     """
     spark = result.sparkSession
-    out = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
+    out = f"{folder}/rows"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
         if each:
             each(batch, number)
 
-    query = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_folder(spark, f"{name}-offsets")).trigger(availableNow=True).start()
+    query = result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).select(*result.columns)

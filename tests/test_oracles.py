@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from dipscan import oracles, queries, table_queries
+from dipscan import oracles, queries, run_queries, table_queries
 
-ORACLES = oracles.ORACLES | table_queries.ORACLES
-QUERIES = queries.QUERIES | table_queries.QUERIES
+ORACLES = oracles.ORACLES | table_queries.ORACLES | run_queries.ORACLES
+QUERIES = queries.QUERIES | table_queries.QUERIES | run_queries.QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -16,7 +16,7 @@ def test_csv_keeps_quotes_line_ends_and_nulls(spark, tmp_path):
     rows = [(1, 'a "quoted", text'), (2, "two\nlines"), (3, None), (4, "ünï")]
     schema = T.StructType.fromDDL("k bigint, v string")
     sinks.write_csv(spark.createDataFrame(rows, schema), str(tmp_path / "x"))
-    assert sorted(tuple(r) for r in sources.read_csv(spark, str(tmp_path / "x"), schema).collect()) == rows
+    assert sorted(tuple(r) for r in sources.read_csv(spark, str(tmp_path / "x"), schema, line_ends=True).collect()) == rows
 
 
 def test_upsert_into_empty_table(spark, tmp_path):
