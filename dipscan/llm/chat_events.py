@@ -14,6 +14,8 @@ percent-coded as well, since the first line end closes the role.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,22 +77,34 @@ def parse(formatted: DataFrame) -> DataFrame:
     output, so they are the spans that a loss mask covers for trained roles.
     """
     parts = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
-    heads = F.transform(parts, lambda p: F.struct(F.length(F.substring_index(p, "\n", 1)).alias("n"), p.alias("p")))
-    seen = F.aggregate(
-        heads,
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<role:string,text:string,at:int,length:int>>").alias("turns")),
-        lambda acc, h: F.struct(
-            (acc.end + F.lit(len(START)) + F.length(h.p)).alias("end"),
-            F.concat(acc.turns, F.array(F.struct(
-                _role_in(F.substring(h.p, 1, h.n)).alias("role"),
-                unescaped(F.substring(h.p, h.n + 2, F.length(h.p) - h.n - 1 - len(END) - 1)).alias("text"),
-                (acc.end + F.lit(len(START)) + h.n + 1).alias("at"),
-                (F.length(h.p) - h.n - 1 - len(END) - 1).alias("length"),
-            ))).alias("turns"),
-        ),
-        lambda acc: acc.turns,
-    )
-    return formatted.withColumn("turns", seen)
+    lengths = F.transform(parts, lambda p: F.length(p) + F.lit(len(START)))
+
+    def turn(p: Column, before: Column) -> Column:
+        head = F.length(F.substring_index(p, "\n", 1))
+        size = F.length(p) - head - 1 - len(END) - 1
+        return F.struct(_role_in(F.substring(p, F.lit(1), head)).alias("role"), unescaped(F.substring(p, head + 2, size)).alias("text"), (before + len(START) + head + 1).cast("int").alias("at"), size.alias("length"))
+
+    return formatted.withColumn("turns", F.zip_with(parts, sums_before(lengths), turn))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not once for each element that looks at it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums_before(lengths: Column, block: int = 256) -> Column:
+    """For every element the sum of all before it, by blocks: no array grows element by element."""
+    plus = lambda a, x: a + x
+    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), plus)
+
+    def spread(own: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(own) - 1, F.lit(0)) / block).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(own, b * block + 1, F.lit(block))))
+        before = lambda s: F.transform(blocks, lambda b: total(F.slice(s, F.lit(1), b)))
+        place = lambda i: F.floor(i / block).cast("int")
+        return _let(_let(sums, before), lambda s: F.transform(own, lambda x, i: F.element_at(s, place(i) + 1) + total(F.slice(own, place(i) * block + 1, F.pmod(i, F.lit(block))))))
+
+    return _let(lengths, spread)
 
 
 def with_loss_mask(parsed: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
