@@ -7,7 +7,8 @@ Each task keeps a table of the distinct chunks it has met: a chunk is segmented
 once, and ids are joined back to their positions by a vectorised gather.
 
 The table lives in the worker and is bounded.  One table for the whole corpus
-would need every word's position in a shuffle (more bytes than the input).
+would hand each block's chunks to the table, their ids back, and the block's texts to
+where both meet: 0.39, 0.49 and 1.07 times the input, compressed, over check_s.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 
 MARK = "▁"
+PROBE = "ﬁ①\u3000 a  b\tÅ e\u0301 Ｗ "  # what normalisers fold, compose, trim or squeeze
 TABLE_ROOM = 200_000  # chunks in a worker's table
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -37,7 +39,8 @@ class ChunkTable:
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
-        self.separable = not any(MARK in p.lstrip(MARK) for p in pieces) and self.lib.piece_to_id(MARK) != self.lib.unk_id()
+        plain = self.lib.normalize(PROBE) == MARK + PROBE.replace(" ", MARK)  # the model's normaliser leaves texts as they are
+        self.separable = plain and not any(MARK in p.lstrip(MARK) for p in pieces) and self.lib.piece_to_id(MARK) != self.lib.unk_id()
         self.lone = self.lib.piece_to_id(MARK)
         self.lead = self.lib.piece_to_id("a")
         self.clear()
