@@ -387,6 +387,48 @@ def test_recall_of_changed_passages(spark):
     assert found == {(i + 1, i) for i in range(0, len(texts), 2)}
 
 
+def common(x, y):
+    """Length of the longest common subsequence of two word lists."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        diag = 0
+        for j, b in enumerate(y, 1):
+            diag, row[j] = row[j], diag + 1 if a == b else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2, 0.25])
+def test_passages_against_full_alignment(spark, rate):
+    """Words substituted, dropped and added at random places, 50 to 80 words long; all that a full alignment accepts."""
+    rng = random.Random(int(100 * rate))
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts, wanted = [], set()
+    for _ in range(60):
+        p = text(rng.randint(50, 80))
+        q = []
+        for w in p:
+            kind = rng.random()
+            if kind >= rate:
+                q.append(w)
+            elif kind < 0.8 * rate:
+                q.append("new")
+            elif kind < 0.9 * rate:
+                q += [w, "more"]
+        if common(p, q) >= passages.MIN_SIMILARITY * max(len(p), len(q)):
+            wanted.add(len(texts) // 2)
+        texts += [" ".join(text(40) + p + text(40)), " ".join(text(20) + q + text(50))]
+    rows = passages.repeated_passages(docs_of(spark, texts)).collect()
+    assert all(r.id == r.src_id + 1 and r.src_id % 2 == 0 for r in rows)
+    found = {r.src_id // 2 for r in rows}
+    print(rate, len(found & wanted), "of", len(wanted))
+    assert len(found & wanted) >= 0.9 * len(wanted)
+    for r in rows:
+        x, y = texts[r.id].split()[r.start_word: r.end_word], texts[r.src_id].split()[r.src_start: r.src_end]
+        longest = max(len(x), len(y))
+        assert longest >= passages.MIN_WORDS and r.similarity <= 1
+        assert common(x, y) >= passages.MIN_SIMILARITY * longest - 1
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.integers(-2**63, 2**63 - 1, 200), [0, -1, 1, 2**63 - 1, -2**63]])
@@ -475,6 +517,15 @@ def test_language_posterior(spark):
         assert got[r[0]].kept == (own[r[0]] is not None and got[r[0]].confidence >= language.MIN_POSTERIOR)
 
 
+def test_many_turns(spark):
+    turns = [("user", "assistant")[i % 2] for i in range(3_000)]
+    table = spark.createDataFrame([(1, i, r, f"text {i} <|im_end|>") for i, r in enumerate(turns)] + [(2, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    rows = {r.conv_id: r for r in chat_events.with_loss_mask(chat_events.parse(chat_events.render(chat_events.fold(chat_events.events_of_turns(table))))).collect()}
+    assert [(t.role, t.text) for t in rows[1].turns] == [(r, f"text {i} <|im_end|>") for i, r in enumerate(turns)]
+    assert all(rows[1].formatted[t.at: t.at + t.length] == t.text.replace("<|", "<\\|") for t in rows[1].turns)
+    assert len(rows[1].loss_spans) == 1_500 and rows[2].loss_spans == []
+
+
 def test_chat_fold(spark):
     events = [
         (1, 1, 1, "start", "user", "hel"), (1, 1, 2, "delta", None, "lo"), (1, 2, 3, "start", "assistant", "dra"), (1, 2, 4, "delta", None, "ft"), (1, 3, 5, "start", "user", "gone"),
