@@ -3,10 +3,11 @@
 A byte-level BPE encodes every pre-token on its own, so a text's token count is
 the sum of its pre-tokens' counts.  Tier one is a broadcast table of the most
 frequent pre-tokens and their counts; tier two is a bounded cache in each Python
-worker, filled by the library for misses.  No pre-token is ever shuffled: the
-frequent ones are found from one bounded summary per task.
+worker, filled by the library for misses.  No pre-token of the corpus is ever
+shuffled: the frequent ones are found in about ``SAMPLE_ROWS`` rows, from one
+bounded summary per task.
 
-Only speed depends on the tables.  Texts that hold a special token's string, or
+Only speed depends on the tables, not any count.  Texts that hold a special token's string, or
 characters for which two regular-expression engines might disagree, are encoded
 whole by the library.
 """
@@ -29,6 +30,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters whose classes are the same in every engine and Unicode version.
 PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*"
 
+SAMPLE_ROWS, SAMPLE_SEED = 20_000, 5  # rows, drawn at random, that tier one is fitted on
 TABLE_ROWS = 32_768  # tier one: at most this many pre-tokens are broadcast
 SUMMARY_ROWS = 8_192  # rows of a task's summary
 SUMMARY_ROOM = 200_000  # pre-tokens that a summary holds while it is made
@@ -72,7 +74,9 @@ def _summaries(path: str):
 
 
 def frequent_lengths(texts: DataFrame, path: str, rows: int = TABLE_ROWS) -> dict[str, int]:
-    """Token counts of frequent pre-tokens; ``rows`` bounds what reaches the driver."""
+    """Token counts of pre-tokens that a sample shows to be frequent; ``rows`` bounds what reaches the driver."""
+    n = texts.count()
+    texts = texts.where(F.rand(SAMPLE_SEED) < SAMPLE_ROWS / n) if n > SAMPLE_ROWS else texts
     found = texts.mapInArrow(_summaries(path), "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = [r.token for r in found.orderBy(F.desc("n"), "token").limit(rows).collect()]
     return dict(zip(top, _lengths(_library(path)["tokenizer"], top)))
