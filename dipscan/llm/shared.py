@@ -1,4 +1,4 @@
-"""Shared folders, written checkpoints and connected components.
+"""Connected components and shuffle width; intermediate tables go to the shared folder.
 
 Nothing here gathers rows on the driver.  Intermediate tables are written to
 the folder named by ``spark.checkpoint.dir``, which every executor can read,
@@ -7,35 +7,12 @@ so a lost executor costs recomputation of tasks and never of results.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder, written
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
-    spark = df.sparkSession
-    path = fresh_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "shared_folder", "width", "written"]
 
 
 def width(spark: SparkSession) -> int:

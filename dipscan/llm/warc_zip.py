@@ -28,11 +28,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_folder, width, written
+from .shared import shared_folder, width, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 PACKAGE_BYTES = 16 << 20  # a package is closed when its archive reaches this
 READ_BYTES = 4 << 20  # neighbouring records are read together up to this
+LISTED_DIGESTS = 100_000  # repeated digests that are broadcast; more are joined
 MIN_REVISIT = 100  # payloads below this are never revisits
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -199,7 +200,9 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     first = rows.where(F.length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
+    first = written(first, "repeated")
+    few = first.limit(LISTED_DIGESTS + 1).count() <= LISTED_DIGESTS
+    joined = rows.join(F.broadcast(first) if few else first, "digest", "left")  # only many repeated digests move the html
     refers = F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
     return written(joined.select("page", "url", "html", "digest", refers.alias("first")).mapInArrow(_writer(folder), "path string, n bigint"), "manifest")
 
@@ -248,5 +251,5 @@ def read_packages(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def package_folder(spark: SparkSession) -> str:
-    folder = fresh_folder(spark, "packages")
+    folder = shared_folder(spark, "packages")
     return folder if "://" in folder else ("file://" + folder.removeprefix("file:"))
