@@ -35,7 +35,7 @@ from .shared import connected_components, width, written
 
 WIDTH, SEED = 2.0, 7
 MATES, RECALL = 10, 0.94
-BLOCK = 1024
+BLOCK, SMALL = 1024, 64
 LISTED_CROWDS = 100_000  # buckets above BLOCK whose sizes are broadcast; more are joined
 STEP = 0.335  # of a sketch, in root mean squares of a unit vector's components
 
@@ -147,7 +147,7 @@ def _screened(cosine: float):
             split = table["part"].to_numpy()[at[:-1]] % (1 << 32) != table["part"].to_numpy()[at[:-1]] >> 32
             sketch = table["sketch"].chunk(0)
             length = pa.compute.binary_length(sketch).to_numpy()
-            small = np.flatnonzero((size > 1) & (size <= 64) & ~split)
+            small = np.flatnonzero((size > 1) & (size <= SMALL) & ~split)
             for dim in np.unique(length[at[small]]):
                 # all pairs of many small groups at once
                 some = small[length[at[small]] == dim]
@@ -155,17 +155,14 @@ def _screened(cosine: float):
                     part = some[lo: lo + 2_000]
                     rows = np.concatenate([np.arange(a, a + n) for a, n in zip(at[part], size[part])])
                     q, norm, left = _unsketched(sketch.take(pa.array(rows)))
-                    start = np.append(0, np.cumsum(size[part]))
-                    ahead = np.repeat(start[1:], size[part]) - np.arange(len(rows)) - 1
-                    i = np.repeat(np.arange(len(rows)), ahead)
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+                    i, j = _pairs(np.append(0, np.cumsum(size[part]))[:-1], size[part])
                     for p in range(0, len(i), 200_000):
                         x, y = i[p: p + 200_000], j[p: p + 200_000]
                         top = np.einsum("ij,ij->i", q[x], q[y]) + left[x] * norm[y] + left[y] * norm[x] + left[x] * left[y]
                         hit = top >= least
                         found[rows[x[hit]]] = True
                         found[rows[y[hit]]] = True
-            for g in np.flatnonzero((size > 64) | (split & (size > 1))):
+            for g in np.flatnonzero((size > SMALL) | (split & (size > 1))):
                 rows = np.arange(at[g], at[g + 1])
                 q, norm, left = _unsketched(sketch.slice(at[g], size[g]))
                 for lo in range(0, len(rows), 512):
@@ -182,20 +179,66 @@ def _screened(cosine: float):
     return run
 
 
+def _pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j), i < j, of rows in the same group; groups lie one after the other."""
+    rows = int(size.sum())
+    ahead = np.repeat(start + size, size) - np.arange(rows) - 1
+    i = np.repeat(np.arange(rows), ahead)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+
+
 def _compared(cosine: float, tables: int, projections: int):
-    """Groups of whole vectors to (rep, smallest rep it reaches here, links that no earlier table has)."""
+    """Groups of whole vectors to (rep, a rep that stands for those it reaches here, links that no earlier table has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in _groups(batches):
-            out = []
-            for lo, hi in zip(at, at[1:]):
-                if hi - lo > 1:
-                    out.append(one(table.slice(lo, hi - lo)))
+            size = np.diff(at)
+            part = table["part"].to_numpy()[at[:-1]]
+            split = part % (1 << 32) != part >> 32
+            small = (size > 1) & (size <= SMALL) & ~split
+            out = [one(table.slice(at[g], size[g])) for g in np.flatnonzero((size > 1) & ~small)]
+            few = np.flatnonzero(small)
+            for lo in range(0, len(few), 500):
+                g = few[lo: lo + 500]
+                rows = np.concatenate([np.arange(a, a + n) for a, n in zip(at[g], size[g])])
+                out.append(many(table.take(pa.array(rows)), size[g]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "root", "links"])
 
+    def many(rows: pa.Table, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rep, size, key = (rows[c].to_numpy() for c in ("rep", "size", "key"))
+        links = np.zeros(len(rep), dtype=np.int64)
+        h = np.zeros((len(rep), tables), dtype=np.int64)
+        i, j = _pairs(np.append(0, np.cumsum(sizes))[:-1], sizes)
+        near = np.zeros(len(i), dtype=bool)
+        for at, x in _matrices(rows["v"].combine_chunks()):
+            unit = np.zeros((len(rep), x.shape[1]))
+            unit[at] = normalised(x)
+            h[at] = hash_rows(unit[at], tables, projections)
+            # a group holds vectors of one length
+            for p in range(0, len(i), 50_000):
+                some = slice(p, p + 50_000)
+                near[some] |= np.einsum("ij,ij->i", unit[i[some]], unit[j[some]]) >= cosine
+        i, j = i[near], j[near]
+        root = np.arange(len(rep))
+        while True:
+            low = root.copy()
+            np.minimum.at(low, i, root[j])
+            np.minimum.at(low, j, root[i])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        for p in range(0, len(i), 50_000):
+            x, y = i[p: p + 50_000], j[p: p + 50_000]
+            same = h[x] == h[y]
+            new = h[x, same.argmax(axis=1)] == key[x]
+            np.add.at(links, x[new], size[y[new]])
+            np.add.at(links, y[new], size[x[new]])
+        some = np.unique(np.concatenate([i, j]))
+        return rep[some], rep[root[some]], links[some]
+
     def one(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        group = group.sort_by("rep")
         rep, size, side = (group[c].to_numpy() for c in ("rep", "size", "side"))
         part = group["part"][0].as_py()
         (_, x), = _matrices(group["v"].combine_chunks())
