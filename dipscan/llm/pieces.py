@@ -25,7 +25,7 @@ from . import textblocks as tb
 
 MARK = "▁"
 PROBE = "ﬁ①\u3000 a  b\tÅ e\u0301 Ｗ "  # what normalisers fold, compose, trim or squeeze
-TABLE_ROOM = 200_000  # chunks in a worker's table
+TABLE_ROOM = 120_000  # chunks in a worker's table
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _worker: dict = {}
@@ -98,7 +98,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         for batch in batches:
-            for row, block in tb.blocks(batch.column(1), 2 << 20):
+            for row, block in tb.blocks(batch.column(1)):
                 ids, ends, decoded = table.encode(block.to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(block)), lists, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])

@@ -42,7 +42,7 @@ from . import textblocks as tb
 from .shared import connected_components, width, written
 
 STAR_ROUNDS = 3
-BUCKET_BYTES = 16 << 20  # of text for one bucket of shingles
+BUCKET_BYTES = 8 << 20  # of text for one bucket of shingles
 SAMPLE_ROWS, SAMPLE_SEED, CROWD = 8_192, 11, 16
 FREQUENT = 1 << 15  # frequencies from here on are those of the sample's frequent shingles
 

@@ -201,7 +201,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     place = F.row_number().over(Window.partitionBy("text").orderBy("item", "shift"))
     spans = met.withColumn("block", F.floor((place - 1) / SPANS)).groupBy("text", "block").agg(F.collect_list(F.struct("item", "shift", "n")).alias("spans"))
     parts = spans.join(texts.select("text", "id", "words"), "text").select("text", "id", "words", "spans").mapInArrow(_sliced, "text bigint, id bigint, item bigint, shift int, part binary")
-    found = parts.join(words, "item").select("text", "id", "item", "shift", "part", "item_id", "words").mapInArrow(_compared, _STRETCH)
+    # the merge join keeps the two Python steps in stages of their own, so a task holds one worker
+    found = parts.join(words.hint("merge"), "item").select("text", "id", "item", "shift", "part", "item_id", "words").mapInArrow(_compared, _STRETCH)
     best = F.max(F.struct("equal_words", (-F.col("start_word")).alias("early"), "start_word", "end_word", "item_start")).alias("b")
     found = found.groupBy("text", "item", "id", "item_id").agg(best)
     return found.select("id", "item_id", "b.start_word", "b.end_word", "b.item_start", "b.equal_words")

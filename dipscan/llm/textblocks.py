@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,7 +53,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _room(n: int) -> int:
     """Room for n bytes in steps that keep the table of powers small."""
-    return -(-max(n, BLOCK_BYTES) // (1 << 19)) * (1 << 19)
+    return -(-max(n, BLOCK_BYTES + (1 << 16)) // (1 << 19)) * (1 << 19)
 
 
 @dataclass
@@ -78,14 +78,14 @@ def blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES) ->
     """(first row, slice) pairs whose texts have about ``max_bytes`` together."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     row = 0
     while row < len(column):
         done = ends[row - 1] if row else 0
         stop = max(row + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
-        yield row, column.slice(row, stop - row)
+        yield row, pc.fill_null(column.slice(row, stop - row).cast(pa.large_string()), "")
         row = stop
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no batches
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +116,14 @@ def words(texts: pa.Array) -> Words:
     start = np.flatnonzero(solid & before)
     end = np.flatnonzero(solid & after) + 1
     up, down = _powers(_room(n))
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((low.astype(np.uint64) + _U(1)) * up[:n], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
+    total = low.astype(np.uint64)
+    total += _U(1)
+    total *= up[:n]
+    np.cumsum(total, out=total)
+    value = total[end - 1]
+    value[start > 0] -= total[start[start > 0] - 1]
+    value *= down[start]
+    del total
     value ^= (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
     doc = np.searchsorted(base[1:], start, side="right")
     return Words(data, low, base, start, end, doc, mix(value))
