@@ -207,16 +207,19 @@ def autocorrelation_time(chain: np.ndarray, window: float = 5.0) -> float:
     return longest
 
 
-SAMPLE_SCHEMA = "tic_id string, sample_id int, tc double, rp_rs double, b double, ln_a double, ln_sigma double, converged boolean, acceptance double, tau double"
+SAMPLE_SCHEMA = "tic_id string, sample_id int, tc double, rp_rs double, b double, ln_a double, ln_sigma double, converged boolean, acceptance double, tau double, method string"
 
 
-def sampled(lc: DataFrame, walkers: int = 32, steps: int = 400, longest: int = 1600, keep: int = 4000, min_points: int = 20, ln_a_sd: float = 0.1, seed: int = 42) -> DataFrame:
+def sampled(lc: DataFrame, walkers: int = 32, steps: int = 1000, more: int | None = None, longest: int = 4000, keep: int = 4000, min_points: int = 20, ln_a_sd: float = 0.1, seed: int = 42) -> DataFrame:
     """Posterior samples of mid-time, radius ratio, impact parameter, ln a/R and ln noise.
 
     Needs period, t0, dur and ln_a columns and starts at the best of ``fitted``'s kind
-    of fit.  The chain grows until it is 20 autocorrelation times long or ``longest``;
-    its first 30 % is dropped and ``keep`` rows at most remain, evenly spaced.  A star
-    with too few points near the dip gives no rows.  The generator depends on seed
+    of fit.  The chain has ``steps`` steps and grows by ``more`` (half of that by default)
+    until it is 20 autocorrelation times long or ``longest``;
+    its first 30 % is dropped and ``keep`` rows at most remain, evenly spaced.  A chain that
+    stays too short or hardly moves gives way to ``keep`` draws from the fit's own
+    covariance (``method`` is lsq, not mcmc).  A star with too few points near the
+    dip gives no rows.  The generator depends on seed
     and star, so results do not depend on partitions.
     """
 
@@ -239,20 +242,27 @@ def sampled(lc: DataFrame, walkers: int = 32, steps: int = 400, longest: int = 1
             r = (f - flux(p)) / np.exp(p[4])
             return -0.5 * float(r @ r) - len(f) * p[4] - 0.5 * ((p[3] - ln_a) / ln_a_sd) ** 2
 
-        fits = [_least_squares(lambda x: (f - flux(np.append(x, [ln_a, 0.0]))) / noise, np.array([t0, 0.05, b]), lo[:3], hi[:3])[:2] for b in (0.1, 0.5, 0.8)]
-        best = np.append(min(fits, key=lambda s: s[1])[0], [ln_a, np.log(noise)])
+        fits = [_least_squares(lambda x: (f - flux(np.append(x, [ln_a, 0.0]))) / noise, np.array([t0, 0.05, b]), lo[:3], hi[:3]) for b in (0.1, 0.5, 0.8)]
+        fit, _, jac = min(fits, key=lambda s: s[1])
+        best = np.append(fit, [ln_a, np.log(noise)])
         spread = np.array([dur * 0.02, 0.002, 0.05, 0.02, 0.05])
         start = np.clip(best + spread * rng.standard_normal((walkers, len(best))), lo + 1e-9, hi - 1e-9)
         chain, accepted = stretch_walk(log_post, start, steps, rng)
         tau = autocorrelation_time(chain)
         while len(chain) <= 20 * tau and len(chain) < longest:
-            more, accepted = stretch_walk(log_post, chain[-1], steps, rng)
-            chain = np.concatenate([chain, more])
+            part, accepted = stretch_walk(log_post, chain[-1], more or steps // 2, rng)
+            chain = np.concatenate([chain, part])
             tau = autocorrelation_time(chain)
         flat = chain[int(0.3 * len(chain)):].reshape(-1, chain.shape[2])
         flat = flat[np.unique(np.linspace(0, len(flat) - 1, min(keep, len(flat))).astype(int))]
+        converged = bool(len(chain) > 20 * tau and 0.1 < accepted < 0.9)
+        if not converged:
+            wide = np.zeros((5, 5))
+            wide[:3, :3] = np.linalg.pinv(jac.T @ jac)
+            wide[3, 3], wide[4, 4] = ln_a_sd ** 2, 1 / (2 * len(f))
+            flat = np.clip(rng.multivariate_normal(best, wide, size=keep, method="svd"), lo, hi)
         out = pd.DataFrame(flat, columns=names[2:7])
-        return out.assign(tic_id=star, sample_id=np.arange(len(out)), converged=bool(len(chain) > 20 * tau and 0.1 < accepted < 0.9), acceptance=accepted, tau=tau)[names]
+        return out.assign(tic_id=star, sample_id=np.arange(len(out)), converged=converged, acceptance=accepted, tau=tau, method="mcmc" if converged else "lsq")[names]
 
     return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, SAMPLE_SCHEMA)
 

@@ -68,6 +68,16 @@ ORACLES: dict[str, str] = {
     "longest_segment_T6": f"""WITH {_LC}, c AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > 2, false) THEN 1 ELSE 0 END AS cut FROM lc WINDOW w AS (PARTITION BY tic_id ORDER BY t, event_id)), s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY tic_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM c),
       n AS (SELECT tic_id, seg, count(*) AS n FROM s GROUP BY tic_id, seg QUALIFY row_number() OVER (PARTITION BY tic_id ORDER BY count(*) DESC, seg) = 1) SELECT event_id, s.tic_id, s.seg FROM s JOIN n ON s.tic_id = n.tic_id AND s.seg = n.seg""",
     "sigma_clip_W6": f"WITH {_CLIP} SELECT event_id FROM k5",
+    "biweight_W7": f"""WITH RECURSIVE {_LC}, g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY tic_id ORDER BY t, event_id) > 1.5::DOUBLE, false) AS cut FROM lc),
+  s AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY tic_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM g),
+  x AS (SELECT tic_id, event_id, t, flux, coalesce(list(flux) FILTER (flux IS NOT NULL) OVER (PARTITION BY tic_id, seg ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING), []) AS xs FROM s),
+  r AS (SELECT event_id, xs, list_median(xs) AS mid, 0 AS k, len(xs) = 0 AS done FROM x
+    UNION ALL SELECT event_id, xs, CASE WHEN spread = 0 THEN mid ELSE new END, k + 1, spread = 0 OR abs(new - mid) < 1e-10::DOUBLE * greatest(1, abs(mid)) FROM (
+      SELECT *, list_sum(list_transform(xs, lambda v, i: v * ws[i])) / list_sum(ws) AS new FROM (
+        SELECT *, list_transform(xs, lambda v: CASE WHEN abs((v - mid) / nullif(5 * spread, 0)) < 1 THEN (1 - ((v - mid) / (5 * spread)) ** 2) ** 2 ELSE 0 END) AS ws FROM (
+          SELECT *, list_median(list_transform(xs, lambda v: abs(v - mid))) AS spread FROM r WHERE NOT done AND k < 10)))),
+  m AS (SELECT event_id, arg_max(mid, k) AS trend FROM r GROUP BY event_id)
+SELECT tic_id, x.event_id, round(t, 6) AS t, round(trend, 6) AS trend, round(flux / nullif(trend, 0), 6) AS flat_flux FROM x LEFT JOIN m ON x.event_id = m.event_id""",
     "rolling_median_W7": f"WITH {_LC} SELECT event_id, round(median(flux) OVER (PARTITION BY tic_id ORDER BY t RANGE BETWEEN 1.0 PRECEDING AND 1.0 FOLLOWING), 6) AS trend FROM lc",
     "time_bin_T7": f"WITH {_LC}, k AS (SELECT *, CAST(floor((t - min(t) OVER (PARTITION BY tic_id)) / 1.0::DOUBLE) AS BIGINT) AS k FROM lc) SELECT tic_id, k, round(avg(t), 5) AS t, round(avg(flux), 5) AS flux, count(*) AS n FROM k GROUP BY tic_id, k",
     "fold_bin_T2": f"WITH {_PHI} SELECT tic_id, CAST({_BIN.format(n=20)} AS INTEGER) AS bin, round(avg(flux), 6) AS flux, count(*) AS n FROM f WHERE phi < 0.5 GROUP BY 1, 2",

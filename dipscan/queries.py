@@ -471,7 +471,8 @@ def gbt_M4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "[.]")).cast("double").alias("stops"))
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumn("grp", F.concat("source", F.lit("/"), F.col("doc_id") % 5))
     train, test = plans.split_by_group(rows)
-    return rounded(plans.scored(plans.fit_classifier(train, ["chars", "words", "stops"]), test).select("doc_id", "label", "score"))
+    model = plans.fit_classifier(train, ["chars", "words", "stops"], trees=300, depth=6, rate=0.05, rows=0.8, group="grp")
+    return rounded(plans.scored(model, test).select("doc_id", "label", "score"))
 
 
 # -- windows, epochs, derived parameters, selection --------------------------
@@ -568,5 +569,8 @@ def importance_M10(spark, sf_dir):
 
 @query
 def posterior_T25(spark, sf_dir):
-    lc = unit_curves(spark, sf_dir).withColumn("ln_a", F.lit(2.0))
-    return rounded(fitting.sampled(lc, walkers=16, steps=30, longest=60, keep=50, min_points=30))
+    """Chains of full length for the best few dips: a top-k report, as a chain takes seconds."""
+    best = search.ranked_dips(light_curves(spark, sf_dir), top=8, **search.SQL_GRID).select("tic_id")
+    lc = unit_curves(spark, sf_dir).withColumn("ln_a", F.lit(2.0)).join(F.broadcast(best), "tic_id", "left_semi")
+    s = fitting.sampled(lc, min_points=10).groupBy("tic_id").agg(F.count("*").alias("n"), F.first("converged").alias("converged"), F.first("acceptance").alias("acceptance"), F.first("tau").alias("tau"), F.first("method").alias("method"), *[F.median(c).alias(c) for c in ("tc", "rp_rs", "b", "ln_a", "ln_sigma")])
+    return rounded(s)

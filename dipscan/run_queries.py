@@ -138,6 +138,16 @@ def segment_S14(spark, sf_dir):
     return rounded(seg.groupBy("tic_id").agg(F.count("*").alias("n"), F.round(F.min("t"), 5).alias("first"), F.round(F.max("t"), 5).alias("last"), *[F.round(F.sum(c), 3).alias(c) for c in ("flux", "c1", "c2")], F.sum("quality").alias("quality")))
 
 
+@query(f"WITH {_UNIT} SELECT 'SYN_' || tic_id AS tic_id, count(*) AS n, true AS sound FROM u GROUP BY tic_id")
+def injected_ranges_T19(spark, sf_dir):
+    """Rows of every injected curve, and whether what was injected lies in the ranges it is drawn from."""
+    lc = unit_curves(spark, sf_dir)
+    made = fitting.injected(lc).groupBy("tic_id").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), *[F.first(c).alias(c) for c in ("inj_period", "inj_rp", "inj_t0", "inj_depth_ppm")], F.count_distinct("inj_period", "inj_rp", "inj_t0").alias("draws"))
+    high = F.greatest(F.lit(1.1), F.least(F.lit(30.0), (F.col("b") - F.col("a")) / 3))
+    sound = (F.col("draws") == 1) & F.col("inj_period").between(1, high) & F.col("inj_rp").between(0.01, 0.15) & (F.col("inj_t0") >= F.col("a")) & (F.col("inj_t0") <= F.col("a") + F.col("inj_period")) & (F.col("inj_depth_ppm") >= 0)
+    return made.select("tic_id", "n", sound.alias("sound"))
+
+
 # -- runs that go on -------------------------------------------------------------
 
 
@@ -165,6 +175,15 @@ def train_run_M11(spark, sf_dir):
     return m.select("n_train", "train_groups", "n_test", "n_positive", "features", "classes", sound.alias("sound"))
 
 
+@query("""WITH d AS (SELECT l.quality AS label FROM documents d JOIN labels l USING (doc_id)), n AS (SELECT label, count(*) AS n FROM d GROUP BY label)
+SELECT label, max(n) OVER () AS rows, max(n) OVER () - n AS synthetic FROM n""")
+def oversampled_M5(spark, sf_dir):
+    """Both classes of the labelled documents, the smaller one filled up between neighbours."""
+    docs, columns = _text_rows(spark, sf_dir)
+    made = plans.oversampled(docs, columns)
+    return made.groupBy("label").agg(F.count("*").alias("rows"), F.count_if("synthetic").alias("synthetic"))
+
+
 def _text_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     train, test, columns = _text_features(spark, sf_dir)
     return train.unionByName(test), columns

@@ -385,7 +385,11 @@ def geometry_T10(spark, sf_dir):
     return rounded(g.withColumn("depth_ppm", F.round("depth_ppm", 1)))
 
 
-@query()
+@query(f"""WITH {_UNIT}, a AS (SELECT event_id, flux, 2 * pi() * (t - t0) / period AS angle FROM u), d AS (SELECT *, CASE WHEN cos(angle) > 0 THEN sqrt((8.0::DOUBLE * sin(angle)) ** 2 + (0.2::DOUBLE * cos(angle)) ** 2) ELSE 9 END AS d FROM a),
+  g AS (SELECT sqrt((i + 0.5::DOUBLE) / 300) AS r, 1 - sqrt(1 - (i + 0.5::DOUBLE) / 300) AS dark FROM range(300) x(i)), l AS (SELECT r, 1 - 0.3::DOUBLE * dark - 0.1::DOUBLE * dark * dark AS light FROM g),
+  m AS (SELECT event_id, 1 - sum(acos(greatest(-1, least(1, CASE WHEN d > 0 THEN (d * d + r * r - 0.01::DOUBLE) / (2 * d * r) WHEN r < 0.1::DOUBLE THEN -1 ELSE 1 END))) / pi() * light) / sum(light) AS model FROM d CROSS JOIN l WHERE d < 1.1::DOUBLE GROUP BY event_id),
+  f AS (SELECT event_id, flux, coalesce(model, 1) AS model, (flux - coalesce(model, 1)) / 0.5::DOUBLE AS res FROM d LEFT JOIN m USING (event_id))
+SELECT event_id, round(model, 6) AS model, round(res, 6) AS residual, round(-0.5::DOUBLE * res * res - ln(0.5::DOUBLE), 6) AS log_like FROM f""")
 def model_residual_T20_T24(spark, sf_dir):
     """Model flux, residual and log-likelihood terms of every row; the tests hold the model against closed forms."""
     lc = unit_curves(spark, sf_dir).withColumn("rp_rs", F.lit(0.1)).withColumn("a_rs", F.lit(8.0)).withColumn("b", F.lit(0.2)).withColumn("sigma", F.lit(0.5))

@@ -48,6 +48,36 @@ def test_learning_curve(spark, rows):
     assert all(r.auc > 0.8 for r in got)
 
 
+def test_oversampling_lies_between_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, float(v), 1.0) for i, v in enumerate(rng.normal(0, 1, 60))] + [(100 + i, 1, 10.0 + i, None if i == 3 else 2.0) for i in range(7)] + [(200, 2, 50.0, 3.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, label int, x double, y double")
+    made = plans.oversampled(df, ["x", "y"]).toPandas()
+    assert made.groupby("label").size().to_dict() == {0: 60, 1: 60, 2: 60}
+    new = made[made.synthetic]
+    assert len(new) == 112 and new[new.label == 1].x.between(10, 16).all() and (new[new.label == 2].x == 50).all()
+    assert len(set(new[new.label == 1].x.round(6))) > 40
+    assert sorted(plans.oversampled(df, ["x", "y"]).toPandas().x) == sorted(made.x)
+    assert plans.oversampled(df.where("false"), ["x", "y"]).count() == 0
+
+
+def test_early_stop(spark, rows):
+    train, test = plans.split_by_group(rows)
+    model = plans.fit_classifier(train, ["x1", "x2"], trees=60, rate=0.5, rows=0.8, group="grp")
+    assert model.stages[-1].getNumTrees < 60
+    got = plans.scored(model, test).toPandas()
+    assert (got[got.label == 1].score.mean() - got[got.label == 0].score.mean()) > 0.4
+
+
+def test_run_needs_two_classes(spark, rows, tmp_path):
+    with pytest.raises(ValueError, match="classes"):
+        plans.train_run(rows.where("label = 1 OR grp = 'x'"), ["x1"], f"file://{tmp_path}/one")
+    assert not (tmp_path / "one").exists()
+    made = rows.unionByName(rows.limit(30).withColumn("grp", F.lit("SYN_1")))
+    m = plans.train_run(made, ["x1", "x2"], f"file://{tmp_path}/two", trees=5).first()
+    assert m.n_train + m.n_test == 630 and m.classes == 2 and m.auc > 0.8 and (tmp_path / "two" / "model").exists()
+
+
 def test_walk_recovers_a_gaussian():
     rng = np.random.default_rng(1)
     chain, accepted = fitting.stretch_walk(lambda p: -0.5 * float(((p - [1, -2]) ** 2 / [1, 4]).sum()), rng.normal(size=(16, 2)), 1500, rng)

@@ -136,3 +136,40 @@ def test_readers(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType())])
     got = sources.read_csv(spark, str(tmp_path / "c.csv"), schema, mode="DROPMALFORMED", comment="#").collect()
     assert [tuple(x) for x in got] == [(1, 2.5), (2, 3.0)]
+
+
+def test_ranks_and_medians_without_one_task(spark):
+    from dipscan.operators import ordered
+
+    rows = [(i, "ab"[i % 2] if i % 7 else None, (i * 37) % 50 / 2 if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, g string, v double")
+    got = {r.k: r.rank for r in ordered.ranked(df, [F.col("v").desc_nulls_last(), "k"]).collect()}
+    order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+    assert [got[r[0]] for r in order] == list(range(1, 401))
+    got = {r.k: (r.rn, r.n) for r in ordered.ranked_within(df, "g", ["k"]).collect()}
+    for g in ("a", "b", None):
+        own = [r[0] for r in rows if r[1] == g]
+        assert [got[k] for k in own] == [(i + 1, len(own)) for i in range(len(own))]
+    assert ordered.median(df, "v") == float(np.median([r[2] for r in rows if r[2] is not None]))
+    assert ordered.median(df.where("v is null"), "v") is None
+    assert ordered.ranked(df.where("false"), ["k"]).count() == 0
+
+
+def test_candidates_of_planted_dips(spark):
+    rng = np.random.default_rng(12)
+    t = np.sort(rng.uniform(0, 28, 2500))
+    rows = []
+    for star, period in enumerate((0.83, 3.03, 7.7, None)):
+        f = 1 + rng.normal(0, 0.002, len(t))
+        if period:
+            f[np.abs((t - 0.4 + period / 2) % period - period / 2) < 0.04 * period] -= 0.01
+        rows += [(str(star), i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, f))]
+    rows += [("few", i, float(i), 1.0) for i in range(50)]
+    lc = spark.createDataFrame(rows, "tic_id string, event_id bigint, t double, flux double")
+    got = {r.tic_id: r for r in search.candidates(lc).collect()}
+    assert set(got) == {"0", "1", "2", "3"}
+    for star, period in (("0", 0.83), ("1", 3.03), ("2", 7.7)):
+        r = got[star]
+        assert r.is_candidate and r.fap < 1e-6 and abs(r.period / period - 1) < 0.005
+        assert r.depth == pytest.approx(0.01, rel=0.2) and r.duration_hr == pytest.approx(0.08 * period * 24, rel=0.4)
+    assert not got["3"].is_candidate
