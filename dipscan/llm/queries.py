@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (source as host, lang as declaration) and pages (markup, address, host)."""
+    """Documents (source as host, lang as declaration, which labels the fit as well) and pages (markup, address, host)."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     model = language.fit(docs)
     nothing = F.lit(None).cast("string")
