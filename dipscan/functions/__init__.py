@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 DISPOSITION_LABELS = {"PC": 0, "KP": 0, "CP": 0, "APC": 0, "EB": 1, "BEB": 2, "SB2": 1, "V": 3, "FA": 3, "FP": 3, "NEB": 3, "O": 3, "U": 3}
 # Quality bits that make a cadence unusable.
 BAD_QUALITY = 1 | 2 | 4 | 8 | 16 | 512
-# Upper radius of each size class, in Earth radii.
+# Upper radius of each size class, in Earth radii; the name without a radius and beyond the last.
 SIZE_CLASSES = ((1.25, "Earth-size"), (2.0, "Super-Earth"), (6.0, "Neptune-size"), (15.0, "Jupiter-size"))
+SIZE_UNKNOWN, SIZE_BEYOND = "unknown", "too large for a planet (likely stellar companion)"
 
 
 def norm_id(x: Column) -> Column:
@@ -69,7 +70,7 @@ def bin_index(x: Column, lo: float, hi: float, n: int) -> Column:
 
 
 def size_class(radius: Column) -> Column:
-    out = F.when(radius.isNull() | F.isnan(radius), "unknown")
+    out = F.when(radius.isNull() | F.isnan(radius), SIZE_UNKNOWN)
     for top, name in SIZE_CLASSES:
         out = out.when(radius < top, name)
-    return out.otherwise("too large for a planet (likely stellar companion)")
+    return out.otherwise(SIZE_BEYOND)
