@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_events, embedding_lsh, language, passages, pieces, set_join, spaced_seeds, token_counts, url_cascade, warc_zip
+from . import chat_events, embedding_lsh, language, maxent_lm, merkle, passages, pieces, set_join, spaced_seeds, token_counts, url_cascade, vector_codes, warc_zip
 
 COUNT_MODEL = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -82,6 +82,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verifies each document against the manifest; of one in three the text was lower-cased since."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(F.col("text"))
+    return merkle.documents_manifest(_table(spark, sf_dir, "documents"), changed)
+
+
+def op13_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +105,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_repeated_passages, op3_token_counts, op4_warc_packages, op5_url_rules, op6_pieces,
-    op7_embedding_duplicates, op8_jaccard_join, op9_benchmark_overlaps, op10_chat_format, pipeline,
+    op7_embedding_duplicates, op8_jaccard_join, op9_benchmark_overlaps, op10_chat_format,
+    op11_vector_codes, op12_merkle_manifest, op13_maxent_scores, pipeline,
 )}
 
 ORACLES = {
@@ -141,3 +157,57 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
 }
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Lloyd's rounds written out, one after the other; distances are below 2**53, so exact in doubles."""
+    nearest = """a{r} AS MATERIALIZED (SELECT x.k, x.part, x.e, arg_min(c.entry, (c.ee - 2 * list_inner_product(x.e, c.e), c.entry)) AS entry,
+                  min(c.ee - 2 * list_inner_product(x.e, c.e)) + list_inner_product(x.e, x.e) AS d FROM x JOIN c{r} c USING (part) GROUP BY x.k, x.part, x.e)"""
+    moved = """u{s} AS (SELECT part, entry, i, sum(e[i]::BIGINT) AS s, count(*) AS n FROM a{r}, range(1, len(e) + 1) AS t(i) GROUP BY part, entry, i),
+     m{s} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS e FROM u{s} GROUP BY part, entry),
+     c{s} AS MATERIALIZED (SELECT part, entry, coalesce(m{s}.e, o.e) AS e, list_inner_product(coalesce(m{s}.e, o.e), coalesce(m{s}.e, o.e)) AS ee FROM c{r} o LEFT JOIN m{s} USING (part, entry))"""
+    steps = [nearest.format(r=0)] + [step for r in range(rounds) for step in (moved.format(r=r, s=r + 1), nearest.format(r=r + 1))]
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, vec_id, label, list_transform(embedding, lambda z: floor(4096 * z::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+     x AS MATERIALIZED (SELECT k, p AS part, q[p * len(q) // 8 + 1 : (p + 1) * len(q) // 8] AS e FROM v, range(8) AS t(p)),
+     c0 AS (SELECT part, k - 1 AS entry, e, list_inner_product(e, e) AS ee FROM x WHERE k <= 16),
+     {", ".join(steps)},
+     w AS (SELECT k, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY k),
+     b AS (SELECT sha256(string_agg(e[i]::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS books FROM c{rounds}, range(1, len(e) + 1) AS t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM v JOIN w USING (k), b"""
+
+
+def _manifest_sql(levels: int = 8, above: int = 3) -> str:
+    """Levels written out: enough for 8**8 documents of a language and 512 languages."""
+    node = "{t}{s} AS MATERIALIZED (SELECT tree, pos // 8 AS pos, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {t}{r} WHERE n > 1 GROUP BY tree, pos // 8, (n + 7) // 8)"
+    run = "{t}r{r} AS (SELECT tree, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM {t}{r} WHERE n > 1 GROUP BY tree, pos // 8)"
+    walk = """{t}d{s} AS MATERIALIZED (SELECT d.* EXCLUDE (tree, pos, n, now, proof), d.tree, d.pos // 8 AS pos, (d.n + 7) // 8 AS n,
+                  CASE WHEN hs IS NULL THEN now ELSE sha256(array_to_string(hs[: d.pos % 8] || [now] || hs[d.pos % 8 + 2 :], '')) END AS now,
+                  proof || coalesce(array_to_string(hs[: d.pos % 8] || hs[d.pos % 8 + 2 :], ''), '') AS proof
+                  FROM {t}d{r} d LEFT JOIN {t}r{r} r ON d.tree = r.tree AND d.pos // 8 = r.run AND d.n > 1)"""
+    tree = lambda t, k: [x.format(t=t, r=r, s=r + 1) for r in range(k) for x in (node, run)]
+    path = lambda t, k: [walk.format(t=t, r=r, s=r + 1) for r in range(k)]
+    tops = lambda t, k: " UNION ALL ".join(f"SELECT tree, h FROM {t}{r} WHERE n = 1" for r in range(k + 1))
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bit = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(x, z))"
+    crc = f"xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT), lambda x, z: {bit}, 4294967295::BIGINT), 4294967295)"
+    join = ",\n     ".join
+    return f"""
+WITH t AS (SELECT *, CASE WHEN {crc} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents),
+     f AS MATERIALIZED (SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf("other")} AS now FROM t),
+     ld0 AS MATERIALIZED (SELECT doc_id, leaf, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                          count(*) OVER (PARTITION BY lang) AS n, now, '' AS proof FROM f),
+     l0 AS (SELECT tree, pos, n, leaf AS h FROM ld0),
+     {join(tree("l", levels) + path("l", levels))},
+     sub AS MATERIALIZED ({tops("l", levels)}),
+     g0 AS (SELECT 0 AS tree, tree AS pos, (SELECT count(*) FROM sub) AS n, h FROM sub),
+     {join(tree("g", above))},
+     gd0 AS (SELECT doc_id, leaf, sub.h AS subroot, 0 AS tree, d.tree AS pos, (SELECT count(*) FROM sub) AS n, now, proof FROM ld{levels} d JOIN sub ON d.tree = sub.tree),
+     {join(path("g", above))},
+     top AS ({tops("g", above)})
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = top.h AS verified FROM gd{above}, top"""
+
+
+ORACLES |= {"op11_vector_codes": _codes_sql(), "op12_merkle_manifest": _manifest_sql()}
