@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import plans, sinks, sources
-from .operators import fitting, plots, search, series
+from .operators import fitting, plots, search, series, templates
+from .plans import boosting
 from .oracles import _LC, _PHI, _TOI, _UNIT
 from .queries import _text_features, curves, rounded, unit_curves
 from .shared import shared_folder
@@ -59,6 +60,45 @@ def search_T9_T10_T11(spark, sf_dir):
     return found.withColumn("is_candidate", search.is_candidate(F.col("sde"), min_sde=4.0))
 
 
+BANK = templates.template_bank(20, low=0.1, high=0.2, step=1.4)
+
+
+def _best_shapes(src: str, out: str) -> str:
+    """The strongest shape of the bank for each star of ``src`` (tic_id, event_id, t, flux), as ``out``; the bank stands as values."""
+    bank = ", ".join(f"({k}, {d}, {g}::DOUBLE)" for k, shape in enumerate(BANK[0]) for d, g in enumerate(shape) if g > 0)
+    return f"""{out}a AS (SELECT tic_id, t, flux, count(*) OVER (PARTITION BY tic_id) AS c, min(t) OVER (PARTITION BY tic_id) AS first FROM {src} WHERE t IS NOT NULL AND flux IS NOT NULL),
+  {out}b AS MATERIALIZED (SELECT tic_id, avg(t) AS t, avg(flux) AS flux FROM {out}a WHERE c >= 40 GROUP BY tic_id, floor((t - first) / (10 / 1440.0::DOUBLE)) QUALIFY count(*) OVER (PARTITION BY tic_id) >= 30),
+  {out}w AS MATERIALIZED (SELECT tic_id, min(t) AS start, max(t) - min(t) AS base, count(*) AS n, avg(flux) AS mean, var_pop(flux) AS var FROM {out}b GROUP BY tic_id),
+  {out}h AS (SELECT *, least(27.0::DOUBLE, base / 2) AS high FROM {out}w), {out}m AS (SELECT *, CAST(ceil((1 - 1 / high) * base / (1 / 20.0::DOUBLE)) AS BIGINT) + 1 AS trials FROM {out}h WHERE high >= 1),
+  {out}g AS (SELECT tic_id, unnest(range(trials)) AS i, trials, high FROM {out}m), {out}p AS (SELECT tic_id, i, 1 / (1.0::DOUBLE - i * ((1.0::DOUBLE - 1 / high) / greatest(1, trials - 1))) AS period FROM {out}g),
+  {out}x AS (SELECT tic_id, i, period, flux - mean AS dev, (t - start) / period AS x FROM {out}p JOIN {out}b USING (tic_id) JOIN {out}m USING (tic_id)),
+  {out}c AS (SELECT tic_id, i, period, least(CAST(floor((x - floor(x)) * 20) AS INTEGER), 19) AS bin, sum(dev) AS s, count(*) AS r FROM {out}x GROUP BY ALL),
+  {out}o AS (SELECT tic_id, i, period, v.k, (bin - v.d + 20) % 20 AS bin, sum(s * g) AS s, sum(r * g) AS rg, sum(r * g * g) AS rgg, sum(r) AS r FROM {out}c CROSS JOIN (VALUES {bank}) v(k, d, g) GROUP BY ALL),
+  {out}e AS (SELECT o.*, n, rgg - rg * rg / n AS spread, CASE WHEN s < -1e-12 AND rgg - rg * rg / n > 1e-6 THEN round(s * s / (rgg - rg * rg / n), 9) ELSE 0 END AS power FROM {out}o o JOIN {out}m USING (tic_id)),
+  {out}q AS (SELECT tic_id, i, max(power) AS power FROM {out}e GROUP BY ALL), {out}z AS (SELECT tic_id, avg(power) AS mean_power, stddev_pop(power) AS sd FROM {out}q GROUP BY tic_id),
+  {out}k AS (SELECT * FROM {out}e WHERE power > 0 QUALIFY row_number() OVER (PARTITION BY tic_id ORDER BY power DESC, period, k, bin) = 1),
+  {out} AS MATERIALIZED (SELECT w.tic_id, w.start, w.base, w.n, w.var, k.period, k.k, k.bin, k.power, -k.s / k.spread AS depth, k.r AS n_in, (k.power - mean_power) / nullif(sd, 0) AS sde, k.power / nullif(w.var, 0) AS strength, floor(log2(w.n)) AS nc, floor(log2(greatest(w.base, 1e-9::DOUBLE))) AS bc
+    FROM {out}w w LEFT JOIN {out}k k USING (tic_id) LEFT JOIN {out}z USING (tic_id))"""
+
+
+_PICK = lambda values: "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "][k + 1]"
+_SHUFFLED = """r1 AS (SELECT tic_id, event_id, t, row_number() OVER (PARTITION BY tic_id ORDER BY t, event_id) AS place FROM u WHERE t IS NOT NULL AND flux IS NOT NULL),
+  r2 AS (SELECT tic_id, flux, row_number() OVER (PARTITION BY tic_id ORDER BY md5('42/' || event_id), event_id) AS place FROM u WHERE t IS NOT NULL AND flux IS NOT NULL), mixed AS (SELECT tic_id, event_id, t, flux FROM r1 JOIN r2 USING (tic_id, place))"""
+_LAW = """l0 AS (SELECT nc, bc, avg(strength) AS mean, stddev_samp(strength) AS sd, count(*) AS draws FROM noise WHERE strength IS NOT NULL GROUP BY ALL), l1 AS (SELECT avg(strength) AS mean, stddev_samp(strength) AS sd FROM noise WHERE strength IS NOT NULL),
+  law AS (SELECT nc, bc, CASE WHEN draws < 30 THEN l1.mean ELSE l0.mean END AS mean, CASE WHEN draws < 30 THEN l1.sd ELSE l0.sd END * sqrt(6) / pi() AS scale FROM l0, l1)"""
+
+
+@query(f"""WITH {_UNIT}, {_best_shapes('u', 'best')}, {_SHUFFLED}, {_best_shapes('mixed', 'noise')}, {_LAW},
+  f AS (SELECT best.*, 1 - exp(-exp(-(strength - (mean - scale * 0.5772156649015329::DOUBLE)) / nullif(scale, 0))) AS fap FROM best LEFT JOIN law USING (nc, bc))
+SELECT tic_id, 'done' AS status, round(period, 6) AS period, round(depth, 6) AS depth, round(period * {_PICK(BANK[1])} * 24, 6) AS duration_hr, CAST(floor(base / period) AS BIGINT) AS transit_count, round(sde, 5) AS sde, round(depth / sqrt(var) * sqrt(n_in), 5) AS snr,
+  round(fap, 5) AS fap, round(start + (bin + {_PICK(BANK[2])} / 2) / 20 * period, 6) AS t0, round(CASE WHEN depth >= 0 THEN sqrt(depth / {templates.CENTRAL!r}::DOUBLE) END, 6) AS rp_rs, round({_PICK(BANK[1])}, 6) AS phase_coverage, coalesce(round(sde, 5) >= 3.5 AND (fap IS NULL OR round(fap, 5) < 0.2), false) AS is_candidate FROM f""")
+def template_candidates_T9_T10_T11(spark, sf_dir):
+    """Limb-darkened dips of three lengths over each star's own periods; the chance of a false alarm comes from permuted curves and decides (cuts scaled: sde 3.5, fap 0.2)."""
+    found = templates.template_candidates(unit_curves(spark, sf_dir), bank=BANK, low=1.0, oversampling=1, min_raw=40, min_binned=30)
+    found = found.drop("depth_ppm", "is_candidate").withColumns({"sde": F.round("sde", 5), "fap": F.round("fap", 5), "snr": F.round("snr", 5)})
+    return rounded(found).withColumn("is_candidate", search.is_candidate(F.col("sde"), F.col("fap"), 3.5, 0.2))
+
+
 _POWERS = f"""WITH {_UNIT}, d AS (SELECT tic_id, t, flux - avg(flux) OVER (PARTITION BY tic_id) AS dev, count(flux) OVER (PARTITION BY tic_id) AS n, min(t) OVER (PARTITION BY tic_id) AS start FROM u),
   g AS (SELECT 1.0::DOUBLE + i * ((10.0::DOUBLE - 1.0) / 40) AS period FROM range(40) r(i)), x AS (SELECT tic_id, period, n, dev, (t - start) / period AS x FROM d CROSS JOIN g),
   c AS (SELECT tic_id, period, n, floor((x - floor(x)) * 20) AS bin, sum(dev) AS s, count(*) AS r FROM x GROUP BY ALL),
@@ -189,6 +229,44 @@ def _text_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return train.unionByName(test), columns
 
 
+_STUMP = ("total", "month", "weekday", "priority")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, [floor(o_totalprice / 20000)::DOUBLE, month(o_orderdate)::DOUBLE, dayofweek(o_orderdate) + 1.0::DOUBLE, substr(o_orderpriority, 1, 1)::DOUBLE] AS x FROM orders),
+  p AS (SELECT avg(y) AS p, count(*) AS n, avg(y) * (1 - avg(y)) AS h FROM o), u AS (SELECT o_orderkey, y, j, x[j + 1] AS v FROM o, range(4) t(j)),
+  b AS (SELECT j, v, sum(p - y) AS g, count(*) AS c FROM u, p GROUP BY j, v), s AS (SELECT j, v, sum(g) OVER w AS gl, sum(c) OVER w AS nl FROM b WINDOW w AS (PARTITION BY j ORDER BY v)),
+  k AS (SELECT j, v, nl, gl, (SELECT sum(g) FROM b WHERE j = 0) AS ga FROM s),
+  e AS (SELECT j, v, gl, nl, ga, n, h, round(gl ** 2 / (nl * h + 1) + (ga - gl) ** 2 / ((n - nl) * h + 1) - ga ** 2 / (n * h + 1), 7) AS gain FROM k, p WHERE nl >= 20 AND n - nl >= 20),
+  t AS (SELECT * FROM e ORDER BY gain DESC, j, v LIMIT 1), l AS (SELECT j, v AS cut, -gl / (nl * h + 1) AS below, -(ga - gl) / ((n - nl) * h + 1) AS above, nl / n AS share FROM t),
+  f AS (SELECT o_orderkey, j, CASE WHEN x[j + 1] <= cut THEN below ELSE above END AS v, share * below + (1 - share) * above AS mean FROM o, l)
+SELECT o_orderkey, round(ln(p / (1 - p)) + 0.5 * v, 5) AS margin, round(ln(p / (1 - p)) + 0.5 * mean, 5) AS expected, """ + ", ".join(f"CASE WHEN j = {j} THEN round(0.5 * (v - mean), 5) ELSE 0 END AS {c}" for j, c in enumerate(_STUMP)) + " FROM f, p")
+def stump_contributions_M4_M10(spark, sf_dir):
+    """The first split of leaf-wise growth over all orders, and what each feature adds to every order's margin."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.floor(F.col("o_totalprice") / 20000).cast("double").alias("total"),
+        F.month("o_orderdate").cast("double").alias("month"), F.dayofweek("o_orderdate").cast("double").alias("weekday"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+    )
+    model = boosting.boosted(o, list(_STUMP), trees=1, leaves=2, rate=0.5)
+    rows = boosting.explained(model, o, "o_orderkey")
+    return rounded(rows.select("o_orderkey", "margin", "expected", *[F.col("contributions")[j].alias(c) for j, c in enumerate(_STUMP)]), 5)
+
+
+@query()
+def leafwise_contributions_M4_M10(spark, sf_dir):
+    """Trees of up to 63 leaves with early stopping on the labelled documents; margins of the held-out ones and what they are made of."""
+    train, test, columns = _text_features(spark, sf_dir)
+    model = boosting.boosted(train, columns, group="grp", trees=20)
+    rows = boosting.explained(model, test, "doc_id")
+    return rounded(rows.select("doc_id", "margin", "expected", *[F.col("contributions")[j].alias(c) for j, c in enumerate(columns)]))
+
+
+@query()
+def attribution_M10_A25(spark, sf_dir):
+    """Mean size of the contributions to the margins of all labelled documents, largest first."""
+    docs, columns = _text_rows(spark, sf_dir)
+    return rounded(boosting.attribution(boosting.boosted(docs, columns, trees=10, leaves=15), docs, "doc_id"))
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup_Str5(spark, sf_dir):
     """Every event arrives twice; each is kept once."""
