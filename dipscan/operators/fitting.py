@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .batches import in_units, per_star
 
 # Quadratic limb darkening of the model.
 LIMB = (0.3, 0.1)
@@ -16,55 +18,100 @@ LIMB = (0.3, 0.1)
 
 def biweight(x: np.ndarray, c: float = 5.0, rounds: int = 10) -> float:
     """Tukey's biweight location, from the median onwards until it is stable."""
-    mid = float(np.median(x))
+    return float(biweights(np.asarray(x, float)[None, :], c, rounds)[0])
+
+
+def biweights(x: np.ndarray, c: float = 5.0, rounds: int = 10) -> np.ndarray:
+    """The biweight location of each row of a matrix."""
+    mid = np.median(x, axis=1)
+    todo = np.arange(len(x))
     for _ in range(rounds):
-        spread = np.median(np.abs(x - mid))
-        if spread == 0:
-            return mid
-        u = (x - mid) / (c * spread)
+        some = x[todo]
+        spread = np.median(np.abs(some - mid[todo, None]), axis=1)
+        todo, some, spread = todo[spread > 0], some[spread > 0], spread[spread > 0]
+        if not len(todo):
+            break
+        u = (some - mid[todo, None]) / (c * spread)[:, None]
         w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
-        new = float((w * x).sum() / w.sum())
-        if abs(new - mid) < 1e-10 * max(1.0, abs(mid)):
-            return new
-        mid = new
+        new = (w * some).sum(axis=1) / w.sum(axis=1)
+        moved = np.abs(new - mid[todo]) >= 1e-10 * np.maximum(1.0, np.abs(mid[todo]))
+        mid[todo] = new
+        todo = todo[moved]
     return mid
 
 
-def detrended(lc: DataFrame, width: float = 0.75, gap: float | None = None) -> DataFrame:
+def sliding(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Biweights of ``values[first:stop]`` windows without their NaN; windows of one size are worked on together."""
+    known = ~np.isnan(values)
+    upto = np.append(0, np.cumsum(known))
+    kept = values[known]
+    at, size = upto[first], upto[stop] - upto[first]
+    out = np.full(len(first), np.nan)
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        for lo in range(0, len(rows), max(1, 1_000_000 // n)):
+            some = rows[lo: lo + max(1, 1_000_000 // n)]
+            out[some] = biweights(kept[at[some][:, None] + np.arange(n)])
+    return out
+
+
+def detrended(lc: DataFrame, width: float = 0.75, gap: float | None = None, isolate: bool = False) -> DataFrame:
     """(tic_id, event_id, t, trend, flat_flux): flux over a sliding biweight, cut at gaps.
 
-    Null flux gives null; a window holds rows within ``width / 2`` of a row.
+    Null flux gives null; a window holds rows within ``width / 2`` of a row.  Parts of a
+    partition, some thousand rows of whole stars, are worked on together.  With
+    ``isolate`` a star that fails is a row with its ``status``.
     """
     cut = width / 2 if gap is None else gap
+    schema = "tic_id string, event_id bigint, t double, trend double, flat_flux double"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"], kind="stable")
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
         t, f = pdf["t"].to_numpy(float), pdf["flux"].to_numpy(float)
-        seg = np.append(0, np.cumsum(np.diff(t) > cut))
-        lo, hi = np.searchsorted(t, t - width / 2, "left"), np.searchsorted(t, t + width / 2, "right")
+        star = pdf["tic_id"].to_numpy()
+        new = np.append(True, star[1:] != star[:-1])
+        seg = np.cumsum(new | np.append(False, np.diff(t) > cut))
+        # stars lie one after the other on one axis, each segment beyond the reach of the last
         a, b = np.searchsorted(seg, seg, "left"), np.searchsorted(seg, seg, "right")
-        trend = np.array([biweight(x[~np.isnan(x)]) if (~np.isnan(x)).any() else np.nan for x in (f[max(i, j): min(k, m)] for i, j, k, m in zip(lo, a, hi, b))])
+        lo, hi = np.empty(len(t), dtype=np.int64), np.empty(len(t), dtype=np.int64)
+        for i in np.flatnonzero(new | np.append(True, seg[1:] != seg[:-1])):
+            part = slice(i, b[i])
+            lo[part] = i + np.searchsorted(t[part], t[part] - width / 2, "left")
+            hi[part] = i + np.searchsorted(t[part], t[part] + width / 2, "right")
+        trend = sliding(f, np.maximum(lo, a), np.minimum(hi, b))
         with np.errstate(divide="ignore", invalid="ignore"):
             flat = np.where(trend != 0, f / trend, np.nan)
-        return pd.DataFrame({"tic_id": pdf["tic_id"], "event_id": pdf["event_id"], "t": t, "trend": pd.Series(trend, pdf.index).astype(object).where(~np.isnan(trend), None), "flat_flux": pd.Series(flat, pdf.index).astype(object).where(~np.isnan(flat), None)})
+        some = lambda x: pd.Series(x, pdf.index).astype(object).where(~np.isnan(x), None)
+        return pd.DataFrame({"tic_id": pdf["tic_id"], "event_id": pdf["event_id"], "t": t, "trend": some(trend), "flat_flux": some(flat)})
+
+    rows = lc.select("tic_id", "event_id", "t", "flux")
+    if isolate:
+        one = lambda pdf: together(pdf.sort_values(["t", "event_id"], kind="stable").reset_index(drop=True))
+        return per_star(rows, one, schema, True)
+
+    def run(batches):
+        held = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) < 20_000:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = int((rows["tic_id"] != rows["tic_id"].iloc[-1]).sum())  # of the last star there may be more
+            if last:
+                yield together(rows.iloc[:last].reset_index(drop=True))
+            held = [rows.iloc[last:]]
+        if held and sum(map(len, held)):
+            yield together(pd.concat(held, ignore_index=True))
 
-    return lc.select("tic_id", "event_id", "t", "flux").groupBy("tic_id").applyInPandas(one, "tic_id string, event_id bigint, t double, trend double, flat_flux double")
+    return rows.repartition("tic_id").sortWithinPartitions("tic_id", "t", "event_id").mapInPandas(run, schema)
 
 
-def fit_pending(lc: DataFrame, folder: str, **options) -> DataFrame:
+def fit_pending(lc: DataFrame, folder: str, units: int = 16, **options) -> DataFrame:
     """Fits of all stars of ``lc``; those that the table in ``folder`` holds already are not fitted again.
 
-    New fits are appended, so a run that breaks off goes on where it stopped.
-    A star with a failed fit keeps its row and is not tried again.
+    Stars are fitted in ``units`` by hash, each committed on its own, so a run that breaks off
+    goes on after the last unit that it has committed.  A star with a failed fit keeps its row and is not tried again.
     """
-    spark = lc.sparkSession
-    try:
-        done = spark.read.schema(FIT_SCHEMA).parquet(folder).select("tic_id")
-        lc = lc.join(done, "tic_id", "left_anti")
-    except AnalysisException:  # nothing there yet
-        pass
-    fitted(lc, **options).write.mode("append").parquet(folder)
-    return spark.read.schema(FIT_SCHEMA).parquet(folder)
+    return in_units(lc, folder, lambda rows: fitted(rows, **options), T._parse_datatype_string(FIT_SCHEMA), units)
 
 
 def separation(t: np.ndarray, tc: float, period: float, ar: float, b: float) -> np.ndarray:
@@ -74,16 +121,17 @@ def separation(t: np.ndarray, tc: float, period: float, ar: float, b: float) ->
     return np.where(np.cos(angle) > 0, z, np.inf)
 
 
-def transit_model(z: np.ndarray, k: float, limb: tuple[float, float] = LIMB, rings: int = 300) -> np.ndarray:
-    """Relative flux of a limb-darkened disc behind an opaque one, by rings of the star."""
+def transit_model(z: np.ndarray, k: float | np.ndarray, limb: tuple[float, float] = LIMB, rings: int = 300) -> np.ndarray:
+    """Relative flux of a limb-darkened disc behind opaque ones of radius ``k``, by rings of the star."""
     r = np.sqrt((np.arange(rings) + 0.5) / rings)  # rings of equal area
     mu = np.sqrt(1 - r * r)
     light = 1 - limb[0] * (1 - mu) - limb[1] * (1 - mu) ** 2
     z = np.asarray(z, float)
     flux = np.ones_like(z)
+    k = np.broadcast_to(k, z.shape)
     near = z < 1 + k
     if near.any():
-        d = z[near][:, None]
+        d, k = z[near][:, None], k[near][:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
             cos = (d * d + r * r - k * k) / (2 * d * r)
         share = np.arccos(np.clip(np.where(d > 0, cos, np.where(r < k, -1.0, 1.0)), -1, 1)) / np.pi
@@ -91,12 +139,13 @@ def transit_model(z: np.ndarray, k: float, limb: tuple[float, float] = LIMB, rin
     return flux
 
 
-def injected(lc: DataFrame, seed: int = 42, tries: int = 20) -> DataFrame:
+def injected(lc: DataFrame, seed: int = 42, tries: int = 20, isolate: bool = False) -> DataFrame:
     """Curves with a synthetic dip, as SYN_<id>, and what was injected.
 
     Parameters come from a generator of the star's own (seed and id), so the result
     does not depend on partitions.  A draw counts if the dip is deep enough for the
-    curve's noise; after ``tries`` the last one is taken.
+    curve's noise; after ``tries`` the last one is taken.  With ``isolate`` a star
+    that fails is a row with its ``status``.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +163,7 @@ def injected(lc: DataFrame, seed: int = 42, tries: int = 20) -> DataFrame:
         return pdf.assign(tic_id=f"SYN_{star}", flux=f * model, inj_period=period, inj_rp=rp, inj_t0=t0, inj_depth_ppm=depth * 1e6)[["tic_id", "event_id", "t", "flux", "inj_period", "inj_rp", "inj_t0", "inj_depth_ppm"]]
 
     schema = "tic_id string, event_id bigint, t double, flux double, inj_period double, inj_rp double, inj_t0 double, inj_depth_ppm double"
-    return lc.select("tic_id", "event_id", "t", "flux").groupBy("tic_id").applyInPandas(one, schema)
+    return per_star(lc.select("tic_id", "event_id", "t", "flux"), one, schema, isolate)
 
 
 def _least_squares(f, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
@@ -152,9 +201,12 @@ def fitted(lc: DataFrame, min_points: int = 20) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         star, period, t0, dur, ar = str(pdf["tic_id"].iloc[0]), *(float(pdf[c].iloc[0]) for c in ("period", "t0", "dur")), float(np.exp(pdf["ln_a"].iloc[0]))
         t, f = pdf["t"].to_numpy(float), pdf["flux"].to_numpy(float)
+        blank = {"tic_id": star, "status": "too few points", "tc": None, "rp_rs": None, "b": None, "sigma_ppm": None, "chi2_red": None, "depth_ppm": None, "n_points": None}
+        if not (np.isfinite([period, t0, dur, ar]).all() and period > 0 and dur > 0):
+            return pd.DataFrame([blank | {"status": "failed: ValueError: period, t0, dur and ln_a must be finite, period and dur positive"}])
         away = np.abs((t - t0 + period / 2) % period - period / 2)
         keep = (away < max(3 * dur, 0.05)) & np.isfinite(f)
-        blank = {"tic_id": star, "status": "too few points", "tc": None, "rp_rs": None, "b": None, "sigma_ppm": None, "chi2_red": None, "depth_ppm": None, "n_points": int(keep.sum())}
+        blank["n_points"] = int(keep.sum())
         if keep.sum() < min_points:
             return pd.DataFrame([blank])
         try:
@@ -165,19 +217,21 @@ def fitted(lc: DataFrame, min_points: int = 20) -> DataFrame:
             x, chi2, _ = min((_least_squares(residual, np.array([t0, np.sqrt(max(1 - float(np.median(f[away < dur / 4])) if (away < dur / 4).any() else 0.01, 1e-4)), b]), lo, hi) for b in (0.1, 0.5, 0.8)), key=lambda s: s[1])
             return pd.DataFrame([blank | {"status": "done", "tc": x[0], "rp_rs": x[1], "b": x[2], "sigma_ppm": sigma * 1e6, "chi2_red": chi2 / max(1, keep.sum() - 3), "depth_ppm": x[1] ** 2 * 1e6}])
         except (np.linalg.LinAlgError, ValueError) as e:
-            return pd.DataFrame([blank | {"status": f"failed: {e}"[:80]}])
+            return pd.DataFrame([blank | {"status": f"failed: {type(e).__name__}: {e}"[:200]}])
 
     return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, FIT_SCHEMA)
 
 
-def stretch_walk(log_post, start: np.ndarray, steps: int, rng: np.random.Generator, scale: float = 2.0) -> tuple[np.ndarray, float]:
+def stretch_walk(log_post, start: np.ndarray, steps: int, rng: np.random.Generator, scale: float = 2.0, rows: bool = False) -> tuple[np.ndarray, float]:
     """Affine-invariant ensemble sampling (Goodman and Weare 2010): (steps x walkers x dims, acceptance).
 
-    Each half of the walkers moves along lines to walkers of the other half.
+    Each half of the walkers moves along lines to walkers of the other half.  ``log_post`` takes a
+    point, or with ``rows`` a matrix of points.
     """
+    values = log_post if rows else lambda points: np.array([log_post(p) for p in points])
     x = start.copy()
     n, dims = x.shape
-    at = np.array([log_post(p) for p in x])
+    at = values(x)
     chain, moved = np.empty((steps, n, dims)), 0
     halves = (np.arange(n // 2), np.arange(n // 2, n))
     for step in range(steps):
@@ -185,7 +239,7 @@ def stretch_walk(log_post, start: np.ndarray, steps: int, rng: np.random.Generat
             z = ((scale - 1) * rng.random(len(mine)) + 1) ** 2 / scale
             new = x[rng.choice(others, len(mine))]
             new = new + z[:, None] * (x[mine] - new)
-            there = np.array([log_post(p) for p in new])
+            there = values(new)
             take = np.log(rng.random(len(mine))) < (dims - 1) * np.log(z) + there - at[mine]
             x[mine[take]], at[mine[take]] = new[take], there[take]
             moved += int(take.sum())
@@ -210,7 +264,7 @@ def autocorrelation_time(chain: np.ndarray, window: float = 5.0) -> float:
 SAMPLE_SCHEMA = "tic_id string, sample_id int, tc double, rp_rs double, b double, ln_a double, ln_sigma double, converged boolean, acceptance double, tau double, method string"
 
 
-def sampled(lc: DataFrame, walkers: int = 32, steps: int = 1000, more: int | None = None, longest: int = 4000, keep: int = 4000, min_points: int = 20, ln_a_sd: float = 0.1, seed: int = 42) -> DataFrame:
+def sampled(lc: DataFrame, walkers: int = 32, steps: int = 1000, more: int | None = None, longest: int = 4000, keep: int = 4000, min_points: int = 20, ln_a_sd: float = 0.1, seed: int = 42, isolate: bool = False) -> DataFrame:
     """Posterior samples of mid-time, radius ratio, impact parameter, ln a/R and ln noise.
 
     Needs period, t0, dur and ln_a columns and starts at the best of ``fitted``'s kind
@@ -220,7 +274,8 @@ def sampled(lc: DataFrame, walkers: int = 32, steps: int = 1000, more: int | Non
     stays too short or hardly moves gives way to ``keep`` draws from the fit's own
     covariance (``method`` is lsq, not mcmc).  A star with too few points near the
     dip gives no rows.  The generator depends on seed
-    and star, so results do not depend on partitions.
+    and star, so results do not depend on partitions.  With ``isolate`` a star that fails
+    is a row with its ``status``.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,24 +288,27 @@ def sampled(lc: DataFrame, walkers: int = 32, steps: int = 1000, more: int | Non
         t, f = t[near], f[near]
         rng = np.random.default_rng([seed, *star.encode()])
         noise = max(1.4826 * float(np.median(np.abs(f - np.median(f)))), 1e-9)
-        flux = lambda p: transit_model(separation(t, p[0], period, np.exp(p[3]), p[2]), p[1], rings=100)
+        flux = lambda p: transit_model(separation(t, p[..., 0:1], period, np.exp(p[..., 3:4]), p[..., 2:3]), p[..., 1:2], rings=100)
         lo, hi = np.array([t0 - dur, 0.005, 0.0, ln_a - 1, np.log(noise) - 5]), np.array([t0 + dur, 0.3, 1.0, ln_a + 1, np.log(noise) + 5])
 
-        def log_post(p: np.ndarray) -> float:
-            if (p < lo).any() or (p > hi).any() or p[2] >= np.exp(p[3]):
-                return -np.inf
-            r = (f - flux(p)) / np.exp(p[4])
-            return -0.5 * float(r @ r) - len(f) * p[4] - 0.5 * ((p[3] - ln_a) / ln_a_sd) ** 2
+        def log_post(p: np.ndarray) -> np.ndarray:
+            """Of each row."""
+            out = np.full(len(p), -np.inf)
+            fits = ((p >= lo) & (p <= hi)).all(axis=1) & (p[:, 2] < np.exp(p[:, 3]))
+            p = p[fits]
+            r = (f - flux(p)) / np.exp(p[:, 4:5])
+            out[fits] = -0.5 * (r * r).sum(axis=1) - len(f) * p[:, 4] - 0.5 * ((p[:, 3] - ln_a) / ln_a_sd) ** 2
+            return out
 
         fits = [_least_squares(lambda x: (f - flux(np.append(x, [ln_a, 0.0]))) / noise, np.array([t0, 0.05, b]), lo[:3], hi[:3]) for b in (0.1, 0.5, 0.8)]
         fit, _, jac = min(fits, key=lambda s: s[1])
         best = np.append(fit, [ln_a, np.log(noise)])
         spread = np.array([dur * 0.02, 0.002, 0.05, 0.02, 0.05])
         start = np.clip(best + spread * rng.standard_normal((walkers, len(best))), lo + 1e-9, hi - 1e-9)
-        chain, accepted = stretch_walk(log_post, start, steps, rng)
+        chain, accepted = stretch_walk(log_post, start, steps, rng, rows=True)
         tau = autocorrelation_time(chain)
         while len(chain) <= 20 * tau and len(chain) < longest:
-            part, accepted = stretch_walk(log_post, chain[-1], more or steps // 2, rng)
+            part, accepted = stretch_walk(log_post, chain[-1], more or steps // 2, rng, rows=True)
             chain = np.concatenate([chain, part])
             tau = autocorrelation_time(chain)
         flat = chain[int(0.3 * len(chain)):].reshape(-1, chain.shape[2])
@@ -264,7 +322,7 @@ def sampled(lc: DataFrame, walkers: int = 32, steps: int = 1000, more: int | Non
         out = pd.DataFrame(flat, columns=names[2:7])
         return out.assign(tic_id=star, sample_id=np.arange(len(out)), converged=converged, acceptance=accepted, tau=tau, method="mcmc" if converged else "lsq")[names]
 
-    return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, SAMPLE_SCHEMA)
+    return per_star(lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a"), one, SAMPLE_SCHEMA, isolate)
 
 
 def residuals(lc: DataFrame, rings: int = 300) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .batches import per_star
 from .series import good, normalised, star, time_bins
 
 
@@ -73,24 +74,26 @@ def searchable(lc: DataFrame, min_raw: int = MIN_RAW, min_binned: int = MIN_BINN
     return binned.where(F.col("__n") >= min_binned).select("tic_id", "t", "flux")
 
 
-def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins: int = 60, widths: tuple[int, ...] = (1, 2, 3, 4, 6), oversampling: int = 3) -> DataFrame:
+def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins: int = 60, widths: tuple[int, ...] = (1, 2, 3, 4, 6), oversampling: int = 3, isolate: bool = False) -> DataFrame:
     """The strongest dip of each star over the periods that its own baseline allows.
 
     Boxes are ``widths`` bins wide and may wrap.  A star with no usable period has
     nulls.  Of boxes with the same power (to 9 digits) the shorter period counts, then
-    the narrower box, then the earlier bin.
+    the narrower box, then the earlier bin.  With ``isolate`` a star whose search fails is a row with its ``status``.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         star_id = rows["tic_id"].iloc[0]
         rows = rows.dropna(subset=["t", "flux"])
         t, flux = rows["t"].to_numpy(float), rows["flux"].to_numpy(float)
+        if isolate and not np.isfinite(flux).all():
+            raise ValueError("flux is not finite")
         periods = trial_periods(float(np.ptp(t)), low, longest, 1 / bins, oversampling) if len(t) else np.array([])
         found = strongest_box(t, flux, periods, bins, widths) or (None,) * 7
         return pd.DataFrame([(star_id, *found)], columns=["tic_id", "period", "bin", "width", "sr", "sde", "depth", "n_in"], dtype=object)
 
     schema = f"tic_id {lc.schema['tic_id'].dataType.simpleString()}, period double, bin bigint, width bigint, sr double, sde double, depth double, n_in bigint"
-    return lc.select("tic_id", F.col("t").cast("double").alias("t"), F.col("flux").cast("double").alias("flux")).groupBy("tic_id").applyInPandas(one, schema)
+    return per_star(lc.select("tic_id", F.col("t").cast("double").alias("t"), F.col("flux").cast("double").alias("flux")), one, schema, isolate)
 
 
 #: The fixed grid that the SQL of the registered queries holds.

@@ -46,9 +46,9 @@ def template_bank(bins: int, low: float | None = None, high: float = LONGEST, st
     while length <= high * (1 + 1e-9):
         cover = min(bins, max(1, math.ceil(length * bins - 1e-9)))
         fine = (np.arange(cover * 16) + 0.5) / 16 - cover / 2  # in bins from the middle
-        loss = 1 - transit_model(np.abs(fine) / (length * bins / 2) * (1 + ratio_), ratio_)
+        loss = 1 - transit_model(np.abs(fine) / (length * bins / 2) * (1 + ratio_), ratio_, rings=3_000)
         shape = np.zeros(bins)
-        shape[:cover] = (loss / (1 - transit_model(np.zeros(1), ratio_)[0])).reshape(cover, 16).mean(axis=1)
+        shape[:cover] = (loss / loss.max()).reshape(cover, 16).mean(axis=1)
         shapes.append(np.round(shape, 9))
         lengths.append(length)
         covers.append(cover)

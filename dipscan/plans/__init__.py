@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -19,6 +18,7 @@ from ..functions import no_nan
 from ..operators import metrics
 from ..operators.catalog import feature_columns
 from ..operators.metrics import group_split
+from ..operators.neighbours import nearest
 from ..operators.ordered import ranked_within
 
 
@@ -46,49 +46,41 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
     return Pipeline(stages=stages).fit(train)
 
 
-def oversampled(df: DataFrame, features: list[str], label: str = "label", id_col: str = "doc_id", neighbours: int = 5, block: int = 2_000, seed: int = 42) -> DataFrame:
+def oversampled(df: DataFrame, features: list[str], label: str = "label", id_col: str = "doc_id", neighbours: int = 5, seed: int = 42) -> DataFrame:
     """(label, features, synthetic): rows of every class, the smaller ones filled up to the largest.
 
-    A synthetic row lies between a row of the class and one of its nearest neighbours,
-    at a place drawn from seed and row.  Neighbours are sought among about ``block`` rows
-    of the class that share a hash bucket, so no task sees a whole class.  Features
-    are scaled by their spread for the distance; null features count as the class's
-    mean there and stay null in copies of both.
+    A synthetic row lies between a row of the class and one of its nearest ``neighbours`` in the
+    class, found exactly, at a place drawn from seed and row.  Features are scaled by
+    their spread for the distance; null features count as the class's mean there and
+    stay null in copies of both.
     """
     n = df.groupBy(label).agg(F.count("*").alias("has"))
     n = n.crossJoin(F.broadcast(n.agg(F.max("has").alias("wanted"))))  # a row for each class
     spread = df.agg(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(c) for c in features]).first()
-    rows = df.join(F.broadcast(n), label).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), id_col), F.greatest(F.lit(1), F.floor(F.col("has") / block))))
+    middle = df.groupBy(label).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"__m{j}") for j, c in enumerate(features)])
+    rows = df.join(F.broadcast(n), label).join(F.broadcast(middle), label)
+    scaled = [(F.coalesce(F.col(c).cast("double"), F.col(f"__m{j}")) / F.lit(float(spread[c]))).alias(f"__z{j}") for j, c in enumerate(features)]
+    small = [r[label] for r in n.where("has < wanted").select(label).collect()]  # classes are few
+    near = None
+    for kind in small:
+        of = nearest(rows.where(F.col(label) == kind).select(id_col, *scaled), [f"__z{j}" for j in range(len(features))], neighbours, id_col)
+        near = of if near is None else near.unionByName(of)
+    own = df.select(label, *[F.col(c).cast("double").alias(c) for c in features]).withColumn("synthetic", F.lit(False))
+    if near is None:
+        return own
     # each row gives wanted / has - 1 copies, and the rows of lowest rank one more
     rows = ranked_within(rows.where("has < wanted"), label, [F.xxhash64(F.lit(seed + 1), id_col), id_col], "place", "size")
     extra = F.col("wanted") - F.col("has")
-    rows = rows.withColumn("copies", (F.floor(extra / F.col("has")) + (F.col("place") <= extra % F.col("has")).cast("int")).cast("int"))
-    scale = np.array([spread[c] for c in features], dtype=float)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, kind="stable")
-        x = pdf[features].to_numpy(float)
-        with np.errstate(invalid="ignore"):
-            middle = np.nan_to_num(np.nanmean(np.where(np.isnan(x).all(axis=0), 0.0, x), axis=0))
-        z = np.where(np.isnan(x), middle, x) / scale
-        out = []
-        for i in np.flatnonzero(pdf["copies"].to_numpy() > 0):
-            far = ((z - z[i]) ** 2).sum(axis=1)
-            far[i] = np.inf
-            near = np.argsort(far, kind="stable")[: min(neighbours, len(x) - 1)]
-            rng = np.random.default_rng([seed, i, len(x)])
-            for _ in range(int(pdf["copies"].iloc[i])):
-                other = x[rng.choice(near)] if len(near) else x[i]
-                out.append(x[i] + rng.random() * (other - x[i]))
-        made = pd.DataFrame(np.array(out).reshape(-1, len(features)), columns=features).astype(object)
-        made.insert(0, label, pdf[label].iloc[0])
-        return made.where(made.notna(), None)
-
-    kind = df.schema[label].dataType.simpleString()
-    schema = f"`{label}` {kind}, " + ", ".join(f"`{c}` double" for c in features)
-    made = rows.select(label, "bucket", id_col, "copies", *[F.col(c).cast("double").alias(c) for c in features]).groupBy(label, "bucket").applyInPandas(one, schema)
-    own = df.select(label, *[F.col(c).cast("double").alias(c) for c in features])
-    return own.withColumn("synthetic", F.lit(False)).unionByName(made.withColumn("synthetic", F.lit(True)))
+    copies = F.floor(extra / F.col("has")) + (F.col("place") <= extra % F.col("has")).cast("int")
+    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), id_col, "copy"), F.lit(1 << 40)) / float(1 << 40)
+    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("near"))
+    rows = rows.join(lists.withColumnRenamed("id", id_col), id_col, "left")
+    pick = F.element_at("near", (F.floor(draw(1) * F.size("near")) + 1).cast("int"))["neighbour"]
+    other = df.select(F.col(id_col).alias("__other"), *[F.col(c).cast("double").alias(f"__o{j}") for j, c in enumerate(features)])
+    rows = rows.withColumn("__other", F.when(F.size("near") > 0, pick)).join(other, "__other", "left").withColumn("__at", draw(2))
+    between = [(F.col(c).cast("double") + F.col("__at") * (F.when(F.col("__other").isNull(), F.col(c).cast("double")).otherwise(F.col(f"__o{j}")) - F.col(c).cast("double"))).alias(c) for j, c in enumerate(features)]
+    return own.unionByName(rows.select(label, *between).withColumn("synthetic", F.lit(True)))
 
 
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -110,12 +102,20 @@ def split_by_group(df: DataFrame, group: str = "grp", label: str = "label") -> t
 
 
 def cached(spark: SparkSession, folder: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table in ``folder``; computed and written there first if it is not."""
+    """The table in ``folder``; computed and written there first if it is not.
+
+    Data lie in a part of their own and count once a record names it, so a write that
+    broke off is never read and the next call computes anew.
+    """
     try:
-        return spark.read.parquet(folder)
-    except AnalysisException:
-        compute().write.parquet(folder)
-        return spark.read.parquet(folder)
+        parts = [r.part for r in spark.read.schema("part string").json(f"{folder}/commits").collect()]  # a row for each write
+    except AnalysisException:  # nothing there yet
+        parts = []
+    if not parts:
+        parts = [f"data-{uuid.uuid4().hex}"]
+        compute().write.parquet(f"{folder}/{parts[0]}")
+        spark.createDataFrame([(parts[0],)], "part string").coalesce(1).write.mode("append").json(f"{folder}/commits")
+    return spark.read.parquet(f"{folder}/{min(parts)}")
 
 
 def train_run(rows: DataFrame, features: list[str], folder: str, label: str = "label", group: str = "grp", min_classes: int = 2, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import plans, sinks, sources
-from .operators import fitting, plots, search, series, templates
+from .operators import batches, fitting, plots, posterior, search, series, templates
 from .plans import boosting
 from .oracles import _LC, _PHI, _TOI, _UNIT
 from .queries import _text_features, curves, rounded, unit_curves
@@ -141,6 +141,49 @@ def plot_corner_K8(spark, sf_dir):
     return plots.corner_bins(samples, ["l_suppkey"], "x", "y", 5)
 
 
+_BAND_HOURS = (-6.0, -4.0, -3.0, -2.0, -1.0, 0.0, 1.5, 3.5, 5.0)
+
+
+@query(f"""WITH p AS (SELECT l_suppkey, row_number() OVER () AS k, (l_linenumber - 4) / 100.0::DOUBLE AS tc, 0.05::DOUBLE + l_discount::DOUBLE AS rp, least(0.9, l_tax::DOUBLE * 10) AS b FROM lineitem),
+  d AS (SELECT l_suppkey, k, h, rp, 2 * pi() * (h / 24 - tc) / 5 AS angle, b FROM p, unnest({list(_BAND_HOURS)!r}::DOUBLE[]) t(h)), z AS (SELECT *, CASE WHEN cos(angle) > 0 THEN sqrt((8 * sin(angle)) ** 2 + (b * cos(angle)) ** 2) ELSE 9 END AS z FROM d),
+  g AS (SELECT sqrt((i + 0.5::DOUBLE) / 40) AS r, 1 - sqrt(1 - (i + 0.5::DOUBLE) / 40) AS dark FROM range(40) x(i)), l AS (SELECT r, 1 - 0.3::DOUBLE * dark - 0.1::DOUBLE * dark * dark AS light FROM g),
+  m AS (SELECT k, h, 1 - sum(acos(greatest(-1, least(1, CASE WHEN z > 0 THEN (z * z + r * r - rp * rp) / (2 * z * r) WHEN r < rp THEN -1 ELSE 1 END))) / pi() * light) / sum(light) AS flux FROM z CROSS JOIN l WHERE z < 1 + rp GROUP BY k, h),
+  f AS (SELECT l_suppkey, d.h, round(coalesce(flux, 1), 9) AS flux FROM d LEFT JOIN m ON m.k = d.k AND m.h = d.h),
+  q AS (SELECT l_suppkey, h, quantile_disc(flux, {list(posterior.LIMITS)!r}) AS q FROM f GROUP BY ALL)
+SELECT CAST(l_suppkey AS VARCHAR) AS tic_id, h AS hours, {", ".join(f"round(q[{k + 1}], 6) AS q{k}" for k in range(5))} FROM q""")
+def model_band_R7(spark, sf_dir):
+    """Bands of the model over draws of mid-time, radius and impact parameter, one set for each supplier."""
+    x = lambda c: F.col(c).cast("double")
+    draws = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("tic_id"), ((F.col("l_linenumber") - 4) / 100.0).alias("tc"), (0.05 + x("l_discount")).alias("rp_rs"), F.least(F.lit(0.9), x("l_tax") * 10).alias("b"),
+        F.log(F.lit(8.0)).alias("ln_a"), F.lit(5.0).alias("period"), F.lit(0.0).alias("t0"),
+    )
+    return rounded(posterior.model_band(draws, _BAND_HOURS, rings=40))
+
+
+@query(f"""WITH {_UNIT}, a AS (SELECT tic_id, event_id, flux, 2 * pi() * (t - t0) / period AS angle, ((t - t0 + period / 2) - floor((t - t0 + period / 2) / period) * period - period / 2) * 24 AS hours FROM u), d AS (SELECT *, CASE WHEN cos(angle) > 0 THEN sqrt((8.0::DOUBLE * sin(angle)) ** 2 + (0.2::DOUBLE * cos(angle)) ** 2) ELSE 9 END AS d FROM a),
+  g AS (SELECT sqrt((i + 0.5::DOUBLE) / 300) AS r, 1 - sqrt(1 - (i + 0.5::DOUBLE) / 300) AS dark FROM range(300) x(i)), l AS (SELECT r, 1 - 0.3::DOUBLE * dark - 0.1::DOUBLE * dark * dark AS light FROM g),
+  m AS (SELECT event_id, 1 - sum(acos(greatest(-1, least(1, CASE WHEN d > 0 THEN (d * d + r * r - 0.01::DOUBLE) / (2 * d * r) WHEN r < 0.1::DOUBLE THEN -1 ELSE 1 END))) / pi() * light) / sum(light) AS model FROM d CROSS JOIN l WHERE d < 1.1::DOUBLE GROUP BY event_id),
+  f AS (SELECT tic_id, floor((hours + 24) / (48.0::DOUBLE / 8)) AS bin, (flux - coalesce(model, 1)) / 0.5::DOUBLE AS res FROM d LEFT JOIN m USING (event_id) WHERE hours < 24)
+SELECT tic_id, CAST(bin AS INTEGER) AS bin, round(avg(res), 6) AS residual, count(*) AS n FROM f WHERE bin BETWEEN 0 AND 7 AND res IS NOT NULL GROUP BY ALL""")
+def plot_residuals_R7(spark, sf_dir):
+    lc = unit_curves(spark, sf_dir).withColumns({"rp_rs": F.lit(0.1), "a_rs": F.lit(8.0), "b": F.lit(0.2), "sigma": F.lit(0.5)})
+    return rounded(posterior.residual_bins(lc, 24.0, 8))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS k, l_linenumber % 4 AS chain, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS step, l_extendedprice::DOUBLE / 1000 AS x FROM lineitem),
+  m AS (SELECT k, chain, (min(step) + max(step)) / 2 AS middle FROM c GROUP BY ALL), h AS (SELECT k, chain, step >= middle AS late, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM c JOIN m USING (k, chain) GROUP BY ALL),
+  r AS (SELECT k, count(DISTINCT chain) AS chains, avg(n) AS n, min(n) AS least, avg(v) AS w, var_samp(m) AS b FROM h GROUP BY k), a AS (SELECT k, count(*) AS draws, avg(x) AS mean, stddev_pop(x) AS sd FROM c GROUP BY k),
+  b AS (SELECT k, chain, step // 10 AS j, avg(x) AS m, sum(x) AS s, sum(x * x) AS q FROM c GROUP BY ALL HAVING count(*) = 10), e AS (SELECT k, 10 * count(*) AS d, sum(q) / (10 * count(*)) - (sum(s) / (10 * count(*))) ** 2 AS v, var_samp(m) AS bv FROM b GROUP BY k)
+SELECT a.k AS tic_id, chains, draws, round(mean, 5) AS mean, round(sd, 5) AS sd, CASE WHEN least > 1 AND w > 0 THEN round(sqrt(((n - 1) / n * w + b) / w), 5) END AS rhat, round(least(d, d * v / (10 * nullif(bv, 0))), 4) AS ess FROM a JOIN r USING (k) LEFT JOIN e USING (k)""")
+def chain_diagnostics_A26(spark, sf_dir):
+    """Split R-hat and batch-means effective size over four chains of prices for each supplier."""
+    w = Window.partitionBy("l_suppkey", F.col("l_linenumber") % 4).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    chains = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tic_id"), (F.col("l_linenumber") % 4).alias("chain"), (F.row_number().over(w) - 1).alias("step"), (F.col("l_extendedprice").cast("double") / 1000).alias("x"))
+    found = posterior.split_rhat(chains, ["tic_id"], "chain", "step", "x").join(posterior.batch_effective_size(chains, ["tic_id"], "chain", "step", "x", 10), "tic_id", "left")
+    return rounded(found.withColumn("ess", F.round("ess", 4)), 5)
+
+
 @query(f"WITH {_TOI} SELECT label, count(*) AS n, count(DISTINCT tic_id) AS stars FROM toi GROUP BY label")
 def kpi_classes_R9(spark, sf_dir):
     rows = toi_catalogue(spark, sf_dir).withColumn("label", X.disposition_label(F.col("disposition")))
@@ -197,11 +240,35 @@ def resumed_fits_R10(spark, sf_dir):
     """A run over half of the stars, then one over all: each star is fitted once."""
     folder = shared_folder(spark, "fits")
     lc = unit_curves(spark, sf_dir).withColumn("ln_a", F.lit(2.0))
-    fitting.fit_pending(lc.where(F.col("tic_id").cast("bigint") % 2 == 0), folder, min_points=10)
-    fits = fitting.fit_pending(lc, folder, min_points=10)
+    fitting.fit_pending(lc.where(F.col("tic_id").cast("bigint") % 2 == 0), folder, units=4, min_points=10)
+    fits = fitting.fit_pending(lc, folder, units=4, min_points=10)
     return fits.groupBy("tic_id").agg(F.count("*").alias("fits"), F.sum("n_points").alias("n_points"))
 
 
+@query(f"""WITH {_UNIT}, a AS (SELECT tic_id, CAST(tic_id AS BIGINT) % 6 AS k, count(flux) AS n, count(*) FILTER (abs((t - t0 + period / 2) - floor((t - t0 + period / 2) / period) * period - period / 2) < greatest(3 * dur, 0.05::DOUBLE) AND flux IS NOT NULL) AS near FROM u GROUP BY tic_id),
+  s AS (SELECT tic_id, k, n, near, CASE WHEN k = 0 THEN 'failed: ValueError' WHEN k = 1 THEN 'too few points' ELSE 'done' END AS kind FROM a)
+SELECT tic_id, kind, CASE k WHEN 1 THEN 0 WHEN 0 THEN NULL ELSE near END AS n_points, count(*) OVER (PARTITION BY kind) AS stars FROM s""")
+def isolated_fits_R6(spark, sf_dir):
+    """A batch in which the fits of one star in six break down and one in six has no flux: status, points used, and the tally of its kind."""
+    k = F.col("tic_id").cast("bigint") % 6
+    lc = unit_curves(spark, sf_dir).withColumn("ln_a", F.lit(2.0)).withColumn("dur", F.when(k == 0, float("nan")).otherwise(F.col("dur"))).withColumn("flux", F.when(k != 1, F.col("flux")))
+    done, failed = batches.settled(fitting.fitted(lc, min_points=10), name="fits")
+    kinds = batches.status_tally(done, failed)
+    rows = done.select("tic_id", F.col("status").alias("kind"), "n_points").unionByName(failed.select("tic_id", F.regexp_extract("status", r"^(failed: \w+)", 1).alias("kind"), F.lit(None).cast("int").alias("n_points")))
+    return rows.join(kinds.withColumnRenamed("status", "kind"), "kind")
+
+
+@query(f"""WITH {_UNIT}, n AS (SELECT tic_id, CAST(tic_id AS BIGINT) % 5 = 0 AS broken, count(*) AS c FROM u GROUP BY tic_id)
+SELECT tic_id, CASE WHEN broken THEN 'failed: ValueError' ELSE 'done' END AS kind, count(*) OVER (PARTITION BY broken) AS stars FROM n""")
+def isolated_searches_R6(spark, sf_dir):
+    """A search over curves of which one in five is infinite."""
+    lc = unit_curves(spark, sf_dir).withColumn("flux", F.when(F.col("tic_id").cast("bigint") % 5 == 0, float("inf")).otherwise(F.col("flux")))
+    done, failed = batches.settled(search.period_search(lc, bins=20, widths=(1,), oversampling=1, low=2.0, isolate=True), name="searches")
+    kinds = batches.status_tally(done, failed).withColumnRenamed("status", "kind")
+    rows = done.select("tic_id", F.col("status").alias("kind")).unionByName(failed.select("tic_id", F.regexp_extract("status", r"^(failed: \w+)", 1).alias("kind")))
+    return rows.join(kinds, "kind")
+
+
 @query("""WITH d AS (SELECT d.doc_id, d.source || '/' || (d.doc_id % 5) AS grp, l.quality AS label FROM documents d JOIN labels l USING (doc_id)), g AS (SELECT grp, max(label) AS label FROM d GROUP BY grp),
   r AS (SELECT grp, row_number() OVER (PARTITION BY label ORDER BY md5(grp || '42'), grp) AS rn, count(*) OVER (PARTITION BY label) AS n FROM g), p AS (SELECT grp, rn <= greatest(1, round_even(n * 0.25::DOUBLE, 0)) AS held FROM r)
 SELECT count(*) FILTER (NOT held) AS n_train, count(DISTINCT grp) FILTER (NOT held) AS train_groups, count(*) FILTER (held) AS n_test, sum(label) FILTER (held)::BIGINT AS n_positive, 3 AS features, count(DISTINCT label)::INTEGER AS classes, true AS sound FROM d JOIN p USING (grp)""")
