@@ -116,12 +116,12 @@ def _searched(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, points, best = None, [], []
-        matrix = None
+        matrix = kind = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(points), 1_000):
                 near = [[{"neighbour": i, "distance": float(d)} for d, i in b] for b in best[lo: lo + 1_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(points[lo: lo + 1_000], pa.list_(pa.float64())), pa.array(near)], names=["x", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(points[lo: lo + 1_000], pa.list_(pa.float64())), pa.array(near, pa.list_(pa.struct([("neighbour", kind), ("distance", pa.float64())])))], names=["x", "near"])
 
         def meet(x: np.ndarray, ids: list) -> None:
             for lo in range(0, len(x), 500):
@@ -133,6 +133,7 @@ def _searched(k: int):
                     best[q] = sorted(best[q] + more)[: k + 1]
 
         for batch in batches:
+            kind = batch.schema.field(5).type.value_type
             key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy() << 1 | batch.column(2).to_numpy()
             edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             for lo, hi in zip(edge[:-1], edge[1:]):

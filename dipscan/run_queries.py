@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import plans, sinks, sources
-from .operators import batches, fitting, plots, posterior, search, series, templates
+from .operators import batches, fitting, neighbours, ordered, plots, posterior, search, series, templates
 from .plans import boosting
 from .oracles import _LC, _PHI, _TOI, _UNIT
 from .queries import _text_features, curves, rounded, unit_curves
 from .shared import shared_folder
 from .sources import light_curves, table, toi_catalogue
+from .streaming import retraining
 from .streaming import event_stream, first_of_each, run_available
 
 QUERIES: dict = {}
@@ -350,3 +351,35 @@ def stream_resume_Str2(spark, sf_dir):
         events.where(some).write.mode("append").parquet(files)
         found = run_available(spark.readStream.schema(events.schema).parquet(files), "resumed", "append", folder=folder)
     return found.groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT doc_id, quality AS label, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM labels), n AS (SELECT count(*) AS n FROM labels),
+  b AS (SELECT doc_id, label, least(3, place * 4 // n) AS batch FROM d, n), t AS (SELECT DISTINCT batch FROM b),
+  c AS (SELECT t.batch, count(*) AS labels, sum(b.label) AS ones FROM t JOIN b ON b.batch <= t.batch GROUP BY t.batch), v AS (SELECT *, labels // greatest(1, (SELECT n FROM n) // 3) AS version FROM c)
+SELECT CAST(version AS INTEGER) AS version, min(batch) AS batch, min(labels) AS labels, round(min_by(ones / labels, batch), 6) AS share FROM v WHERE version > 0 GROUP BY version""")
+def retrained_R8_Str6(spark, sf_dir):
+    """Labels arrive in four batches; a model is trained each time that another third of them is there.  The stream is run twice, and trains nothing twice."""
+    folder, files = shared_folder(spark, "retrained"), shared_folder(spark, "arriving")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    n = rows.count()
+    placed = ordered.ranked(rows, ["id"], "place").withColumn("part", F.least(F.lit(3), F.floor((F.col("place") - 1) * 4 / n))).select("id", "label", "part")
+
+    def train(known: DataFrame, model: str) -> dict[str, float]:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("chars"))
+        fitted = boosting.boosted(known.join(docs, "id"), ["chars"], trees=1, leaves=4)
+        spark.createDataFrame([(t.feature, t.cut, t.left, t.right, t.value) for t in fitted.trees], "feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>").write.mode("overwrite").parquet(model)
+        return {"share": known.agg(F.avg("label")).first()[0]}
+
+    for k in range(4):
+        placed.where(F.col("part") == k).select("id", "label").coalesce(1).write.mode("append").parquet(files)
+        found = retraining.retrained(spark.readStream.schema("id bigint, label bigint").parquet(files), folder, train, max(1, n // 3))
+    return rounded(found.select("version", "batch", "labels", F.col("metrics")["share"].alias("share")))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_acctbal::DOUBLE / 1000 AS x, c_nationkey::DOUBLE AS y FROM customer),
+  d AS (SELECT a.id, b.id AS neighbour, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM c a JOIN c b ON a.id <> b.id)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS place, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) <= 3""")
+def neighbours_M5(spark, sf_dir):
+    """Distances of each customer's three nearest in balance and nation."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal").cast("double") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return rounded(neighbours.nearest(rows, ["x", "y"], 3).select("id", "place", "distance"))

@@ -150,3 +150,33 @@ def test_cache_recovers_from_a_write_that_broke_off(spark, tmp_path):
     (tmp_path / "cache" / "data-0" / "part-0.parquet").write_bytes(b"half a fi")
     assert plans.cached(spark, folder, lambda: spark.range(5)).count() == 5
     assert plans.cached(spark, folder, lambda: 1 / 0).count() == 5
+
+
+def test_replayed_label_batches_train_nothing_twice(spark, tmp_path):
+    from dipscan.streaming import retraining
+
+    folder, calls = f"file://{tmp_path}/labels", []
+
+    def train(known, model):
+        calls.append(known.count())
+        if len(calls) == 2:
+            raise RuntimeError("lost while training")
+        return {"share": known.agg(F.avg("label")).first()[0]}
+
+    each = retraining.on_labels(spark, folder, train, threshold=10)
+    batch = lambda a, b: spark.createDataFrame([(i, i % 2) for i in range(a, b)], "id int, label int")
+    each(batch(0, 6), 0)
+    assert calls == []
+    each(batch(4, 13), 1)  # three ids are labelled again
+    each(batch(4, 13), 1)
+    assert calls == [13]
+    with pytest.raises(RuntimeError):
+        each(batch(13, 21), 2)
+    assert retraining.versions(spark, folder).count() == 1
+    each(batch(13, 21), 2)  # the replay of a batch that broke off trains what is due
+    each(batch(13, 21), 2)
+    each(batch(0, 6), 0)
+    assert calls == [13, 21, 21]
+    assert [(r.version, r.batch, r.labels) for r in retraining.versions(spark, folder).orderBy("version").collect()] == [(1, 1, 13), (2, 2, 21)]
+    each(batch(21, 55), 3)
+    assert calls[-1] == 55 and retraining.versions(spark, folder).agg(F.max("version")).first()[0] == 5
