@@ -146,13 +146,16 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     language that the other evidence gives and are not kept.  Null hosts share
     the prior of all rows; null or unknown declarations count as no evidence.
     Agreement rates count the row itself, one of all rows.
-    A model without languages gives null languages and keeps nothing.
+    A model without languages gives null languages and keeps nothing.  Keys may
+    have any names.
     """
     spark = rows.sparkSession
     langs = model.languages
-    source = rows.select(*keys, F.lower("host").alias("host"), "declared", "suffix", F.coalesce("text", F.lit("")).alias("text"))
+    held = [f"__key{i}" for i in range(len(keys))]
+    back = [F.col(h).alias(k) for h, k in zip(held, keys)]
+    source = rows.select(*[F.col(k).alias(h) for h, k in zip(held, keys)], F.lower("host").alias("host"), "declared", "suffix", F.coalesce("text", F.lit("")).alias("text"))
     if not langs:
-        return source.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("kept"))
+        return source.select(*back, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("kept"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.drop("text").schema.fields)
     scored = source.mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"{types}, grams bigint, ll array<double>")
     own = F.when(F.col("grams") > 0, _argmax(F.col("ll"), langs))
@@ -197,4 +200,4 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     joined = joined.withColumn("post", post).withColumn("top", F.array_max("post"))
     mass = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     joined = joined.withColumn("confidence", 1 / mass).withColumn("language", _argmax(F.col("post"), langs))
-    return joined.select(*keys, "language", F.round("confidence", 6).alias("confidence"), "text_language", ((F.col("grams") > 0) & (F.col("confidence") >= MIN_POSTERIOR)).alias("kept"))
+    return joined.select(*back, "language", F.round("confidence", 6).alias("confidence"), "text_language", ((F.col("grams") > 0) & (F.col("confidence") >= MIN_POSTERIOR)).alias("kept"))
