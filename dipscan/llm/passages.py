@@ -1,7 +1,9 @@
 """Operator 2: fuzzy repeated passages by collinear chaining of shared seeds.
 
 1.  *Seeds.*  Hashes of all runs of ``K`` words, packed by hash bucket: a few rows for each
-    chunk of texts.  Of a seed that more than ``CHUNK_TEXTS`` texts of a chunk have, only the first
+    chunk of texts.  Of the runs of ``LONG`` words, those with the least hash among ``LONG`` that follow one another
+    are seeds as well: other documents may hold every phrase of a passage and so be the
+    first and the one before for all its short seeds, but hardly for its long ones.  Of a seed that more than ``CHUNK_TEXTS`` texts of a chunk have, only the first
     ones travel; the others are matched inside the chunk, so the list of a seed that a
     third of all texts share grows with the number of chunks, not of texts.
 2.  *Matches.*  Seeds meet by hash, one bucket after the other.  Every occurrence is
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import width, written
 
-K = 5
+K, LONG = 5, 16
 GAP = 0.1  # cost of a skipped word
 MIN_SCORE = 10.0  # of a chain, in words: two seeds that do not overlap, or one run of ten
 MIN_WORDS = 45  # of an aligned passage
@@ -131,6 +133,43 @@ def _matches(tok: np.ndarray, own: np.ndarray, pos: np.ndarray, skip: int = 0) -
     return np.stack([own[here], pos[here], own[there], pos[there]], axis=1)
 
 
+def _all_matches(tok: np.ndarray, own: np.ndarray, pos: np.ndarray, skip: int = 0) -> np.ndarray:
+    """``_matches`` of short and long seeds (odd hashes); a long one is as many short ones as it holds side by side."""
+    long = (tok & _U(1)).astype(bool)
+    short = _matches(tok[~long], own[~long], pos[~long], skip)
+    rows = _matches(tok[long], own[long], pos[long], skip)
+    step = np.arange(0, LONG - K + 1, K)
+    out = np.repeat(rows, len(step), axis=0)
+    out[:, 1] += np.tile(step, len(rows))
+    out[:, 3] += np.tile(step, len(rows))
+    return np.concatenate([short, out])
+
+
+def least_of(value: np.ndarray, text: np.ndarray, wide: int = LONG) -> np.ndarray:
+    """Indexes of the hashes that are the least of some ``wide`` consecutive ones of their text (all of a text with fewer: its least).
+
+    Rows lie text after text; the first of equal hashes counts.
+    """
+    n = len(value)
+    if not n:
+        return np.zeros(0, np.int64)
+    # least over doubling spans; a span that leaves its text is cut to it
+    begin = np.flatnonzero(_heads(text))
+    size = np.diff(np.append(begin, n))
+    stop = np.repeat(begin + size, size)
+    best, span = np.arange(n), 1
+    while span < wide:
+        step = min(span, wide - span)
+        ahead = np.minimum(np.arange(n) + step, n - 1)
+        inside = np.arange(n) + step < stop
+        other = best[ahead]
+        best = np.where(inside & (value[other] < value[best]), other, best)
+        span += step
+    whole = np.arange(n) + wide <= stop
+    whole[begin[size < wide]] = True
+    return np.unique(best[whole])
+
+
 def _dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Matches as packed rows, dealt by the id of the later document."""
     at = (tb.mix(rows[:, 0].astype(_U)) % _U(buckets)).astype(np.int64)
@@ -162,7 +201,7 @@ def _seeded(buckets: int):
             doc = np.cumsum(_heads(t, o))
             head = _heads(t)
             beyond = doc - doc[np.flatnonzero(head)[np.cumsum(head) - 1]] >= CHUNK_TEXTS
-            yield from _dealt(_matches(t, o, pos[crowd], CHUNK_TEXTS), buckets)
+            yield from _dealt(_all_matches(t, o, pos[crowd], CHUNK_TEXTS), buckets)
             stay = np.ones(len(tok), dtype=bool)
             stay[crowd[beyond]] = False
             own, pos, tok = own[stay], pos[stay], tok[stay]
@@ -184,8 +223,13 @@ def _seeded(buckets: int):
                 w = tb.words(texts)
                 at, value = tb.grams(w, K)
                 doc = w.doc[at]
-                held.append((ids[row + doc], at - w.first[doc], value))
-                n += len(at)
+                held.append((ids[row + doc], at - w.first[doc], value & ~_U(1)))
+                at, value = tb.grams(w, LONG)
+                some = least_of(value, w.doc[at])
+                at, value = at[some], value[some]
+                doc = w.doc[at]
+                held.append((ids[row + doc], at - w.first[doc], value | _U(1)))
+                n += len(held[-1][0]) + len(held[-2][0])
                 if n >= CHUNK_SEEDS:
                     yield from packed(*(np.concatenate(x) for x in zip(*held)))
                     held, n = [], 0
@@ -232,7 +276,7 @@ def _matched(buckets: int):
             order = order[np.repeat(size > 1, size)]
             tok, own, pos = tok[order], own[order], pos[order].astype(np.int64)
             order = np.lexsort((pos, own, tok))
-            yield from _dealt(_matches(tok[order], own[order], pos[order]), buckets)
+            yield from _dealt(_all_matches(tok[order], own[order], pos[order]), buckets)
 
     return run
 
@@ -684,7 +728,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``src`` is the occurrence in the document with the smaller id, which stays.
     A passage has ``MIN_WORDS`` aligned words and ``MIN_SIMILARITY``; the similarity given
     is a lower bound where shared runs of words decide (words between them count
-    as changed).  A passage without any five equal words in a row is not found, nor is
+    as changed).  Where only long seeds meet, runs that are long enough end with the last
+    of them, up to 30 words before the passage does.  A passage without any five equal words in a row is not found, nor is
     one that only one document repeats.  Null, empty and short texts have no
     passages.  Rows with a null id are left out; ids are taken to be unique (rows
     that repeat one count as one document for what repeats, and each takes part).
