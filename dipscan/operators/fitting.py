@@ -214,7 +214,9 @@ def fitted(lc: DataFrame, min_points: int = 20) -> DataFrame:
             sigma = max(1.4826 * float(np.median(np.abs(out - np.median(out)))), 1e-9)
             residual = lambda x: (f[keep] - transit_model(separation(t[keep], x[0], period, ar, x[2]), x[1], rings=100)) / sigma
             lo, hi = np.array([t0 - dur, 0.005, 0.0]), np.array([t0 + dur, 0.3, 1.0])
-            x, chi2, _ = min((_least_squares(residual, np.array([t0, np.sqrt(max(1 - float(np.median(f[away < dur / 4])) if (away < dur / 4).any() else 0.01, 1e-4)), b]), lo, hi) for b in (0.1, 0.5, 0.8)), key=lambda s: s[1])
+            depth = max(1 - float(np.median(f[away < dur / 4])) if (away < dur / 4).any() else 0.01, 1e-4)
+            starts = [(np.sqrt(depth), b) for b in (0.1, 0.5, 0.8)] + [(0.1, 0.3)]  # the last in case the middle holds no dip
+            x, chi2, _ = min((_least_squares(residual, np.array([t0, k, b]), lo, hi) for k, b in starts), key=lambda s: s[1])
             return pd.DataFrame([blank | {"status": "done", "tc": x[0], "rp_rs": x[1], "b": x[2], "sigma_ppm": sigma * 1e6, "chi2_red": chi2 / max(1, keep.sum() - 3), "depth_ppm": x[1] ** 2 * 1e6}])
         except (np.linalg.LinAlgError, ValueError) as e:
             return pd.DataFrame([blank | {"status": f"failed: {type(e).__name__}: {e}"[:200]}])

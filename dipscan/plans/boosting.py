@@ -22,7 +22,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -269,6 +269,26 @@ def _moved(n: int, trees: list[Tree], rate: float):
     return run
 
 
+# -- files --------------------------------------------------------------------
+
+_TREES = "place int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>, cover array<double>"
+_HEAD = "features array<string>, edges array<array<double>>, base double, rate double, losses array<double>"
+
+
+def save(model: Boosted, folder: str, spark: SparkSession) -> None:
+    """Writes the model below ``folder``: one row for each tree, and one for the rest."""
+    rows = [(k, t.feature, t.cut, t.left, t.right, t.value, t.cover) for k, t in enumerate(model.trees)]
+    spark.createDataFrame(rows, _TREES).write.mode("overwrite").parquet(f"{folder}/trees")
+    head = [(model.features, [e.tolist() for e in model.edges], model.base, model.rate, model.losses)]
+    spark.createDataFrame(head, _HEAD).write.mode("overwrite").parquet(f"{folder}/model")
+
+
+def load(folder: str, spark: SparkSession) -> Boosted:
+    head = spark.read.schema(_HEAD).parquet(f"{folder}/model").first()
+    trees = spark.read.schema(_TREES).parquet(f"{folder}/trees").orderBy("place").collect()  # the model's own size
+    return Boosted(head.features, [np.array(e, dtype=float) for e in head.edges], head.base, head.rate, [Tree(*map(list, t[1:])) for t in trees], head.losses)
+
+
 # -- contributions ------------------------------------------------------------
 
 

@@ -270,6 +270,19 @@ def isolated_searches_R6(spark, sf_dir):
     return rows.join(kinds, "kind")
 
 
+@query(f"""WITH {_UNIT}, s AS (SELECT DISTINCT tic_id, CAST(tic_id AS BIGINT) AS k FROM u), n AS (SELECT tic_id, count(*) AS n FROM u WHERE flux IS NOT NULL GROUP BY tic_id)
+SELECT tic_id, 'done' AS status, round(0.08::DOUBLE + k % 5 * 0.02::DOUBLE, 2) AS rp_rs, 0.0::DOUBLE AS shift, 0.0::DOUBLE AS "left" FROM s JOIN n USING (tic_id)""")
+def noise_free_fits_T25(spark, sf_dir):
+    """Fits of curves that are the model itself: the planted radius and mid-time come back, and nothing is left over."""
+    k = F.col("tic_id").cast("bigint")
+    lc = unit_curves(spark, sf_dir).withColumns({"rp_rs": 0.08 + k % 5 * 0.02, "a_rs": F.lit(4.0), "b": F.lit(0.3), "sigma": F.lit(1.0)})
+    exact = fitting.residuals(lc, rings=100).select("event_id", F.col("model").alias("flux"))
+    rows = lc.drop("flux").join(exact, "event_id").withColumn("ln_a", F.log(F.lit(4.0)))
+    t0 = rows.groupBy("tic_id").agg(F.min("t0").alias("t0"))
+    found = fitting.fitted(rows, min_points=10).join(t0, "tic_id")
+    return found.select("tic_id", "status", F.round("rp_rs", 2).alias("rp_rs"), F.abs(F.round(F.col("tc") - F.col("t0"), 1)).alias("shift"), F.round(F.sqrt("chi2_red") * F.col("sigma_ppm") / 1e6, 3).alias("left"))
+
+
 @query("""WITH d AS (SELECT d.doc_id, d.source || '/' || (d.doc_id % 5) AS grp, l.quality AS label FROM documents d JOIN labels l USING (doc_id)), g AS (SELECT grp, max(label) AS label FROM d GROUP BY grp),
   r AS (SELECT grp, row_number() OVER (PARTITION BY label ORDER BY md5(grp || '42'), grp) AS rn, count(*) OVER (PARTITION BY label) AS n FROM g), p AS (SELECT grp, rn <= greatest(1, round_even(n * 0.25::DOUBLE, 0)) AS held FROM r)
 SELECT count(*) FILTER (NOT held) AS n_train, count(DISTINCT grp) FILTER (NOT held) AS train_groups, count(*) FILTER (held) AS n_test, sum(label) FILTER (held)::BIGINT AS n_positive, 3 AS features, count(DISTINCT label)::INTEGER AS classes, true AS sound FROM d JOIN p USING (grp)""")
@@ -310,15 +323,29 @@ _STUMP = ("total", "month", "weekday", "priority")
 SELECT o_orderkey, round(ln(p / (1 - p)) + 0.5 * v, 5) AS margin, round(ln(p / (1 - p)) + 0.5 * mean, 5) AS expected, """ + ", ".join(f"CASE WHEN j = {j} THEN round(0.5 * (v - mean), 5) ELSE 0 END AS {c}" for j, c in enumerate(_STUMP)) + " FROM f, p")
 def stump_contributions_M4_M10(spark, sf_dir):
     """The first split of leaf-wise growth over all orders, and what each feature adds to every order's margin."""
-    o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.floor(F.col("o_totalprice") / 20000).cast("double").alias("total"),
-        F.month("o_orderdate").cast("double").alias("month"), F.dayofweek("o_orderdate").cast("double").alias("weekday"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
-    )
+    o = _order_rows(spark, sf_dir)
     model = boosting.boosted(o, list(_STUMP), trees=1, leaves=2, rate=0.5)
     rows = boosting.explained(model, o, "o_orderkey")
     return rounded(rows.select("o_orderkey", "margin", "expected", *[F.col("contributions")[j].alias(c) for j, c in enumerate(_STUMP)]), 5)
 
 
+def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.floor(F.col("o_totalprice") / 20000).cast("double").alias("total"),
+        F.month("o_orderdate").cast("double").alias("month"), F.dayofweek("o_orderdate").cast("double").alias("weekday"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+    )
+
+
+@query(f"""WITH s AS ({ORACLES["stump_contributions_M4_M10"]}), p AS (SELECT avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS p FROM orders)
+SELECT count(*) AS orders, count(DISTINCT margin) AS leaves, round(min(margin), 5) AS low, round(max(margin), 5) AS high, round(avg(margin), 4) AS mean FROM s, p""")
+def model_round_trip_S17_K6(spark, sf_dir):
+    """Margins by a model that was written and read again; the SQL has them from the training rows."""
+    o, folder = _order_rows(spark, sf_dir), shared_folder(spark, "boosted")
+    boosting.save(boosting.boosted(o, list(_STUMP), trees=1, leaves=2, rate=0.5), folder, spark)
+    rows = boosting.explained(boosting.load(folder, spark), o, "o_orderkey").select(F.round("margin", 5).alias("margin"))
+    return rows.agg(F.count("*").alias("orders"), F.count_distinct("margin").alias("leaves"), F.min("margin").alias("low"), F.max("margin").alias("high"), F.round(F.avg("margin"), 4).alias("mean"))
+
+
 @query()
 def leafwise_contributions_M4_M10(spark, sf_dir):
     """Trees of up to 63 leaves with early stopping on the labelled documents; margins of the held-out ones and what they are made of."""
