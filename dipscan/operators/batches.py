@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import written
+from ..shared import spread, written
 
 MAX_FAILED = 0.5
 
@@ -35,6 +37,7 @@ def isolated(one: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], ke
 
 def per_star(rows: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schema: str, isolate: bool) -> DataFrame:
     """``one`` applied to each star; with ``isolate`` a ``status`` column and a row for each star that failed."""
+    rows = spread(rows, "tic_id")
     if not isolate:
         return rows.groupBy("tic_id").applyInPandas(one, schema)
     names = [c.split()[0] for c in schema.split(", ")]
@@ -43,6 +46,68 @@ def per_star(rows: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schem
     return rows.groupBy("tic_id").applyInPandas(isolated(one, names), schema)
 
 
+def each_curve(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """(star, t, flux) of whole curves; rows (tic_id, t, flux) come sorted by star, nulls are left out."""
+    star, times, values = None, [], []
+
+    def whole() -> tuple[object, np.ndarray, np.ndarray]:
+        t, f = np.concatenate(times), np.concatenate(values)
+        keep = ~np.isnan(t) & ~np.isnan(f)
+        return star, t[keep], f[keep]
+
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        t, f = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+        at = 0
+        while at < len(names):
+            stop = at + 1
+            while stop < len(names) and names[stop] == names[at]:
+                stop += 1
+            if times and names[at] != star:
+                yield whole()
+                times, values = [], []
+            star = names[at]
+            times.append(t[at:stop])
+            values.append(f[at:stop])
+            at = stop
+    if times:
+        yield whole()
+
+
+def per_curve(lc: DataFrame, one: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str, isolate: bool = True) -> DataFrame:
+    """(tic_id, status, *schema) with a row for each star, from ``one(t, flux)``; curves stream through the tasks, sorted by star.
+
+    A curve that ``one`` cannot work with gives a row of nulls and the error as its status;
+    the others are not touched by it; without ``isolate`` it ends the job.  None gives nulls with the status done.
+    """
+    kind = lc.schema["tic_id"].dataType.simpleString()
+    names = [c.split()[0] for c in schema.split(", ")]
+    empty = (None,) * len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for star, t, f in each_curve(batches):
+            try:
+                found = (star, "done", *(one(t, f) or empty))
+            except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
+                if not isolate:
+                    raise
+                found = (star, f"failed: {type(e).__name__}: {e}"[:200], *empty)
+            out.append(found)
+            if len(out) == 500:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [{"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in [f"tic_id {kind}", "status string", *schema.split(", ")]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["tic_id", "status", *names])
+
+    rows = lc.select("tic_id", F.col("t").cast("double").alias("t"), F.col("flux").cast("double").alias("flux"))
+    return spread(rows, "tic_id").sortWithinPartitions("tic_id", "t").mapInArrow(run, f"tic_id {kind}, status string, {schema}")
+
+
 def settled(work: DataFrame, max_failed: float = MAX_FAILED, name: str = "batch") -> tuple[DataFrame, DataFrame]:
     """(rows of the stars that are done, (tic_id, status) of the others) of isolated work, which runs once here.
 

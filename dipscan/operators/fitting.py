@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..shared import spread
 from .batches import in_units, per_star
 
 # Quadratic limb darkening of the model.
@@ -102,7 +103,7 @@ def detrended(lc: DataFrame, width: float = 0.75, gap: float | None = None, isol
         if held and sum(map(len, held)):
             yield together(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("tic_id").sortWithinPartitions("tic_id", "t", "event_id").mapInPandas(run, schema)
+    return spread(rows, "tic_id").sortWithinPartitions("tic_id", "t", "event_id").mapInPandas(run, schema)
 
 
 def fit_pending(lc: DataFrame, folder: str, units: int = 16, **options) -> DataFrame:
@@ -221,7 +222,7 @@ def fitted(lc: DataFrame, min_points: int = 20) -> DataFrame:
         except (np.linalg.LinAlgError, ValueError) as e:
             return pd.DataFrame([blank | {"status": f"failed: {type(e).__name__}: {e}"[:200]}])
 
-    return lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a").groupBy("tic_id").applyInPandas(one, FIT_SCHEMA)
+    return spread(lc.select("tic_id", "t", "flux", "period", "t0", "dur", "ln_a"), "tic_id").groupBy("tic_id").applyInPandas(one, FIT_SCHEMA)
 
 
 def stretch_walk(log_post, start: np.ndarray, steps: int, rng: np.random.Generator, scale: float = 2.0, rows: bool = False) -> tuple[np.ndarray, float]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import spread, written
 
 PIVOTS = 64  # at most; they, and a few numbers for each, reach the driver
 BLOCK = 2_000  # queries that a task holds
@@ -58,7 +58,7 @@ def nearest(df: DataFrame, features: Sequence[str], k: int, id_col: str = "id",
     blocks = np.array([-(-cells[c].size // block) if c in cells else 0 for c in range(len(chosen))])
     queries = placed.select("cell", F.pmod(F.xxhash64("x"), F.element_at(F.array(*[F.lit(max(1, int(b))) for b in blocks]), F.col("cell") + 1)).cast("int").alias("block"), F.lit(0).alias("side"), "x", "n", "ids")
     others = placed.mapInArrow(_candidates(centres, radius, reach, blocks), f"cell int, block int, side int, x array<double>, n bigint, ids array<{kind}>")
-    dealt = queries.unionByName(others).repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
+    dealt = spread(queries.unionByName(others), "cell", "block").sortWithinPartitions("cell", "block", "side")
     lists = dealt.mapInArrow(_searched(k), f"x array<double>, near array<struct<neighbour:{kind},distance:double>>")
     found = rows.join(lists, "x").select("id", F.filter("near", lambda v: v.neighbour != F.col("id")).alias("near"))
     found = found.select("id", F.posexplode(F.slice("near", 1, k)).alias("place", "v"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from .batches import per_star
+from .batches import per_curve
 from .series import good, normalised, star, time_bins
 
 
@@ -82,18 +81,13 @@ def period_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins:
     the narrower box, then the earlier bin.  With ``isolate`` a star whose search fails is a row with its ``status``.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        star_id = rows["tic_id"].iloc[0]
-        rows = rows.dropna(subset=["t", "flux"])
-        t, flux = rows["t"].to_numpy(float), rows["flux"].to_numpy(float)
+    def one(t: np.ndarray, flux: np.ndarray) -> tuple | None:
         if isolate and not np.isfinite(flux).all():
             raise ValueError("flux is not finite")
-        periods = trial_periods(float(np.ptp(t)), low, longest, 1 / bins, oversampling) if len(t) else np.array([])
-        found = strongest_box(t, flux, periods, bins, widths) or (None,) * 7
-        return pd.DataFrame([(star_id, *found)], columns=["tic_id", "period", "bin", "width", "sr", "sde", "depth", "n_in"], dtype=object)
+        return strongest_box(t, flux, trial_periods(float(np.ptp(t)), low, longest, 1 / bins, oversampling), bins, widths) if len(t) else None
 
-    schema = f"tic_id {lc.schema['tic_id'].dataType.simpleString()}, period double, bin bigint, width bigint, sr double, sde double, depth double, n_in bigint"
-    return per_star(lc.select("tic_id", F.col("t").cast("double").alias("t"), F.col("flux").cast("double").alias("flux")), one, schema, isolate)
+    found = per_curve(lc, one, "period double, bin bigint, width bigint, sr double, sde double, depth double, n_in bigint", isolate)
+    return found if isolate else found.drop("status")
 
 
 #: The fixed grid that the SQL of the registered queries holds.

@@ -14,14 +14,13 @@ length and baseline, and a Gumbel law with the class's mean and spread gives the
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .batches import per_curve
 from .fitting import LIMB, transit_model
 from .search import MIN_BINNED, MIN_RAW, TEN_MINUTES, is_candidate, searchable, trial_periods
 
@@ -94,66 +93,6 @@ def strongest_shape(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, shapes
     return float(periods[j]), first, shape, float(top[j]), float((top[j] - top.mean()) / sd) if sd else None, float(depth[j]), int(inside.sum())
 
 
-def each_curve(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-    """(star, t, flux) of whole curves; rows (tic_id, t, flux) come sorted by star, nulls are left out."""
-    star, times, values = None, [], []
-
-    def whole() -> tuple[object, np.ndarray, np.ndarray]:
-        t, f = np.concatenate(times), np.concatenate(values)
-        keep = ~np.isnan(t) & ~np.isnan(f)
-        return star, t[keep], f[keep]
-
-    for batch in batches:
-        names = batch.column(0).to_pylist()
-        t, f = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
-        at = 0
-        while at < len(names):
-            stop = at + 1
-            while stop < len(names) and names[stop] == names[at]:
-                stop += 1
-            if times and names[at] != star:
-                yield whole()
-                times, values = [], []
-            star = names[at]
-            times.append(t[at:stop])
-            values.append(f[at:stop])
-            at = stop
-    if times:
-        yield whole()
-
-
-def per_curve(lc: DataFrame, one: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
-    """(tic_id, status, *schema) with a row for each star, from ``one(t, flux)``.
-
-    A curve that ``one`` cannot work with gives a row of nulls and the error as its status;
-    the others are not touched by it.  None gives nulls with the status done.
-    """
-    kind = lc.schema["tic_id"].dataType.simpleString()
-    names = [c.split()[0] for c in schema.split(", ")]
-    empty = (None,) * len(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for star, t, f in each_curve(batches):
-            try:
-                found = (star, "done", *(one(t, f) or empty))
-            except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
-                found = (star, f"failed: {type(e).__name__}: {e}"[:200], *empty)
-            out.append(found)
-            if len(out) == 500:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [{"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in [f"tic_id {kind}", "status string", *schema.split(", ")]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["tic_id", "status", *names])
-
-    rows = lc.select("tic_id", F.col("t").cast("double").alias("t"), F.col("flux").cast("double").alias("flux"))
-    return rows.repartition("tic_id").sortWithinPartitions("tic_id", "t").mapInArrow(run, f"tic_id {kind}, status string, {schema}")
-
-
 def template_search(lc: DataFrame, low: float = 0.5, longest: float = 27.0, bins: int = 128, oversampling: int = 3, bank: tuple | None = None) -> DataFrame:
     """(tic_id, status, period, bin, shape, power, sde, depth, n_in, n, var, start, baseline) of every star."""
     shapes, _, _ = template_bank(bins) if bank is None else bank
