@@ -61,44 +61,3 @@ def test_language_keys_may_have_any_name(spark, key):
     got = language.identify(rows, model, [key]).collect()
     assert sorted(r[key] for r in got) == list(range(40))
     assert math.isclose(sum(r[key] for r in got), sum(range(40)))
-
-
-def test_least_hashes_of_spans():
-    import numpy as np
-
-    from dipscan.llm import passages
-
-    rng = np.random.default_rng(3)
-    text = np.repeat(np.arange(6), [1, 5, 16, 17, 40, 120])
-    value = rng.integers(0, 50, len(text)).astype(np.uint64)
-    want = set()
-    for t in range(6):
-        rows = np.flatnonzero(text == t)
-        for lo in range(max(1, len(rows) - 15)):
-            some = rows[lo: lo + 16]
-            want.add(int(some[value[some].argmin()]))
-    assert passages.least_of(value, text).tolist() == sorted(want)
-
-
-def test_a_passage_whose_phrases_others_hold_is_found(spark):
-    import random
-
-    from dipscan.llm import passages
-
-    found = 0
-    for trial in range(6):
-        rng = random.Random(trial)
-        word = lambda: f"w{rng.randrange(10 ** 6)}"
-        shared = [word() for _ in range(60)]
-        phrases = [shared[i: i + 16] for i in (0, 15, 30, 44)]
-        texts = {i: [word() for _ in range(80)] for i in range(41)}
-        for i in (*range(1, 11), *range(21, 31)):
-            for p in phrases:
-                at = rng.randrange(len(texts[i]))
-                texts[i][at:at] = p
-        for i in (20, 40):
-            texts[i][30:30] = shared
-        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
-        got = passages.repeated_passages(docs.repartition(trial % 3 + 1)).collect()
-        found += any(r.id == 40 and r.src_id == 20 and r.end_word - r.start_word >= 45 for r in got)
-    assert found == 6
