@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,15 +111,14 @@ def per_curve(lc: DataFrame, one: Callable[[np.ndarray, np.ndarray], tuple | Non
 def settled(work: DataFrame, max_failed: float = MAX_FAILED, name: str = "batch") -> tuple[DataFrame, DataFrame]:
     """(rows of the stars that are done, (tic_id, status) of the others) of isolated work, which runs once here.
 
-    The work is written, and counted while it is; ``BatchFailed`` is raised if more than ``max_failed`` of
+    The work is written, and counted there; ``BatchFailed`` is raised if more than ``max_failed`` of
     the stars failed.  A star has rows of one kind only.
     """
-    seen = Observation()
     failed = F.col("status").startswith("failed")
-    done = written(work.observe(seen, F.count_if(failed).alias("failed"), F.approx_count_distinct(F.when(~failed, F.col("tic_id"))).alias("about")), name)
-    bad = seen.get["failed"]
+    done = written(work, name)
+    bad = done.where(failed).count()
     if bad:
-        stars = done.where(~failed).select("tic_id").distinct().count()  # exact only where it matters
+        stars = done.where(~failed).select("tic_id").distinct().count()
         if bad > max_failed * (bad + stars):
             raise BatchFailed(f"{bad} of {bad + stars} stars failed")
     return done.where(~failed), done.where(failed).select("tic_id", "status")
