@@ -1,4 +1,4 @@
-"""Writers: delimited text, JSON lines, array files of single stars, FITS tables, models.
+"""Writers: delimited text, JSON lines, array files of single stars, FITS tables and headers, models.
 
 Files made inside tasks are written under a temporary name and then renamed, so a
 task that runs twice leaves one whole file.
@@ -7,11 +7,15 @@ task that runs twice leaves one whole file.
 from __future__ import annotations
 
 import io
+import itertools
+import math
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.ml import PipelineModel
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import catalog
+from ..shared import spread
 from ..sources import read_csv
 
 _TEXT = {"header": True, "quote": '"', "escape": '"'}
@@ -115,27 +120,54 @@ def fits_table(pdf: pd.DataFrame, name: str = "CATALOG") -> bytes:
     return first + _cards(head + described) + data
 
 
-def fits_signals(star: str, signals: Sequence[dict[str, float | None]]) -> bytes:
+def fits_signals(star: str | None, signals: Sequence[dict[str, float | None]]) -> bytes:
     """A FITS file of one star whose extensions TCE_1, TCE_2, ... hold signals in their headers only."""
-    out = _cards([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("TICID", star)])
+    out = [_cards([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), *([] if star is None else [("TICID", star)])])]
     for i, signal in enumerate(signals, 1):
-        out += _cards([("XTENSION", "IMAGE"), ("BITPIX", 8), ("NAXIS", 0), ("EXTNAME", f"TCE_{i}"), *((k, v) for k, v in signal.items() if v is not None)])
-    return out
+        out.append(_cards([("XTENSION", "IMAGE"), ("BITPIX", 8), ("NAXIS", 0), ("EXTNAME", f"TCE_{i}"), *((k, v) for k, v in signal.items() if v is not None)]))
+    return b"".join(out)
 
 
-def write_signals(signals: DataFrame, folder: str) -> DataFrame:
-    """One file of headers for each star, from (tic_id, tce, period, epoch, depth, duration); (tic_id, path) when evaluated."""
+PACKAGE = 64 << 20  # bytes of files in one package, before they are packed
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tce")
-        star = str(pdf["tic_id"].iloc[0])
-        names = {"period": "TPERIOD", "epoch": "TEPOCH", "depth": "TDEPTH", "duration": "TDUR"}
-        rows = [{k: None if pd.isna(r[c]) else float(r[c]) for c, k in names.items()} for _, r in pdf.iterrows()]
-        path = f"{folder}/{star[-1]}/TIC_{star}_dvt.fits"
-        _put(path, fits_signals(star, rows))
-        return pd.DataFrame([(star, path)], columns=["tic_id", "path"])
 
-    return signals.groupBy("tic_id").applyInPandas(one, "tic_id string, path string")
+def write_signals(signals: DataFrame, folder: str, package: int = PACKAGE) -> DataFrame:
+    """One file of headers for each star, from (tic_id, tce, period, epoch, depth, duration); (tic_id, path) when evaluated.
+
+    Headers are blocks of 2880 bytes, nearly all of them blanks, so the files of many stars are packed
+    into one zip archive, in folders by the last sign of the id; a path is the archive's and the file's in it.
+    A task holds the packed bytes of one archive and the signals of one star.
+    """
+    names = ("TPERIOD", "TEPOCH", "TDEPTH", "TDUR")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        archive, where, stars, size = None, "", [], 0
+
+        def closed() -> pa.RecordBatch:
+            archive.close()
+            path = f"{folder}/{where}/part-{task:05d}-{made:05d}.zip"
+            _put(path, buffer.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array(stars, pa.string()), pa.array([f"{path}/TIC_{star}_dvt.fits" for star in stars], pa.string())], names=["tic_id", "path"])
+
+        for star, found in itertools.groupby(rows, key=lambda row: row[0]):
+            last = (star or "none")[-1:]
+            if archive and (last != where or size >= package):
+                yield closed()
+                archive, made = None, made + 1
+            if not archive:
+                buffer = io.BytesIO()
+                archive, where, stars, size = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1), last, [], 0
+            content = fits_signals(star, [{k: None if v is None or math.isnan(v) else float(v) for k, v in zip(names, row[2:])} for row in found])
+            archive.writestr(zipfile.ZipInfo(f"TIC_{star}_dvt.fits"), content, zipfile.ZIP_DEFLATED, 1)
+            stars.append(star)
+            size += len(content)
+        if archive:
+            yield closed()
+
+    rows = spread(signals.select("tic_id", "tce", "period", "epoch", "depth", "duration"), "tic_id")
+    return rows.sortWithinPartitions(F.right("tic_id", F.lit(1)), "tic_id", "tce").mapInArrow(run, "tic_id string, path string")
 
 
 def write_fits(df: DataFrame, folder: str) -> DataFrame:

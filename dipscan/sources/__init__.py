@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import itertools
 import re
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,19 +86,36 @@ FITS_SCHEMA = "path string, tic_id string, tce_ext string, period double, epoch_
 
 
 def scan_fits(spark: SparkSession, folder: str, glob: str = "*.fits") -> DataFrame:
-    """One row for every ``TCE_*`` extension of the FITS files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path", "content")
+    """One row for every ``TCE_*`` extension of the FITS files below a folder, those in zip archives as well.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    An archive is opened one file after the other; ``glob`` is for the names of files in both.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{glob},*.zip}}").load(folder).select("path", "content")
+
+    def single(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+        if not path.endswith(".zip"):
+            yield path, content
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for name in archive.namelist():
+                if fnmatch.fnmatch(name.rpartition("/")[2], glob):
+                    yield f"{path}/{name}", archive.read(name)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         number = lambda cards, key: float(cards[key]) if cards.get(key) else None
         for batch in batches:
-            out = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                headers = fits_headers(content)
-                star = headers[0].get("TICID") if headers else None
-                out += [(path, star, h["EXTNAME"], *(number(h, k) for k in ("TPERIOD", "TEPOCH", "TDEPTH", "TDUR"))) for h in headers[1:] if h.get("EXTNAME", "").startswith("TCE_")]
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.float64()) for i, c in enumerate(columns)], names=[x.split()[0] for x in FITS_SCHEMA.split(", ")])
+            for path, content in zip(*batch.columns):
+                for name, data in single(path.as_py(), content.as_py()):
+                    headers = fits_headers(data)
+                    star = headers[0].get("TICID") if headers else None
+                    for h in headers[1:]:
+                        if h.get("EXTNAME", "").startswith("TCE_"):
+                            yield name, star, h["EXTNAME"], *(number(h, k) for k in ("TPERIOD", "TEPOCH", "TDEPTH", "TDUR"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_rows = found(batches)
+        while out := list(itertools.islice(all_rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.float64()) for i, c in enumerate(zip(*out))], names=[x.split()[0] for x in FITS_SCHEMA.split(", ")])
 
     return files.mapInArrow(rows, FITS_SCHEMA)
 

@@ -77,3 +77,16 @@ def test_small_helpers_on_nulls_and_ties(spark):
     assert got == {("b", 0, 0.5, True), ("a", None, None, None), (None, None, None, None), ("b", 1, 0.9, False)}
     assert metrics.mean_abs_attribution(spark.createDataFrame([], "x double"), ["x"]).collect()[0].mean_abs is None
     assert catalog.feature_columns(spark.createDataFrame([], "x double, s string")) == []
+
+
+def test_signals_are_packed_and_read_back(spark, tmp_path):
+    rows = [(None if s == 7 else str(s), k, 1.5 * k, None if k % 2 else k / 8, float(s), 2.0) for s in range(60) for k in range(1, 4 + s % 3)]
+    signals = spark.createDataFrame(rows, "tic_id string, tce int, period double, epoch double, depth double, duration double")
+    folder = f"file://{tmp_path}/signals"
+    paths = {r.tic_id: r.path for r in sinks.write_signals(signals, folder, package=50_000).collect()}
+    files = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert len(paths) == 60 and len(files) < 60 and sum(p.stat().st_size for p in files) < 0.1 * 2880 * (60 + len(rows))
+    got = sources.scan_fits(spark, folder).collect()
+    assert sorted(map(repr, (tuple(r)[1:] for r in got))) == sorted(repr((s, f"TCE_{k}", *v)) for s, k, *v in rows)
+    assert {r.tic_id: r.path.rpartition("signals/")[2] for r in got} == {s: p.rpartition("signals/")[2] for s, p in paths.items()}
+    assert sources.scan_fits(spark, folder, "TIC_5_*.fits").select("tic_id").distinct().collect() == [("5",)]
