@@ -46,6 +46,23 @@ def per_star(rows: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame], schem
     return rows.groupBy("tic_id").applyInPandas(isolated(one, names), schema)
 
 
+def whole_stars(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Frames of ``least`` rows and more, of whole stars; rows come sorted by star."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n < least:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        last = int((rows["tic_id"] != rows["tic_id"].iloc[-1]).sum())  # of the last star there may be more
+        if last:
+            yield rows.iloc[:last].reset_index(drop=True)
+        held, n = [rows.iloc[last:]], n - last
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def each_curve(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
     """(star, t, flux) of whole curves; rows (tic_id, t, flux) come sorted by star, nulls are left out."""
     star, times, values = None, [], []
