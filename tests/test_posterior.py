@@ -109,3 +109,15 @@ def test_oversampling_uses_the_nearest(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, label int, x double, y double")
     made = plans.oversampled(df, ["x", "y"], neighbours=2).where("synthetic").toPandas()
     assert len(made) == 194 and ((made.x <= 2) | (made.x >= 100)).all()  # never between the two clumps
+
+
+def test_boxes_hold_as_many_rows_at_any_size():
+    rng = np.random.default_rng(8)
+    for n in (4_000, 32_000):
+        x = np.stack([rng.uniform(0, 10, n), rng.integers(0, 25, n).astype(float)], axis=1)
+        splits, low, high = neighbours.boxes(x[rng.choice(n, n // 500 * 16, replace=False)], 16)
+        own = neighbours._box_of(splits, x)
+        assert len(low) > n / 1_500 and np.bincount(own).max() < 2_500
+        assert ((x >= low[own]) & (x <= high[own])).all()
+        row, box = neighbours._within(splits, low, high, x, np.full(n, 0.01))
+        assert n <= len(row) < 2 * n and set(zip(range(n), own.tolist())) <= set(zip(row.tolist(), box.tolist()))
