@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,28 +38,45 @@ def strongest_box(t: np.ndarray, flux: np.ndarray, periods: np.ndarray, bins: in
         return None
     t, dev = t - t.min(), flux - flux.mean()
     top = np.zeros(len(periods))
-    where = np.zeros((len(periods), 4))
-    block = max(1, 1_000_000 // n)
-    for at in range(0, len(periods), block):
-        part = periods[at: at + block]
+    block = max(1, 32_768 // n)  # small enough to stay in the cache
+    size = np.arange(n + 1.0)
+    spread = size * (n - size)
+    spread[[0, n]] = np.inf  # no dip: nothing or all of it lies in the box
+    values = np.tile(dev, block)
+    shift = np.repeat(np.arange(block) * bins, n).reshape(block, n)
+
+    def boxes(part: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(width, sums, counts, powers before rounding) of each period and first bin."""
         x = t[None, :] / part[:, None]
-        cell = np.minimum(((x - np.floor(x)) * bins).astype(np.int64), bins - 1) + np.arange(len(part))[:, None] * bins
-        sums = np.bincount(cell.ravel(), np.broadcast_to(dev, cell.shape).ravel(), len(part) * bins).reshape(-1, bins)
-        counts = np.bincount(cell.ravel(), minlength=len(part) * bins).reshape(-1, bins)
-        s_to, r_to = (np.concatenate([np.zeros((len(part), 1)), np.cumsum(np.concatenate([v, v], axis=1), axis=1)], axis=1) for v in (sums, counts))
-        who = np.arange(len(part))
-        for w in widths:
-            s, r = (v[:, w: w + bins] - v[:, :bins] for v in (s_to, r_to))
-            fits = (s < 0) & (r > 0) & (r < n)
-            power = np.where(fits, np.round(s ** 2 / np.where(fits, r * (n - r), 1), 9), 0.0)
-            b = power.argmax(axis=1)
-            better = power[who, b] > top[at: at + block]
-            top[at: at + block][better] = power[who, b][better]
-            where[at: at + block][better] = np.stack([b, np.full(len(b), w), s[who, b], r[who, b]], axis=1)[better]
+        x -= np.floor(x)
+        x *= bins
+        cell = np.minimum(x.astype(np.int64), bins - 1)
+        cell += shift[: len(part)]
+        cell = cell.ravel()
+        around = [np.bincount(cell, w, len(part) * bins).reshape(-1, bins) for w in (values[: len(cell)], None)]
+        around = [np.concatenate([v, v[:, np.arange(max(widths) - 1) % bins]], axis=1) for v in around]
+        s, r = np.zeros((len(part), bins)), np.zeros((len(part), bins), dtype=np.int64)
+        for w in range(1, max(widths) + 1):
+            s = s + around[0][:, w - 1: w - 1 + bins]
+            r = r + around[1][:, w - 1: w - 1 + bins]
+            if w in widths:
+                yield w, s, r, np.minimum(s, 0) ** 2 / spread[np.minimum(r, n)]
+
+    for at in range(0, len(periods), block):
+        best = top[at: at + block]
+        for *_, power in boxes(periods[at: at + block]):
+            np.maximum(best, power.max(axis=1), out=best)
+    top = np.round(top, 9)
     k = len(top) - 1 - int(top[::-1].argmax()) if periods[0] > periods[-1] else int(top.argmax())  # ties: the shorter period
     if top[k] <= 0:
         return None
-    b, w, s, r = where[k]
+    # of equal powers the first in the order of ``widths``, then of bins
+    found = {w: (s[0], r[0], np.round(power[0], 9)) for w, s, r, power in boxes(periods[k: k + 1])}
+    w = max(widths, key=lambda w: found[w][2].max())
+    s, r, power = found[w]
+    b = int(power.argmax())
+    where = b, w, s[b], r[b]
+    b, w, s, r = where
     sd = top.std()
     return float(periods[k]), int(b), int(w), float(top[k]), float((top[k] - top.mean()) / sd) if sd else None, float(-s / r - s / (n - r)), int(r)
 

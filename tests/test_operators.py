@@ -186,3 +186,25 @@ def test_exact_curves_with_few_points_in_the_dip_are_fitted(spark):
         frames.append(pd.DataFrame({"tic_id": str(s), "t": t, "flux": f, "period": 2 + s % 7 * 0.5, "t0": 19_723.0, "dur": 0.6, "ln_a": np.log(4.0)}))
     got = fitting.fitted(spark.createDataFrame(pd.concat(frames, ignore_index=True)), min_points=10).collect()
     assert len(got) == 60 and all(r.status == "done" and abs(r.tc - 19_723.0) < 0.05 and abs(r.rp_rs - (0.08 + int(r.tic_id) % 5 * 0.02)) < 0.005 for r in got)
+
+
+def test_strongest_box_equals_plain_sums_and_stays_in_small_blocks(monkeypatch):
+    rng, seen = np.random.default_rng(3), []
+    count = np.bincount
+    monkeypatch.setattr(search.np, "bincount", lambda x, *a, **k: (seen.append(len(x)), count(x, *a, **k))[1])
+    t, f = np.sort(rng.uniform(0, 20, 70)), np.round(rng.exponential(1, 70), 1)
+    periods = search.trial_periods(float(np.ptp(t)), low=2.0, dip=1 / 20)
+    got = search.strongest_box(t, f, periods, 20, (1, 2, 3))
+    assert max(seen) <= 32_768
+    x = (t - t.min())[None] / periods[:, None]
+    cell, dev = np.floor((x - np.floor(x)) * 20).astype(int), f - f.mean()
+    best = (0.0,)
+    for i in np.argsort(periods):
+        for w in (1, 2, 3):
+            for b in range(20):
+                inside = (cell[i] - b) % 20 < w
+                s, r = dev[inside].sum(), int(inside.sum())
+                power = round(s * s / (r * (70 - r)), 9) if s < 0 and r < 70 else 0.0
+                if power > best[0]:
+                    best = (power, periods[i], b, w, r)
+    assert (got[3], got[0], got[1], got[2], got[6]) == best
