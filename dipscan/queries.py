@@ -14,6 +14,7 @@ from . import functions as X
 from . import plans, streaming
 from .plans import stacking
 from .operators import catalog, features, fitting, metrics, search, series, vetting
+from .shared import written
 from .sources import light_curves, table, toi_catalogue
 
 QUERIES: dict = {}
@@ -468,10 +469,8 @@ def fit_T25(spark, sf_dir):
 
 @query
 def gbt_M4(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "[.]")).cast("double").alias("stops"))
-    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumn("grp", F.concat("source", F.lit("/"), F.col("doc_id") % 5))
-    train, test = plans.split_by_group(rows)
-    model = plans.fit_classifier(train, ["chars", "words", "stops"], trees=300, depth=6, rate=0.05, rows=0.8, group="grp")
+    train, test, columns = _text_features(spark, sf_dir)
+    model = plans.fit_classifier(train, columns, trees=300, depth=6, rate=0.05, rows=0.8, group="grp")
     return rounded(plans.scored(model, test).select("doc_id", "label", "score"))
 
 
@@ -547,7 +546,10 @@ def _text_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """(train, test, features) of documents and their quality labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), F.size(F.split("text", "[.]")).cast("double").alias("stops"))
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").withColumn("grp", F.concat("source", F.lit("/"), F.col("doc_id") % 5))
-    return (*plans.split_by_group(rows), ["chars", "words", "stops"])
+    train, test = plans.split_by_group(rows)
+    # learners pass over the rows many times: a few numbers of each document are written once, the texts read once
+    both = written(train.withColumn("held", F.lit(False)).unionByName(test.withColumn("held", F.lit(True))), "text-features")
+    return both.where("NOT held").drop("held"), both.where("held").drop("held"), ["chars", "words", "stops"]
 
 
 @query

@@ -103,3 +103,12 @@ def test_derived_without_star(spark):
     got = features.derived_parameters(row).first()
     assert got.inc_deg == pytest.approx(90) and got.depth_ppm == pytest.approx(1e4) and got.fit_snr == pytest.approx(10)
     assert got.t14_hr == pytest.approx(4 / np.pi * np.arcsin(0.11) * 24) and got.a_au is None and got.in_hz is None
+
+
+def test_text_features_are_read_from_a_small_table(spark):
+    from dipscan import queries
+
+    train, test, columns = queries._text_features(spark, "/root/testdata/sf0.001")
+    assert train.count() and test.count() and set(columns) < set(train.columns)
+    assert not any("documents" in f for df in (train, test) for f in df.inputFiles())
+    assert not {r.grp for r in train.collect()} & {r.grp for r in test.collect()}
