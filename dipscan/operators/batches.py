@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import spread, written
+from ..shared import shared_folder, spread, written
 
 MAX_FAILED = 0.5
 
@@ -173,7 +173,10 @@ def in_units(lc: DataFrame, folder: str, work: Callable[[DataFrame], DataFrame],
     spark = lc.sparkSession
     unit = F.pmod(F.xxhash64("tic_id"), F.lit(units)).cast("int")
     held, _ = committed(folder, schema, spark)
-    pending = lc.join(held.select("tic_id").distinct(), "tic_id", "left_anti").withColumn("unit", unit)
+    made = lc.join(held.select("tic_id").distinct(), "tic_id", "left_anti").withColumn("unit", unit)
+    path = shared_folder(spark, "pending")  # curves are made once, not once for each unit
+    made.write.partitionBy("unit").parquet(path)
+    pending = spark.read.schema(made.schema).parquet(path)
     todo = sorted((r.unit, r.stars) for r in pending.groupBy("unit").agg(F.count_distinct("tic_id").alias("stars")).collect())
     for k, stars in todo:
         part = f"unit-{k}-{uuid.uuid4().hex}"

@@ -193,3 +193,16 @@ def test_angles_are_taken_near_the_dip_only(monkeypatch):
     got = fitting.curves_model(t, of, x, period, ar, 0.3)
     assert (got == fitting.transit_model(z, x[of, 1], rings=100)).all() and (got < 1).sum() > 100
     assert sum(seen) < 0.3 * n
+
+
+def test_units_make_the_curves_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("tic_id")).mapInPandas(counted, "tic_id string")
+    done = batches.in_units(rows, batches.shared_folder(spark, "once"), lambda r: r, rows.schema, units=5)
+    assert made.value == 60 and sorted(int(r.tic_id) for r in done.collect()) == list(range(60))
