@@ -1,13 +1,15 @@
 """Operator 13: scores of texts by a hashed maximum-entropy model with a class-factored softmax.
 
-    P(word | history) = P(class(word) | history) * (c + 1) / mass(class)
+    P(word | history) = P(class(word) | history) * P(number(word) | class, history) * share of the word in its number
 
 The class of the next word follows a log-linear model over hashed features of the
 history: the word before, the two before, and, skipping one, the second word back.
-Within a class a word has its share of the class's counts, each raised by one;
-every class of rare words keeps one share for unknown words.  All
+So does the word's number inside the class: a class falls into two parts, these into two each, down to single numbers,
+and each choice of a part is a softmax over the same features, hashed with the place of the choice.
+A frequent word has a number of its own; rare words of one spelling key share one, each by its count raised by one.
+Every class of rare words keeps one share of its mass, whatever the history, for unknown words.  All
 probabilities of a history add up to one.  With zero weights the model is
-the add-one unigram model, up to the shares of unknown words.
+the add-one unigram model, up to the shares of unknown words: (c + 1) / mass(class) inside a class.
 
 Passes over the corpus:
 
@@ -20,7 +22,7 @@ Passes over the corpus:
 4.  *Training.*  Documents are dealt to ``ROUNDS`` rounds.  In each, tasks sum the gradient of the log-likelihood
     over the round's documents in integers (2**-16 of a count), the sums meet by
     slabs of weight rows, and the driver takes one AdaGrad step and broadcasts the weights:
-    ``ROWS`` x ``CLASSES`` numbers, whatever the corpus.
+    ``ROWS`` x ``CLASSES`` numbers and ``BRANCHES`` of choices inside classes, whatever the corpus.
 5.  *Scoring* of all documents in numpy batches that gather the weight rows of their features.
 
 Words are told apart by 52 bits of their hash and the 12 bits of their spelling key.
@@ -46,6 +48,7 @@ TABLE = (1 << 16) - KEYS  # frequent words, one number each; their counts are br
 SIGNS = 16  # signs of one neighbour
 CLASSES, FREQUENT = 32, 19  # class 0 is the end alone, FREQUENT classes of frequent words, the rest by spelling keys
 ROWS = 1 << 14  # hashed features, at most 1 << 16
+BRANCHES = 1 << 18  # hashed features of the choices inside classes
 ROUNDS = 8
 RATE, DAMPING = 0.7, 8.0  # AdaGrad: step RATE * g / (sqrt(sum of g * g) + DAMPING), g in counts
 TOKENS, STEP = 1 << 17, 1 << 12  # of one batch, and of one step of it that stays in the cache
@@ -57,6 +60,17 @@ END = np.uint64(0)
 _U = np.uint64
 
 
+@dataclass
+class Tree:
+    """Choices between the two parts of a class, of each part, and so on; of fixed size."""
+
+    start: np.ndarray  # of each number's choices in path
+    depth: np.ndarray  # their number; 0 for a class of one number, and numbers without known words
+    path: np.ndarray  # twice the choice, and 1 for its second part
+    bias: np.ndarray  # of each choice: log of the second part's mass over the first's
+    prior: np.ndarray  # log of each number's share of its class
+
+
 @dataclass
 class Model:
     """All of fixed size but ``words`` (code, n), which stays a table."""
@@ -69,6 +83,9 @@ class Model:
     kinds: np.ndarray  # class of each number
     mass: np.ndarray  # of each class
     weights: np.ndarray  # float32[ROWS, CLASSES]
+    own: np.ndarray | None = None  # mass of each number, without unknown words
+    tree: Tree | None = None
+    branches: np.ndarray | None = None  # float32[BRANCHES]
 
     @property
     def rare(self) -> DataFrame:
@@ -200,6 +217,36 @@ def split(points: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return own
 
 
+def halved(kinds: np.ndarray, mass: np.ndarray, order: np.ndarray) -> Tree:
+    """The numbers of each class in their order, cut where their mass is halved, and the parts again down to single numbers."""
+    some = np.flatnonzero(mass > 0)
+    some = some[np.lexsort((some, order[some], kinds[some]))]
+    cum = np.append(0.0, np.cumsum(mass[some]))
+    edge = np.append(np.flatnonzero(np.diff(kinds[some], prepend=-1)), len(some))
+    lo, hi = edge[:-1], edge[1:]
+    prior = np.zeros(len(mass))
+    prior[some] = np.log(mass[some]) - np.repeat(np.log(cum[hi] - cum[lo]), hi - lo)
+    at, codes, bias, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+    while True:
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        if not len(lo):
+            break
+        middle = (cum[lo] + cum[hi]) / 2
+        cut = np.searchsorted(cum, middle)
+        cut = np.clip(np.where(cum[cut] - middle > middle - cum[cut - 1], cut - 1, cut), lo + 1, hi - 1)
+        size = hi - lo
+        place = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        at.append(place)
+        codes.append(2 * np.repeat(made + np.arange(len(lo)), size) + (place >= np.repeat(cut, size)))
+        bias.append(np.log((cum[hi] - cum[cut]) / (cum[cut] - cum[lo])))
+        made += len(lo)
+        lo, hi = np.concatenate([lo, cut]), np.concatenate([cut, hi])
+    place = some[np.concatenate(at)]
+    by_number = np.argsort(place, kind="stable")
+    depth = np.bincount(place, minlength=len(mass)).astype(np.int32)
+    return Tree((np.cumsum(depth) - depth).astype(np.int32), depth, np.concatenate(codes)[by_number].astype(np.int32), np.concatenate(bias).astype(np.float32), prior)
+
+
 def fit_words(texts: DataFrame) -> Model:
     """Counts of the training words; one class of the table's words and one of all others, weights zero."""
     words = written(texts.mapInArrow(_counted, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "words")
@@ -224,6 +271,9 @@ def with_mass(model: Model) -> Model:
     equal = ~end & (model.counts <= model.counts[~end].min(initial=np.iinfo(np.int64).max))  # of the table, in the sums of the rare as well
     key_mass -= np.bincount((model.table[equal] & _U(KEYS - 1)).astype(np.int64), model.counts[equal] + 1.0, KEYS)
     mass += np.bincount(model.kinds[TABLE:], key_mass, CLASSES)
+    model.own = np.zeros(TABLE + KEYS)
+    model.own[:known] = model.counts + 1.0
+    model.own[TABLE:] = key_mass
     mass[np.unique(model.kinds[TABLE:])] += 1
     mass[0] = max(mass[0], 1)
     model.mass = np.maximum(mass, 1e-9)
@@ -241,7 +291,16 @@ def fit_classes(encoded: DataFrame, model: Model) -> Model:
     points = total / (seen + SHRUNK)[:, None]
     for part, first, k in ((slice(0, len(model.table)), 1, FREQUENT), (slice(TABLE, TABLE + KEYS), 1 + FREQUENT, CLASSES - 1 - FREQUENT)):
         model.kinds[part] = first + split(points[part], seen[part], k)
-    return with_mass(model)
+    model = with_mass(model)
+    order = np.zeros(len(points))  # inside a class along its widest direction: neighbours take part in the same choices
+    for c in np.unique(model.kinds):
+        x, w = points[model.kinds == c], seen[model.kinds == c]
+        x = x - (w @ x) / max(w.sum(), 1e-9)
+        along = np.linalg.eigh((x * w[:, None]).T @ x)[1][:, -1]
+        order[model.kinds == c] = np.round(x @ (along * np.sign(along[np.abs(along).argmax()])), 9)
+    model.tree = halved(model.kinds, model.own, order)
+    model.branches = np.zeros(BRANCHES, np.float32)
+    return model
 
 
 ENCODED = "uid bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, numbers binary, rare array<bigint>, round int"
@@ -295,8 +354,8 @@ def _numbers(piece: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(piece.column(column).to_pylist()), "<u2"), np.cumsum(size) - size, size
 
 
-def features(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """intp[3, n]: the weight rows of each token's history."""
+def histories(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """uint32[3, n]: hashes of each token's history, the word before, the two before and the second before."""
     before = [numbers.astype(np.uint32) + np.uint32(1)]
     for _ in range(2):
         x = np.zeros_like(before[0])
@@ -304,15 +363,47 @@ def features(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
         x[first] = 0  # nothing before the first
         before.append(x)
     _, one, two = before
-    out = np.empty((3, len(numbers)), dtype=np.intp)
+    out = np.empty((3, len(numbers)), dtype=np.uint32)
     for j, x in enumerate((one, one * np.uint32(0x9E3779B1) + two, two)):
         h = (x + np.uint32(0x632BE5A7 * (j + 1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0xC2B2AE35)
-        out[j] = h >> np.uint32(33 - ROWS.bit_length())
+        out[j] = h
     return out
 
 
+def features(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """intp[3, n]: the weight rows of each token's history."""
+    return _rows(histories(numbers, first))
+
+
+def _rows(history: np.ndarray) -> np.ndarray:
+    return (history >> np.uint32(33 - ROWS.bit_length())).astype(np.intp)
+
+
+def _choices(tree: Tree, branches: np.ndarray, number: np.ndarray, history: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first token, token of each choice, its weights' places as rows, whether its second part is taken, score of the second part) of STEP tokens at a time."""
+    for at in range(0, len(number), STEP):
+        some = number[at: at + STEP]
+        depth = tree.depth[some]
+        ends = np.cumsum(depth)
+        of = np.repeat(np.arange(len(some), dtype=np.int32), depth)
+        code = tree.path[np.arange(ends[-1], dtype=np.int32) + np.repeat(tree.start[some] - ends.astype(np.int32) + depth, depth)]
+        node = code >> 1
+        mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        score = tree.bias[node]
+        place = np.empty((3, len(of)), dtype=np.intp)
+        for j in range(3):
+            x = history[j, at: at + STEP][of]
+            x += mark
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA6B)
+            x >>= np.uint32(33 - BRANCHES.bit_length())
+            place[j] = x
+            score += branches[place[j]]
+        yield at, of, place, (code & 1).astype(bool), score
+
+
 def _steps(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first token, exponentials of the classes' scores as rows, their sums) of STEP tokens at a time; the arrays are used again."""
     one = np.ones(CLASSES, dtype=np.float32)
@@ -330,16 +421,21 @@ def _steps(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> Iterator[
         yield at, x[:n], x[:n] @ one
 
 
-def _gradients(weights, bias: np.ndarray, kinds: np.ndarray):
+def _gradients(weights, bias: np.ndarray, kinds: np.ndarray, inner=None):
+    """Slabs of the classes' rows; with ``inner``, a broadcast (Tree, branches), those of the choices inside classes after them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
+        tree, branches = inner.value if inner else (None, None)
         total = np.zeros((CLASSES, ROWS))  # sums of integers
+        within = np.zeros(BRANCHES if inner else 0)
         left = np.empty((CLASSES, TOKENS))
         for piece in _pieces(batches, 0):
             number, first, _ = _numbers(piece, 0)
-            kind, rows = kinds[number], features(number, first)
+            kind, history = kinds[number], histories(number, first)
             for lo in range(0, len(kind), TOKENS):
-                some, row = kind[lo: lo + TOKENS], rows[:, lo: lo + TOKENS]
+                some, past = kind[lo: lo + TOKENS], history[:, lo: lo + TOKENS]
+                row = _rows(past)
                 n = len(some)
                 for at, x, whole in _steps(w, bias, row):
                     x *= (-ONE / whole)[:, None]
@@ -348,24 +444,46 @@ def _gradients(weights, bias: np.ndarray, kinds: np.ndarray):
                 for r in row:
                     for c in range(CLASSES):
                         total[c] += np.bincount(r, left[c, :n], ROWS)
-        yield from _slabs(total.T.astype(np.int64))
+                if inner:
+                    places, missed = [], []
+                    for _, _, place, second, score in _choices(tree, branches, number[lo: lo + TOKENS], past):
+                        places.append(place)
+                        missed.append(np.rint((second - 1 / (1 + np.exp(np.clip(-score, -80, 80)))) * ONE))
+                    missed = np.concatenate(missed).astype(float)
+                    for j in range(3):
+                        within += np.bincount(np.concatenate([p[j] for p in places]), missed, BRANCHES)
+        yield from _slabs(np.concatenate([total.T.astype(np.int64), within.astype(np.int64).reshape(-1, CLASSES)]))
 
     return run
 
 
-def _scored(weights, bias: np.ndarray, kinds: np.ndarray, mass: np.ndarray):
+def _scored(weights, bias: np.ndarray, kinds: np.ndarray, mass: np.ndarray, inner):
+    """(uid, share, rare, gain): natural logarithms with rare words' shares of their class, and what each gains by its history if it is known."""
     log_mass = np.log(mass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
+        tree, branches = inner.value if inner else (None, None)
         for piece in _pieces(batches, 1):
             number, first, size = _numbers(piece, 1)
-            kind, rows = kinds[number], features(number, first)
+            kind, history = kinds[number], histories(number, first)
             log = -log_mass[kind]
-            for at, x, whole in _steps(w, bias, rows):
+            gain = np.zeros(len(number))
+            for at, x, whole in _steps(w, bias, _rows(history)):
                 log[at: at + len(x)] += np.log(x[np.arange(len(x)), kind[at: at + len(x)]].astype(np.float64) / whole)
+            if inner:
+                for at, of, _, second, score in _choices(tree, branches, number, history):
+                    score = np.where(second, score, -score)
+                    chosen = np.minimum(score, 0) - np.log(1 + np.exp(-np.abs(score)))
+                    n = len(number[at: at + STEP])
+                    gain[at: at + n] = np.bincount(of, chosen, n) - tree.prior[number[at: at + n]]
+            rare = number >= TABLE
+            rare[first + size - 1] = False  # ends
+            log[~rare] += gain[~rare]
             by_doc = np.bincount(np.repeat(np.arange(len(size)), size), log, len(size))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(by_doc / np.log(10))], names=["uid", "share"])
+            ahead = np.append(0, np.cumsum(rare))[np.append(first, len(number))]
+            gains = pa.ListArray.from_arrays(pa.array(ahead, pa.int32()), pa.array((gain[rare] / np.log(10)).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(by_doc / np.log(10)), piece.column(2), gains], names=["uid", "share", "rare", "gain"])
 
     return run
 
@@ -383,28 +501,33 @@ def encode(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> DataFrame:
 def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RATE, damping: float = DAMPING) -> Model:
     """One AdaGrad step for each round, over the documents of the round."""
     context = encoded.sparkSession.sparkContext
-    squares = np.zeros((ROWS, CLASSES))
+    squares = np.zeros((ROWS + BRANCHES // CLASSES, CLASSES))
     for k in range(rounds):
-        weights = context.broadcast(model.weights)
+        weights, inner = context.broadcast(model.weights), context.broadcast((model.tree, model.branches))
         rows = encoded.where(F.col("round") == k).select("numbers")
-        g = _gathered(rows.mapInArrow(_gradients(weights, model.bias, model.kinds), "slab int, sums binary"), ROWS, CLASSES) / ONE
+        g = _gathered(rows.mapInArrow(_gradients(weights, model.bias, model.kinds, inner), "slab int, sums binary"), len(squares), CLASSES) / ONE
         weights.unpersist()
+        inner.unpersist()
         squares += g * g
-        model.weights = (model.weights + rate * g / (np.sqrt(squares) + damping)).astype(np.float32)
+        step = rate * g / (np.sqrt(squares) + damping)
+        model.weights = (model.weights + step[:ROWS]).astype(np.float32)
+        model.branches = (model.branches + step[ROWS:].ravel()).astype(np.float32)
     return model
 
 
 def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of encoded rows."""
-    weights = encoded.sparkSession.sparkContext.broadcast(model.weights)
-    shares = encoded.select("uid", "numbers").mapInArrow(_scored(weights, model.bias, model.kinds, model.mass), "uid bigint, share double")
-    rare = encoded.select("uid", F.explode("rare").alias("code")).join(model.rare, "code")
-    rare = rare.groupBy("uid").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"))
-    rows = encoded.select("uid", "id", "held_out", "n_tokens", "known", "logs").join(shares, "uid").join(rare, "uid", "left")
+    context = encoded.sparkSession.sparkContext
+    weights, inner = context.broadcast(model.weights), context.broadcast((model.tree, model.branches)) if model.tree else None
+    made = encoded.select("uid", "numbers", "rare").mapInArrow(_scored(weights, model.bias, model.kinds, model.mass, inner), "uid bigint, share double, rare array<bigint>, gain array<float>")
+    shares = written(made, "shares")
+    rare = shares.select("uid", F.inline(F.arrays_zip(F.col("rare").alias("code"), F.col("gain").alias("gain")))).join(model.rare, "code")
+    rare = rare.groupBy("uid").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"), F.sum("gain").alias("rare_gain"))
+    rows = encoded.select("uid", "id", "held_out", "n_tokens", "known", "logs").join(shares.select("uid", "share"), "uid").join(rare, "uid", "left")
     log = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return rows.select(
         "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (log - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1)))).alias("base_score"), (log + F.col("share")).alias("score"),
+        (log - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1)))).alias("base_score"), (log + F.col("share") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
     )
 
 

@@ -278,3 +278,64 @@ def test_scores_without_training_texts(spark):
     got = maxent_lm.scores(docs).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in got} == {(0, 0, 0.0)} and all(r.score <= 0 for r in got)
     assert maxent_lm.scores(docs.where("doc_id < 0")).collect() == []
+
+
+def test_history_tells_words_of_a_class_apart(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "split", lambda points, weight, k: np.zeros(len(points), dtype=np.int64))  # frequent words are one class
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["pa xa", "pb xb"]) for _ in range(30)) for _ in range(300)]
+    asked = [i for i in range(1000, 1100) if held(i)][:2]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(asked[0], "pa xa pb xb " * 10), (asked[1], "pa xb pb xa " * 10)]
+    got = {r.id: r for r in maxent_lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    likely, other = got[asked[0]], got[asked[1]]
+    assert math.isclose(likely.base_score, other.base_score) and likely.score > other.score + 5  # equal before: counts shared a class out
+
+
+def tree_of(rng, n=300):
+    kinds = rng.integers(0, 4, n).astype(np.uint8)
+    mass = np.where(rng.random(n) < 0.1, 0, np.round(rng.pareto(0.7, n) * 3 + 1))
+    return kinds, mass, maxent_lm.halved(kinds, mass, rng.normal(size=n))
+
+
+def test_choices_of_a_class_add_up_to_one():
+    rng = np.random.default_rng(5)
+    kinds, mass, tree = tree_of(rng)
+    branches = rng.normal(scale=0.5, size=maxent_lm.BRANCHES).astype(np.float32)
+
+    def shares(weights, past):
+        out = np.zeros(len(kinds))
+        number = np.arange(len(kinds))
+        for at, of, _, second, score in maxent_lm._choices(tree, weights, number, np.repeat(past, len(number), axis=1)):
+            out += np.bincount(of, -np.log1p(np.exp(-np.where(second, score, -score).astype(float))), len(number))
+        return np.exp(out)
+
+    past = maxent_lm.histories(np.array([7, 9, 4], np.uint16), np.array([0]))
+    plain, some, others = shares(branches * 0, past[:, :1]), shares(branches, past[:, 1:2]), shares(branches, past[:, 2:])
+    known = mass > 0
+    for k in range(4):
+        mine = known & (kinds == k)
+        assert np.allclose(plain[mine], mass[mine] / mass[mine].sum(), rtol=1e-4) and np.allclose(np.log(plain[mine]), tree.prior[mine], atol=1e-4)
+        assert math.isclose(some[mine].sum(), 1, rel_tol=1e-4) and math.isclose(others[mine].sum(), 1, rel_tol=1e-4) and np.abs(some - others)[mine].max() > 1e-3
+    assert (tree.depth[~known] == 0).all() and tree.depth.max() < 40
+
+
+def test_gradient_of_choices_is_that_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    kinds, mass, tree = tree_of(rng)
+    number = rng.choice(np.flatnonzero(mass > 0), 200).astype("<u2")
+    branches = rng.normal(scale=0.3, size=maxent_lm.BRANCHES).astype(np.float32)
+    box = lambda x: type("Box", (), {"value": x})
+    batch = pa.RecordBatch.from_arrays([pa.array([number.tobytes()], pa.binary())], names=["numbers"])
+    got = np.zeros(((maxent_lm.ROWS * maxent_lm.CLASSES + maxent_lm.BRANCHES) // (maxent_lm.SLAB * maxent_lm.CLASSES), maxent_lm.SLAB * maxent_lm.CLASSES))
+    for out in maxent_lm._gradients(box(np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES), np.float32)), np.zeros(maxent_lm.CLASSES, np.float32), kinds, box((tree, branches)))(iter([batch])):
+        for slab, sums in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            got[slab] += np.frombuffer(sums, np.int64)
+    got = got.ravel()[maxent_lm.ROWS * maxent_lm.CLASSES:] / maxent_lm.ONE
+    want = np.zeros(maxent_lm.BRANCHES)
+    for _, _, place, second, score in maxent_lm._choices(tree, branches, number, maxent_lm.histories(number, np.array([0]))):
+        for t in range(len(second)):
+            z = tree.bias[tree.path[tree.start[number[0]]] >> 1] + branches[place[:, 0]].sum() if t == 0 else score[t]
+            assert math.isclose(z, score[t], abs_tol=1e-5)
+            for r in place[:, t]:
+                want[r] += second[t] - 1 / (1 + math.exp(-score[t]))
+    assert np.abs(got - want).max() < 1e-3 and np.abs(want).max() > 1
