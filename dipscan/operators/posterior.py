@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bin_index, hours_from_mid, ratio
 from ..plans import cached
-from .batches import per_star
+from ..shared import spread
+from .batches import per_star, whole_stars
 from .fitting import detrended, residuals, sampled, separation, transit_model
 
 
@@ -91,30 +92,45 @@ def cached_samples(spark: SparkSession, folder: str, lc: DataFrame, **options) -
 LIMITS = (0.025, 0.16, 0.5, 0.84, 0.975)
 
 
-def model_band(samples: DataFrame, hours: Sequence[float], limits: Sequence[float] = LIMITS, rings: int = 100) -> DataFrame:
+def model_band(samples: DataFrame, hours: Sequence[float], limits: Sequence[float] = LIMITS, rings: int = 100, most: int = 50_000) -> DataFrame:
     """(tic_id, hours, q0, q1, ...): percentiles of the model flux over the draws, at hours from the star's own t0.
 
-    Samples have tic_id, tc, rp_rs, b, ln_a, period and t0.  Draws become curves in blocks, and the
-    percentiles come from a mergeable sketch (exact below 10,000 draws), so draws
-    of one star may lie in any number of tasks.
+    Samples have tic_id, tc, rp_rs, b, ln_a, period and t0.  Draws travel to their star as they are and become
+    curves there; percentiles are exact.  The draws of a star with more than ``most`` may lie in
+    any number of tasks: its percentiles come from a mergeable sketch.  Samples are read twice, to count and to draw.
     """
     grid = np.asarray(hours, float) / 24
 
-    def run(batches):
+    def curves(pdf: pd.DataFrame) -> np.ndarray:
+        p = pdf[["tc", "rp_rs", "b", "ln_a", "period", "t0"]].to_numpy(float)
+        col = lambda i: p[:, i: i + 1]
+        t = col(5) + grid[None, :]
+        flux = np.concatenate([transit_model(separation(t[a: a + 500], p[a: a + 500, 0:1], p[a: a + 500, 4:5], np.exp(p[a: a + 500, 3:4]), p[a: a + 500, 2:3]), p[a: a + 500, 1:2], rings=rings) for a in range(0, len(p), 500)])
+        return np.round(flux, 9)
+
+    def exact(batches):
+        for pdf in whole_stars(batches, 10_000):
+            star, flux, out = pdf["tic_id"].to_numpy(), curves(pdf), []
+            edge = np.append(np.flatnonzero(np.append(True, star[1:] != star[:-1])), len(star))
+            for a, b in zip(edge[:-1], edge[1:]):
+                n = b - a
+                rank = [max(1, n - int(np.floor(n - q * n))) - 1 for q in limits]
+                values = np.sort(flux[a:b], axis=0)[rank]
+                out += [(star[a], i, values[:, i]) for i in range(len(grid))]
+            yield pd.DataFrame(out, columns=["tic_id", "i", "q"])
+
+    def spread_out(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            p = pdf[["tc", "rp_rs", "b", "ln_a", "period", "t0"]].to_numpy(float)
-            col = lambda i: p[:, i: i + 1]
-            t = col(5) + grid[None, :]
-            flux = np.concatenate([transit_model(separation(t[a: a + 500], p[a: a + 500, 0:1], p[a: a + 500, 4:5], np.exp(p[a: a + 500, 3:4]), p[a: a + 500, 2:3]), p[a: a + 500, 1:2], rings=rings) for a in range(0, len(p), 500)])
-            yield pd.DataFrame({"tic_id": pdf["tic_id"], "flux": list(np.round(flux, 9))})
-
-    rows = samples.select("tic_id", "tc", "rp_rs", "b", "ln_a", "period", "t0").dropna().mapInPandas(run, "tic_id string, flux array<double>")
-    points = rows.select("tic_id", F.posexplode("flux").alias("i", "flux"))
-    bands = points.groupBy("tic_id", "i").agg(F.percentile_approx("flux", F.lit(list(limits)), 10_000).alias("q"))
+            if len(pdf):
+                yield pd.DataFrame({"tic_id": pdf["tic_id"], "flux": list(curves(pdf))})
+
+    rows = samples.select(F.col("tic_id").cast("string").alias("tic_id"), "tc", "rp_rs", "b", "ln_a", "period", "t0").dropna()
+    crowded = F.broadcast(rows.groupBy("tic_id").count().where(F.col("count") > most).select("tic_id"))  # one for each ``most`` draws at most
+    few = spread(rows.join(crowded, "tic_id", "left_anti"), "tic_id").sortWithinPartitions("tic_id").mapInPandas(exact, "tic_id string, i int, q array<double>")
+    many = rows.join(crowded, "tic_id", "left_semi").mapInPandas(spread_out, "tic_id string, flux array<double>").select("tic_id", F.posexplode("flux").alias("i", "flux"))
+    many = many.groupBy("tic_id", "i").agg(F.percentile_approx("flux", F.lit(list(limits)), 10_000).alias("q"))
     at = F.element_at(F.array(*[F.lit(float(h)) for h in hours]), F.col("i") + 1)
-    return bands.select("tic_id", at.alias("hours"), *[F.col("q")[k].alias(f"q{k}") for k in range(len(limits))])
+    return few.unionByName(many).select("tic_id", at.alias("hours"), *[F.col("q")[k].alias(f"q{k}") for k in range(len(limits))])
 
 
 def residual_bins(lc: DataFrame, width: float, bins: int) -> DataFrame:

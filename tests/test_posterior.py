@@ -121,3 +121,31 @@ def test_boxes_hold_as_many_rows_at_any_size():
         assert ((x >= low[own]) & (x <= high[own])).all()
         row, box = neighbours._within(splits, low, high, x, np.full(n, 0.01))
         assert n <= len(row) < 2 * n and set(zip(range(n), own.tolist())) <= set(zip(row.tolist(), box.tolist()))
+
+
+def test_bands_are_exact_up_to_crowded_stars(spark):
+    rng = np.random.default_rng(12)
+    n = {"a": 30_000, "b": 7, "c": 1}
+    star = rng.permutation(np.repeat(list(n), list(n.values())))
+    pdf = pd.DataFrame({"tic_id": star, "tc": rng.normal(0, 0.02, len(star)), "rp_rs": rng.uniform(0.05, 0.2, len(star)), "b": rng.uniform(0, 0.9, len(star)), "ln_a": np.log(8.0), "period": 5.0, "t0": 1.0})
+    hours = [-2.2, 0.3, 9.0]
+    p = pdf[["tc", "rp_rs", "b"]].to_numpy()
+    flux = np.stack([fitting.transit_model(fitting.separation(1.0 + h / 24, p[:, 0], 5.0, 8.0, p[:, 2]), p[:, 1], rings=20) for h in hours], axis=1)
+    samples = spark.createDataFrame(pdf).repartition(7)
+    assert sorted(posterior.model_band(samples, hours).columns) == ["hours", "q0", "q1", "q2", "q3", "q4", "tic_id"]
+
+    def ranks(band):
+        """How far each percentile lies from its rank."""
+        out = {}
+        for r in band.collect():
+            values = np.sort(np.round(flux[star == r.tic_id][:, hours.index(r.hours)], 9))
+            for k, q in enumerate(posterior.LIMITS):
+                at = max(1, math.ceil(q * len(values) - 1e-9)) - 1
+                a, b = np.searchsorted(values, r[f"q{k}"] - 2e-9), np.searchsorted(values, r[f"q{k}"] + 2e-9, "right") - 1
+                out[r.tic_id, r.hours, k] = max(0, a - at, at - b)
+        return out
+
+    exact = ranks(posterior.model_band(samples, hours, rings=20))
+    assert len(exact) == 45 and set(exact.values()) == {0}
+    crowded = ranks(posterior.model_band(samples, hours, rings=20, most=100))
+    assert len(crowded) == 45 and max(crowded.values()) <= 6 and all(v == 0 for (s, *_), v in crowded.items() if s != "a")
