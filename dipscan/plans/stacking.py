@@ -7,16 +7,17 @@ rows stay in Spark throughout and only metrics reach the driver.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import learning_groups, roc_auc, shuffled_rank
+from ..shared import at_once, packed
 from . import balanced, fit_classifier, scored
 
 
@@ -36,27 +37,40 @@ def learners(label: str, trees: int = 15) -> dict:
     return {"p_boost": GBTClassifier(maxIter=trees, maxDepth=4, stepSize=0.1, **common), "p_forest": RandomForestClassifier(numTrees=2 * trees, maxDepth=6, **common)}
 
 
-def _scores(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int) -> DataFrame:
-    """``rows`` with one probability column for each base learner fitted on ``train``."""
+def _base_fits(train: DataFrame, features: list[str], label: str, trees: int) -> tuple[PipelineModel, dict]:
+    """(preparation, base learners by name) fitted on ``train``."""
     filled = [f"{c}__i" for c in features]
     prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="x")]).fit(train)
     ready = prepare.transform(balanced(train, label))
-    rows = prepare.transform(rows)
-    for name, learner in learners(label, trees).items():
-        rows = learner.fit(ready).transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    return rows.drop("x", *filled)
+    return prepare, {name: learner.fit(ready) for name, learner in learners(label, trees).items()}
+
+
+def _scores(fits: tuple[PipelineModel, dict], rows: DataFrame) -> DataFrame:
+    """``rows`` with one probability column for each base learner."""
+    prepare, models = fits
+    columns, rows = rows.columns, prepare.transform(rows)
+    for name, model in models.items():
+        rows = model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return rows.select(*columns, *models)
 
 
 def out_of_fold(df: DataFrame, features: list[str], k: int = 3, label: str = "label", trees: int = 15) -> DataFrame:
     """Base learners' probabilities of every row, from models that did not see its group."""
-    parts = [_scores(df.where(F.col("fold") != i), df.where(F.col("fold") == i), features, label, trees) for i in range(k)]
-    return reduce(DataFrame.unionByName, parts)
+    fits = at_once(df.sparkSession, [partial(_base_fits, df.where(F.col("fold") != i), features, label, trees) for i in range(k)])
+    return _out_of_fold(df, fits)
+
+
+def _out_of_fold(df: DataFrame, fits: list) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_scores(fit, df.where(F.col("fold") == i)) for i, fit in enumerate(fits)])
 
 
-def _logistic(train: DataFrame, rows: DataFrame, inputs: list[str], out: str, label: str) -> DataFrame:
-    pack = VectorAssembler(inputCols=inputs, outputCol="__v")
-    model = LogisticRegression(featuresCol="__v", labelCol=label).fit(pack.transform(train))
-    return model.transform(pack.transform(rows)).withColumn(out, vector_to_array("probability")[1]).drop("__v", "rawPrediction", "probability", "prediction")
+def _logistic(train: DataFrame, inputs: list[str], label: str) -> LogisticRegressionModel:
+    return LogisticRegression(featuresCol="__v", labelCol=label).fit(VectorAssembler(inputCols=inputs, outputCol="__v").transform(train))
+
+
+def _blended(model: LogisticRegressionModel, rows: DataFrame, inputs: list[str], out: str) -> DataFrame:
+    rows = VectorAssembler(inputCols=inputs, outputCol="__v").transform(rows)
+    return model.transform(rows).withColumn(out, vector_to_array("probability")[1]).drop("__v", "rawPrediction", "probability", "prediction")
 
 
 def stacked(train: DataFrame, test: DataFrame, features: list[str], k: int = 3, label: str = "label", group: str = "grp", trees: int = 15) -> DataFrame:
@@ -65,26 +79,29 @@ def stacked(train: DataFrame, test: DataFrame, features: list[str], k: int = 3,
     The blend learns from out-of-fold probabilities.  Its calibration learns from
     blends that are out of fold as well, so neither sees a row twice.
     """
-    base = list(learners(label))
-    rows_in = with_folds(train, k, group, label).cache()
-    inner = out_of_fold(rows_in, features, k, label, trees).cache()
-    try:
-        held = reduce(DataFrame.unionByName, [_logistic(inner.where(F.col("fold") != i), inner.where(F.col("fold") == i), base, "__blend", label) for i in range(k)])
-        rows = _logistic(inner, _scores(rows_in, test, features, label, trees), base, "__blend", label)
-        return _logistic(held, rows, ["__blend"], "score", label).drop("__blend")
-    finally:
-        inner.unpersist()
-        rows_in.unpersist()
+    spark, base = train.sparkSession, list(learners(label))
+    # learners plan and read their rows again and again: they are written once, with no join or shuffle behind them
+    rows_in = packed(with_folds(train, k, group, label), "folds")
+    parts = [*[rows_in.where(F.col("fold") != i) for i in range(k)], rows_in]
+    *fits, whole = at_once(spark, [partial(_base_fits, part, features, label, trees) for part in parts])
+    inner = packed(_out_of_fold(rows_in, fits).select("fold", label, *base), "out-of-fold")
+    *blends, blend = at_once(spark, [partial(_logistic, part, base, label) for part in [*[inner.where(F.col("fold") != i) for i in range(k)], inner]])
+    held = reduce(DataFrame.unionByName, [_blended(model, inner.where(F.col("fold") == i), base, "__blend") for i, model in enumerate(blends)])
+    calibration = _logistic(packed(held.select("__blend", label), "blends"), ["__blend"], label)
+    rows = _blended(blend, _scores(whole, test), base, "__blend")
+    return _blended(calibration, rows, ["__blend"], "score").drop("__blend")
 
 
 def learning_curve(train: DataFrame, test: DataFrame, features: list[str], shares=(0.2, 0.4, 0.6, 0.8, 1.0), group: str = "grp", label: str = "label", trees: int = 20) -> DataFrame:
     """(share, n_train, auc): the same test rows scored after growing shares of the training groups."""
     groups = train.groupBy(group).agg(F.max(label).alias(label))
-    points = []
-    for share in shares:
+
+    def point(share: float) -> DataFrame:
         part = train.join(learning_groups(groups, label, group, share).select(group), group, "left_semi")
         auc = roc_auc(scored(fit_classifier(part, features, label, trees), test).withColumnRenamed(label, "y"))
-        points.append(auc.crossJoin(part.agg(F.count("*").alias("n_train"))).withColumn("share", F.lit(share)))
+        return auc.crossJoin(part.agg(F.count("*").alias("n_train"))).withColumn("share", F.lit(share))
+
+    points = at_once(train.sparkSession, [partial(point, share) for share in shares])
     return reduce(DataFrame.unionByName, points).select("share", "n_train", "auc")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +30,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """``written``, in parts of 50,000 rows while cores are left, then of 500,000 at most: for learners, which pass over a few numbers of each row hundreds of times and pay for each task."""
+    df = written(df, name)
+    n = df.count()
+    parts = max(1, min(-(-n // 50_000), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // 500_000))))
+    return df.coalesce(parts)
+
+
+def at_once(spark: SparkSession, calls: Sequence[Callable], threads: int = 4) -> list:
+    """Results of calls that run jobs of their own, some at a time, as ``CrossValidator`` does; for fits, whose small jobs follow one another and leave cores idle."""
+    with ThreadPool(min(threads, len(calls))) as pool:
+        return pool.map(lambda call: call(), [inheritable_thread_target(spark)(call) for call in calls], chunksize=1)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by keys to as many parts as a shuffle has, or cores; for heavy work on few bytes, which adaptive execution would put into one task."""
     spark = df.sparkSession

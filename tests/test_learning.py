@@ -31,6 +31,28 @@ def test_stack_and_importance(spark, rows):
     assert drop["x1"] > 0.2 > abs(drop["x2"]) + 0.05
 
 
+def test_learners_read_packed_rows_with_no_shuffle_behind_them(spark, rows, monkeypatch):
+    seen, plain = [], stacking.learners
+
+    class Seen:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString()))
+            return self.learner.fit(df)
+
+    monkeypatch.setattr(stacking, "learners", lambda *a: {name: Seen(learner) for name, learner in plain(*a).items()})
+    train, test = plans.split_by_group(rows)
+    stacking.stacked(train, test, ["x1", "x2"], k=2, trees=2)
+    assert len(seen) == 6 and all(parts == 1 and "Exchange" not in plan and "Join" not in plan for parts, plan in seen)
+
+
+def test_balanced_weights(spark):
+    made = plans.balanced(spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 4), (None, 5)], "label int, x int")).orderBy("x").collect()
+    assert [(r.label, r.x, r.weight) for r in made] == [(0, 1, 4 / 6), (0, 2, 4 / 6), (0, 3, 4 / 6), (1, 4, 2.0)]
+
+
 def test_folds_and_permutation(spark, rows):
     folds = stacking.with_folds(rows, 4)
     assert folds.count() == 600
