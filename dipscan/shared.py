@@ -38,7 +38,7 @@ def packed(df: DataFrame, name: str) -> DataFrame:
     return df.coalesce(parts)
 
 
-def at_once(spark: SparkSession, calls: Sequence[Callable], threads: int = 4) -> list:
+def at_once(spark: SparkSession, calls: Sequence[Callable], threads: int = 2) -> list:
     """Results of calls that run jobs of their own, some at a time, as ``CrossValidator`` does; for fits, whose small jobs follow one another and leave cores idle."""
     with ThreadPool(min(threads, len(calls))) as pool:
         return pool.map(lambda call: call(), [inheritable_thread_target(spark)(call) for call in calls], chunksize=1)
