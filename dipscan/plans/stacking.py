@@ -81,7 +81,7 @@ def stacked(train: DataFrame, test: DataFrame, features: list[str], k: int = 3,
     """
     spark, base = train.sparkSession, list(learners(label))
     # learners plan and read their rows again and again: they are written once, with no join or shuffle behind them
-    rows_in = packed(with_folds(train, k, group, label), "folds")
+    rows_in = packed(with_folds(train, k, group, label).select("fold", label, *features), "folds")
     parts = [*[rows_in.where(F.col("fold") != i) for i in range(k)], rows_in]
     *fits, whole = at_once(spark, [partial(_base_fits, part, features, label, trees) for part in parts])
     inner = packed(_out_of_fold(rows_in, fits).select("fold", label, *base), "out-of-fold")

@@ -31,11 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def packed(df: DataFrame, name: str) -> DataFrame:
-    """``written``, in parts of 50,000 rows while cores are left, then of 500,000 at most: for learners, which pass over a few numbers of each row hundreds of times and pay for each task."""
+    """``written``, in parts of 50,000 rows while cores are left, then of 500,000 at most: for learners, which pass over a few numbers of each row hundreds of times and pay for each task.
+
+    They draw by place, so rows are dealt and sorted by their values, in whatever order they came.
+    """
     df = written(df, name)
     n = df.count()
     parts = max(1, min(-(-n // 50_000), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // 500_000))))
-    return df.coalesce(parts)
+    return written(df.repartition(parts, *df.columns).sortWithinPartitions(*df.columns), name)
 
 
 def at_once(spark: SparkSession, calls: Sequence[Callable], threads: int = 2) -> list:
